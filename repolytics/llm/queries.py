@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolytics.llm import decontaminate, langid, linededup, mixing, simhash, sketch, tokens
+from repolytics.llm import decontaminate, langid, linededup, mixing, quality, simhash, sketch, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.page_report(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_mixing, op5_fingerprints, op6_tokens, op7_decontaminate, op8_langid, op9_linededup)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_mixing, op5_fingerprints, op6_tokens, op7_decontaminate, op8_langid, op9_linededup, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op7_decontaminate": decontaminate.SQL, "op9_linededup": linededup.SQL}

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from repolytics.llm import langid, queries
+from repolytics.llm import langid, quality, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.01"
@@ -59,3 +59,30 @@ def test_language_spans_and_scripts(spark):
     assert langid.language_report(df.limit(0)).count() == 0
     kept = langid.keep_identified(df)
     assert kept.columns == df.columns and {r.text for r in kept.collect()}.isdisjoint({None, "", "123 !!"})
+
+
+def test_quality_of_held_out_documents(spark):
+    rows = queries.op10_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"), "doc_id").filter("held_out").collect()
+    assert auc(np.array([r.score for r in rows]), np.array([r.quality for r in rows])) > 0.9
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.9
+
+
+def test_quality_odd_rows(spark):
+    texts = [None, "", "á \U0001f600 $$$ 12", "x " * 50_000, "same same", "same same"]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(6)] + [(2, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in quality.quality_report(df, labels).collect()}
+    assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows.values()) and rows[0].score == rows[1].score and rows[4].score == rows[5].score
+    assert quality.quality_report(df.limit(0), labels).count() == 0
+    assert {r.score for r in quality.quality_report(df, labels.limit(0)).collect()} == {0.5}
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (4000, 3))
+    y = (rng.random(4000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    net = quality.train_network(x, y)
+    p = net.predict(x)
+    for a, b in ((0.1, 0.3), (0.4, 0.6), (0.7, 0.9)):
+        at = (p > a) & (p < b)
+        assert abs(p[at].mean() - y[at].mean()) < 0.07
