@@ -1,2 +1,64 @@
-STAGES=[]; ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""A corpus from documents: five stages, each written and read again before the next.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last
+return the columns of ``documents``; the last adds how often a document is taken.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from repolytics.llm.common import saved
+from repolytics.llm.decontaminate import decontaminate
+from repolytics.llm.langid import keep_identified
+from repolytics.llm.linededup import drop_boilerplate
+from repolytics.llm.mixing import mix_sources
+from repolytics.llm.simhash import drop_near_duplicates
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those without one, or with none for half of their letters, go."""
+    return keep_identified(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that stand in over a tenth of their source's documents."""
+    return drop_boilerplate(docs, F.col("source")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of the smallest id."""
+    return drop_near_duplicates(docs)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that the benchmark holds; other documents are as they were."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their number of copies and words."""
+    return mix_sources(docs).filter(F.col("copies") > 0)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("decontamination", benchmark_free),
+    ("mixing", mixed),
+]
+
+#: Language ID and SimHash can't be said in SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolytics.llm import decontaminate, langid, linededup, mixing, quality, simhash, sketch, tokens
+from repolytics.llm import decontaminate, langid, linededup, mixing, quality, simhash, sketch, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select(*mixing.QUERY_COLUMNS)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_report(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_mixing, op5_fingerprints, op6_tokens, op7_decontaminate, op8_langid, op9_linededup, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_mixing, op4_toxicity, op5_fingerprints, op6_tokens, op7_decontaminate, op8_langid, op9_linededup, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op7_decontaminate": decontaminate.SQL, "op9_linededup": linededup.SQL}

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from repolytics.llm import langid, quality, queries
+from repolytics.llm import langid, quality, queries, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.01"
@@ -86,3 +86,54 @@ def test_temperature_calibrates():
     for a, b in ((0.1, 0.3), (0.4, 0.6), (0.7, 0.9)):
         at = (p > a) & (p < b)
         assert abs(p[at].mean() - y[at].mean()) < 0.07
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").filter("doc_id < 3000") for t in ("documents", "labels"))
+    rows = toxicity.toxicity_report(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
+    assert auc(np.array([r.score for r in rows]), np.array([r.toxic for r in rows])) > 0.9
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.93
+
+
+def test_obfuscated_words_are_restored(spark):
+    words = "the moron and idiot said that stupid scum is a loser or clown in trash with disgusting pathetic worthless talk".split()
+    df = spark.createDataFrame([(i, " ".join(words[i % 7 :] + words), None, None, 0) for i in range(40)], DOCS)
+    decoder = toxicity.Decoder(toxicity.char_model(df))
+    for written, read in {
+        "1d10t": "idiot", "1diot": "idiot", "i d i o t": "idiot", "m.o.r.o.n": "moron", "idiiiiiot!!": "idiot", "$tupid": "stupid", "l0ser,": "loser",
+        "w0rthle$$": "worthless", "cl0wn***": "clown", "tr@sh": "trash", "st*pid": "stupid", "The&&& scum%%%": "the scum", "": "", "12 $$": "",
+    }.items():
+        assert toxicity.restore(written, decoder) == read
+    got = df.limit(1).select(toxicity.restored(df, decoder.counts).alias("x")).first().x
+    assert got == df.first().text
+
+
+def test_lattice_decode_is_the_cheapest_reading():
+    rng = np.random.default_rng(4)
+    decoder = toxicity.Decoder(np.round(rng.random(toxicity.TRIPLES + toxicity.PAIRS) * 20))
+    for token in ("a1b", "x0x!", "aaab", "a-b3", "0o0"):
+        def paid(ways):
+            said, total, a, b = "".join(w for w, _ in ways), sum(c for _, c in ways), 0, 0
+            for ch in said + " ":
+                if ch == " ":
+                    total += decoder.price(a, b, 0) if b else 0.0
+                    a = b = 0
+                else:
+                    total += decoder.price(a, b, ord(ch))
+                    a, b = b, ord(ch)
+            return total, said
+
+        best = min(paid(p) for p in itertools.product(*decoder.lattice(token)))
+        got = decoder.decode(token)
+        assert got == best[1]
+
+
+def test_toxicity_odd_rows(spark):
+    texts = [None, "", "á \U0001f600 $$$ 12", "x " * 30_000, "you idiot", "you idiot"]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(6)] + [(2, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in toxicity.toxicity_report(df, labels).collect()}
+    assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows.values()) and rows[0].score == rows[1].score and rows[4].score == rows[5].score
+    assert toxicity.toxicity_report(df.limit(0), labels).count() == 0
+    assert {round(r.score, 6) for r in toxicity.toxicity_report(df, labels.limit(0)).collect()} == {0.5}
