@@ -1,9 +1,13 @@
 import os
+import sys
 import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path[:0] = [str(Path(__file__).parents[1])]
+
 
 @pytest.fixture(scope="session")
 def spark():
