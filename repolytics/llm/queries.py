@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolytics.llm import decontaminate, langid, linededup, mixing, quality, simhash, sketch, tokens, toxicity
+from repolytics.llm import decontaminate, langid, licenses, linededup, mixing, quality, simhash, sketch, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select(*mixing.QUERY_COLUMNS)
 
@@ -49,6 +53,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_mixing, op4_toxicity, op5_fingerprints, op6_tokens, op7_decontaminate, op8_langid, op9_linededup, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_mixing, op4_toxicity, op5_fingerprints, op6_tokens, op7_decontaminate, op8_langid, op9_linededup, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op7_decontaminate": decontaminate.SQL, "op9_linededup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.SQL, "op3_mixing": mixing.SQL, "op7_decontaminate": decontaminate.SQL, "op9_linededup": linededup.SQL}

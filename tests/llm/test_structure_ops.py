@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from repolytics.llm import decontaminate, linededup, mixing, queries, simhash, sketch, tokens
+from repolytics.llm import decontaminate, licenses, linededup, mixing, queries, simhash, sketch, tokens
 from repolytics.llm.fmindex import FMIndex
 from repolytics.llm.graph import connected_components
 
@@ -257,3 +257,37 @@ def test_line_dedup_without_broadcast_is_the_same(spark, sf_dir, monkeypatch):
     a = sorted(map(tuple, linededup.drop_boilerplate(docs, F.col("source")).collect()))
     monkeypatch.setattr(linededup, "BROADCAST_LINES", -1)
     assert a == sorted(map(tuple, linededup.drop_boilerplate(docs, F.col("source")).collect()))
+
+
+def test_licenses_match_brute_force():
+    rng = random.Random(6)
+    matcher = licenses.Matcher()
+
+    def brute(text):
+        units = [*text.split("\n"), *re.split(r"\n(?:[ \t\r]*\n)+", text), text]
+        best = {}
+        for u in units:
+            a = licenses.bigrams(u)
+            for name, t in licenses.TEMPLATES:
+                b = licenses.bigrams(t)
+                score = 2 * len(a & b) / (len(a) + len(b))
+                if score >= 0.8:
+                    best[name] = max(score, best.get(name, 0))
+        return sorted(best.items())
+
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            words = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(["foo", "the", "of"]))
+            parts.append(rng.choice([" ", " ", "\n"]).join(words))
+        text = rng.choice(["\n", "\n\n", "\n \n"]).join(parts)
+        assert matcher.text(text) == brute(text), text
+
+
+def test_licenses_odd_texts(spark):
+    rows = {r.doc_id: r for r in licenses.license_report(docs_of(spark, [*ODD, "x\nreleased UNDER the MIT-license!\ny", "ALL RIGHTS RESERVED"])).collect()}
+    assert [rows[i].n_licenses for i in range(len(ODD))] == [0] * len(ODD) and rows[0].license is None and rows[0].score == 0
+    assert rows[10].license == "mit" and rows[10].score == 1.0 and rows[11].licenses == "all-rights-reserved"
+    assert licenses.license_report(docs_of(spark, [])).count() == 0
