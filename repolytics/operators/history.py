@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repolytics.checkpoints import checkpointed
 from repolytics.functions.paths import is_sensitive_path
 from repolytics.functions.scalars import days_since, even_round
 
@@ -113,7 +114,7 @@ def file_history(commits: DataFrame, files: DataFrame, targets: DataFrame, *, mo
     front = names
     for _ in range(most_renames):
         front = front.join(moves, ["repo_id", "name"]).select("repo_id", "path", F.col("older").alias("name")).distinct()
-        front = front.join(names, ["repo_id", "path", "name"], "left_anti").checkpoint()
+        front = checkpointed(front.join(names, ["repo_id", "path", "name"], "left_anti"))
         if front.isEmpty():
             break
         names = names.unionByName(front)
