@@ -17,15 +17,15 @@ from repolytics.llm.common import saved
 
 RATIO = 0.1
 LEAST_PAGES = 5
-#: Digests that may be broadcast (16 bytes each).
+#: Digests that may be broadcast (32 characters each).
 BROADCAST_LINES = 500_000
 SALTS = 64
 
 
 def _digest(line: Column) -> Column:
-    """A line without outer spaces and tabs, as 128 bits."""
-    bare = F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit("line"), bare).alias("b")))
+    """A line without outer spaces and tabs, as 128 bits; null if nothing is left."""
+    bare = F.btrim(line, F.lit(" \t\r"))
+    return F.when(bare != "", F.md5(bare))
 
 
 def boilerplate(pages: DataFrame, host: Column, text: Column, *, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -36,9 +36,9 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, *, ratio: float =
     known = pages.select(host.alias("host"), text.alias("text")).filter(F.col("host").isNotNull())
     totals = known.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     lines = known.select("host", F.explode(F.array_distinct(F.transform(F.split(F.col("text"), "\n"), _digest))).alias("line")).filter(F.col("line").isNotNull())
-    counts = lines.groupBy("host", "line.a", "line.b").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= least_pages)
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= least_pages)
     common = counts.join(totals, "host").filter(F.col("held") > F.col("pages") * F.lit(float(ratio)))
-    return common.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
+    return common.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, *, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: bool = False) -> DataFrame:
@@ -80,16 +80,13 @@ def host_of(url: Column) -> Column:
 def page_lines(html: Column) -> Column:
     """The text of a page, a line for each block element or line break."""
     for pattern, by in (
-        (r"(?is)<script\b.*?</script>", ""),
-        (r"(?is)<style\b.*?</style>", ""),
-        (r"(?s)<!--.*?-->", ""),
+        (r"(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)", ""),
         (r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|nav|article|section|header|footer|table|tr|td|th|title|body|head|html|blockquote|pre|aside|main|form)\b[^>]*>", "\n"),
         (r"<[^>]*>", ""),
-        (r"[ \t\r]*\n[ \t\r\n]*", "\n"),
-        (r"^[ \t\r\n]+|[ \t\r\n]+$", ""),
     ):
         html = F.regexp_replace(html, pattern, by)
-    return html
+    lines = F.transform(F.split(html, "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def page_report(pages: DataFrame, *, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -102,13 +99,13 @@ SQL = r"""
 WITH p AS (
   SELECT row_number() OVER () AS r, page_id,
     nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-      '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
+    array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)', '', 'g'),
       '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|nav|article|section|header|footer|table|tr|td|th|title|body|head|html|blockquote|pre|aside|main|form)\b[^>]*>', chr(10), 'g'),
-      '<[^>]*>', '', 'g'), '[ \t\r]*\n[ \t\r\n]*', chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS text
+      '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS text
   FROM pages
 ), l AS (
-  SELECT r, host, k, line, regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS bare
+  SELECT r, host, k, line, trim(line, ' ' || chr(9) || chr(13)) AS bare
   FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM p)
 ), c AS (
   SELECT host, bare FROM l JOIN (SELECT host, count(*) AS pages FROM p GROUP BY host) t USING (host) WHERE bare <> ''
