@@ -72,12 +72,9 @@ def _bucket(bounds: list[int], doc_id: Column) -> Column:
     if not bounds:
         return F.lit(0)
     table = F.array(*[F.lit(b).cast("long") for b in bounds])
-    steps = len(bounds).bit_length()
-    lo = F.lit(0)
-    for k in reversed(range(steps)):
-        # lo counts bounds known to be at most doc_id; try to add 2 ** k more.
-        lo = F.when(F.get(table, lo + ((1 << k) - 1)) <= doc_id, lo + (1 << k)).otherwise(lo)
-    return lo
+    # lo bounds are known to be at most doc_id; each step tries to add its power of two.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(table, lo + step - 1) <= doc_id, lo + step).otherwise(lo))
 
 
 def with_next(rows: DataFrame, doc_id: str = "doc_id", carry: tuple[str, ...] = ("text", "kept"), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
