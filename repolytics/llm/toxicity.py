@@ -256,29 +256,29 @@ def _vectors(handed: object):  # noqa: ANN202
         chars, places = handed.value
         restorer = Restorer(Decoder(chars), places)
         for batch in text_slices(batches, "text", SLICE_BYTES):
-            rows = [_inputs(*restorer.features(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
+            rows = [restorer.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("label"), pa.array([n for _, n in rows], pa.int32()), pa.array([list(f) for f, _ in rows], pa.list_(pa.int32())), pa.array([list(f.values()) for f, _ in rows], pa.list_(pa.int32()))],
+                ["doc_id", "label", "n", "at", "times"],
+            )
 
     return run
 
 
-def _fit_logistic(rows: Sequence[tuple[Sequence[int], Sequence[float]]], y: np.ndarray, *, steps: int = 400, decay: float = 2e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the whole sample."""
-    width = 2 * FEATURES
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    at = np.array([f for r in rows for f in r[0]], np.int64)
-    value = np.array([v for r in rows for v in r[1]])
+def _fit_logistic(owner: np.ndarray, at: np.ndarray, density: np.ndarray, y: np.ndarray, *, steps: int = 400, decay: float = 2e-2) -> tuple[np.ndarray, float]:
+    """Weights (presence, then density) and bias by Adam on the whole sample, given as its non-zero entries."""
     share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-    w = np.zeros(width + 1)
+    w = np.zeros(2 * FEATURES + 1)
     w[-1] = np.log(share / (1 - share))
     if not len(y) or len(np.unique(y)) < 2:
         return w[:-1], float(w[-1])
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        logit = np.bincount(owner, w[at] * value, minlength=len(y)) + w[-1]
+        logit = np.bincount(owner, w[at] + w[at + FEATURES] * density, minlength=len(y)) + w[-1]
         d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
-        g = np.r_[np.bincount(at, d[owner] * value, minlength=width), d.sum()]
-        g[:-1] += decay * w[:-1] / len(y) * 10
+        each = d[owner]
+        g = np.concatenate([np.bincount(at, each, minlength=FEATURES), np.bincount(at, each * density, minlength=FEATURES), [d.sum()]])
+        g[:-1] += decay * w[:-1] / len(y)
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -298,9 +298,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, label: st
     z = (F.col("t") / t - F.col("n") / n) / F.sqrt(rate * (F.lit(1.0) - rate) * (1 / n + 1 / t) + 1e-12)
     best = counts.withColumn("z", z).filter(F.col("z") > 2).orderBy(F.desc("z"), "slot").limit(FEATURES).collect()
     places = {r.slot: i for i, r in enumerate(best)}
-    vectors = sample.mapInArrow(_vectors(spark.sparkContext.broadcast((chars, places))), "doc_id long, label int, at array<int>, value array<float>")
-    found = saved(vectors, "toxicity-sample").orderBy("doc_id").collect()  # about ``rows`` sparse rows
-    weights, bias = _fit_logistic([(r["at"], r["value"]) for r in found], np.array([min(1, max(0, r.label)) for r in found], float))
+    vectors = sample.mapInArrow(_vectors(spark.sparkContext.broadcast((chars, places))), "doc_id long, label int, n int, at array<int>, times array<int>")
+    found = saved(vectors, "toxicity-sample").orderBy("doc_id").toArrow().combine_chunks()  # about ``rows`` sparse rows, as flat arrays
+    lists = [found.column(c).combine_chunks() for c in ("at", "times")]
+    flat_at, times = (x.flatten().to_numpy(zero_copy_only=False) if len(x) else np.zeros(0, np.int32) for x in lists)
+    counts = np.diff(lists[0].offsets.to_numpy()) if len(lists[0]) else np.zeros(0, np.int64)
+    n = np.repeat(found.column("n").to_numpy(), counts)
+    density = np.log1p(400.0 * times / (n + 40)).astype(np.float32)
+    y = np.clip(found.column("label").to_numpy(), 0, 1).astype(float)
+    weights, bias = _fit_logistic(np.repeat(np.arange(len(y), dtype=np.int32), counts), flat_at.astype(np.int32), density, y)
     return ToxicityModel(chars, places, weights, bias)
 
 
