@@ -258,5 +258,5 @@ def budgeted_diffs(diffs: DataFrame, *, most_bytes: int = 240_000, most_files: i
     rows = first_of(diffs, ["repo_id"], [F.asc("ord")], most_files).withColumn("before", F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     left = F.greatest(F.lit(most_bytes) - F.col("before"), F.lit(0))
     # A cut inside a character takes that character out, as a decoder that skips bad bytes would.
-    cut = F.regexp_replace(F.decode(F.substring(F.encode("diff", "UTF-8"), F.lit(1), left.cast("int")), "UTF-8"), "�+$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode("diff", "UTF-8"), F.lit(1), left.cast("int")).cast("string")), "\ufffd+$", "")
     return rows.withColumn("diff_truncated", size > left).withColumn("diff", F.when(size > left, cut).otherwise(F.col("diff"))).drop("before")
