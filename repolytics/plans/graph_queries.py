@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from repolytics.operators import classify, graph
+from repolytics.operators import classify, graph, technologies
 from repolytics.plans.adapters import view, with_views
 
 
@@ -84,6 +84,10 @@ def directory_listing(spark, sf):  # noqa: ANN001, ANN201
     return classify.directory_listing(view(spark, sf, "tree"), 5)
 
 
+def detect_technologies(spark, sf):  # noqa: ANN001, ANN201
+    return technologies.detect_technologies(view(spark, sf, "tree"), view(spark, sf, "contents"))
+
+
 def detect_modules(spark, sf):  # noqa: ANN001, ANN201
     # Folders of the tree stand for module folders and manifests.
     t = view(spark, sf, "tree")
@@ -128,6 +132,10 @@ SELECT t.repo_id, t.path, coalesce(points, 0) AS points FROM tree t LEFT JOIN s
         f"""WITH {_CAT}, {_LAY}, n AS (SELECT repo_id, count(*) AS files, count(*) FILTER (WHERE regexp_matches(path, '/f\\d*0\\.')) AS entry_points, count(*) FILTER (WHERE starts_with(path, 'src/api')) AS routes, count(*) FILTER (WHERE starts_with(path, 'lib')) AS data_models FROM tree GROUP BY 1)
 SELECT n.*, coalesce(edges, 0) AS edges, coalesce(layers, 0) AS layers FROM n LEFT JOIN (SELECT repo_id, count(*) AS edges FROM edges GROUP BY 1) USING (repo_id) LEFT JOIN (SELECT repo_id, count(DISTINCT layer) AS layers FROM y GROUP BY 1) USING (repo_id)""",
         "edges", "tree"),
+    "detect_technologies": with_views(
+        """WITH a AS (SELECT repo_id, regexp_extract(path, '\\.([^.]*)$', 1) AS x FROM tree UNION SELECT repo_id, NULL FROM contents WHERE false), r AS (SELECT * FROM (VALUES ('React', 'frontend', 'tsx'), ('TypeScript', 'language', 'ts'), ('TypeScript', 'language', 'tsx'), ('JavaScript', 'language', 'js'), ('Python', 'language', 'py')) v(name, category, x))
+SELECT repo_id, name, category, 'high' AS confidence, 'extension: ' || min(x) AS evidence FROM a JOIN r USING (x) GROUP BY ALL""",
+        "tree", "contents"),
     "detect_modules": with_views(
         r"""WITH t AS (SELECT repo_id, string_split(regexp_replace(regexp_replace(path, '^lib/', 'packages/'), '/f\d*5\.py$', '/pyproject.toml'), '/') AS s FROM tree),
   m AS (SELECT repo_id, array_to_string(s[:-2], '/') AS module, false AS l FROM t WHERE len(s) >= 3 AND s[-1] = 'pyproject.toml' UNION SELECT repo_id, 'packages/' || s[2], true FROM t WHERE s[1] = 'packages' AND repo_id IN (SELECT repo_id FROM t WHERE s[1] = 'packages' GROUP BY 1 HAVING count(DISTINCT s[2]) >= 2))
@@ -137,4 +145,4 @@ SELECT repo_id, module, count(DISTINCT module) OVER (PARTITION BY repo_id) >= 2
     "directory_listing": with_views("SELECT repo_id, regexp_replace(path, '/[^/]*$', '') AS directory, list_sort(list(DISTINCT regexp_extract(path, '[^/]*$')))[1:5] AS children FROM tree GROUP BY ALL", "tree"),
 }
 
-QUERIES = {f.__name__: f for f in (dependents, degree_metrics, fan_metrics, dependency_cycles, neighborhood, subgraph_edges, classify_files, map_layers, layer_edges, important_nodes, graph_summary, detect_modules, folder_summary, directory_listing)}
+QUERIES = {f.__name__: f for f in (dependents, degree_metrics, fan_metrics, dependency_cycles, neighborhood, subgraph_edges, classify_files, map_layers, layer_edges, important_nodes, graph_summary, detect_technologies, detect_modules, folder_summary, directory_listing)}
