@@ -161,3 +161,16 @@ SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 80 THEN 'Strong'
 }
 
 QUERIES = {f.__name__: f for f in (resolve_targets, direct_impacts, transitive_impacts, affected_tests, affected_routes, affected_models, impact_risk, affected_features, commit_impact, health_findings, health_scores, severity_rollup, top_issues, audit_ranking, audit_coverage)}
+
+_POINTS = (
+    ("entry_point", "CASE WHEN regexp_matches(file, '/f\\d*0\\.') THEN 3.0::DOUBLE END"), ("routes", "CASE WHEN routes_affected > 0 THEN 2.0::DOUBLE END"), ("models", "CASE WHEN models_affected > 0 THEN 2.0::DOUBLE END"), ("cycle", "CASE WHEN cyclic THEN 2.0::DOUBLE END"),
+    ("direct", "CASE WHEN confirmed > 0 THEN least(confirmed * 1.0::DOUBLE, 10.0::DOUBLE) END"), ("transitive", "CASE WHEN transitively_affected > 0 THEN least(transitively_affected * 0.5::DOUBLE, 10.0::DOUBLE) END"), ("tests", "CASE WHEN tests_affected >= 3 THEN 2.0::DOUBLE END"), ("centrality", "CASE WHEN in_degree > 5 THEN 1.0::DOUBLE END"),
+)
+SQL["impact_risk"] = f"""WITH n AS ({SQL["transitive_impacts"]}), ts AS ({SQL["affected_tests"]}), rr AS ({SQL["affected_routes"]}), mm AS ({SQL["affected_models"]}), dg AS ({g.SQL["degree_metrics"]}), tr AS ({with_views("SELECT * FROM tree", "tree")}),
+  a AS (SELECT repo_id, target, count(*) FILTER (WHERE impact_type = 'DIRECT') AS directly_affected, count(*) FILTER (WHERE impact_type <> 'DIRECT') AS transitively_affected, count(DISTINCT file) AS total_affected, count(*) FILTER (WHERE impact_type = 'DIRECT' AND confidence = 'CONFIRMED') AS confirmed, bool_or(cyclic) AS cyclic FROM n GROUP BY ALL),
+  x AS (SELECT tr.repo_id, tr.path AS target, tr.path AS file, coalesce(directly_affected, 0) AS directly_affected, coalesce(transitively_affected, 0) AS transitively_affected, coalesce(total_affected, 0) AS total_affected, coalesce(confirmed, 0) AS confirmed, coalesce(cyclic, false) AS cyclic,
+    coalesce(tn, 0) AS tests_affected, coalesce(rn, 0) AS routes_affected, coalesce(mn, 0) AS models_affected, in_degree FROM tr LEFT JOIN a ON a.repo_id = tr.repo_id AND a.target = tr.path
+    LEFT JOIN (SELECT repo_id, target, count(*) AS tn FROM ts GROUP BY ALL) t1 ON t1.repo_id = tr.repo_id AND t1.target = tr.path LEFT JOIN (SELECT repo_id, target, count(*) AS rn FROM rr GROUP BY ALL) t2 ON t2.repo_id = tr.repo_id AND t2.target = tr.path
+    LEFT JOIN (SELECT repo_id, target, count(*) AS mn FROM mm GROUP BY ALL) t3 ON t3.repo_id = tr.repo_id AND t3.target = tr.path LEFT JOIN dg ON dg.repo_id = tr.repo_id AND dg.path = tr.path),
+  s AS (SELECT *, {" + ".join(f"coalesce({v}, 0.0::DOUBLE)" for _, v in _POINTS)} AS risk_score, list_filter([{", ".join(f"'{k} +' || ({v})::VARCHAR" for k, v in _POINTS)}], lambda z: z IS NOT NULL) AS factors FROM x)
+SELECT repo_id, target, file, risk_score, CASE WHEN risk_score < 5 THEN 'LOW' WHEN risk_score <= 12 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, factors, directly_affected, transitively_affected, tests_affected, routes_affected, models_affected, total_affected FROM s"""

@@ -119,6 +119,12 @@ SQL = {
         "WITH f AS (SELECT repo_id, path, list_filter([CASE WHEN length(path) % 3 = 0 THEN 'exports' END, CASE WHEN starts_with(path, 'src/api') THEN 'routes' END, CASE WHEN starts_with(path, 'lib') THEN 'models' END, CASE WHEN regexp_matches(path, '/f\\d*0\\.') THEN 'entry_point' END], lambda x: x IS NOT NULL) AS factors FROM tree) SELECT *, CASE WHEN len(factors) >= 2 THEN 'HIGH' WHEN len(factors) = 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM f",
         "tree"),
     "affected_files": with_views("SELECT DISTINCT e.repo_id, e.target, t.path FROM edges e JOIN tree t ON t.repo_id = e.repo_id AND t.path IN (e.source, e.target) WHERE t.path NOT LIKE '%/.env%'", "edges", "tree"),
+    "plan_risk": with_views(
+        f"""WITH {g._CAT}, t AS (SELECT repo_id, path AS target, category, length(path) AS n, length(path) % 7 = 0 AS boundary, length(path) % 7 <> 0 AND length(path) % 5 = 0 AS moves, length(path) % 4 > 0 AS ex, suffix(path, '0.py') AS en, starts_with(path, 'src/api') AS ro, starts_with(path, 'lib') AS mo FROM c),
+  u AS (SELECT *, ex OR en OR ro OR mo OR n % 6 >= 5 OR boundary AS high FROM t)
+SELECT repo_id, target, CASE WHEN high THEN 'HIGH' WHEN n % 6 > 0 OR n % 2 > 0 OR category IN ('service', 'controller', 'middleware') THEN 'MEDIUM' ELSE 'LOW' END AS risk, CASE WHEN n % 8 > 0 AND n % 9 > 0 THEN 'HIGH' WHEN n % 9 > 0 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+  list_filter([CASE WHEN ex THEN 'public exports' END, CASE WHEN en THEN 'entry point' END, CASE WHEN ro THEN 'API route' END, CASE WHEN mo THEN 'database model' END, CASE WHEN n % 6 >= 5 THEN 'direct dependents' END, CASE WHEN boundary THEN 'boundary' END, CASE WHEN n % 2 > 0 THEN 'cycle' END, CASE WHEN n % 3 = 0 THEN 'no test' END, CASE WHEN n % 8 = 0 THEN 'no content' END, CASE WHEN moves AND n % 2 = 0 THEN 'unconfirmed references' END], lambda z: z IS NOT NULL) AS factors FROM u""",
+        "tree"),
     "partition_symbols": f"WITH {c._ST}, x AS (SELECT DISTINCT repo_id, o, 'h' || p AS name, 'helpers' AS part FROM st UNION SELECT repo_id, o, 'useT' || s, 'components' FROM st) SELECT repo_id, 'web/o' || o || '.ts' AS path, part, list_sort(list(name)) AS names FROM x GROUP BY repo_id, o, part",
     "classify_questions": with_views(
         f"""WITH q AS (SELECT 'repo-' || (conv_id % 20) AS repo_id, conv_id || '-' || turn AS question_id, coalesce("text", '') || [' what uses f12.py', ' list api routes in f33.js', ' database schema f40.ts', ' how to run it', ' overview', ' f21.py', '', ' languages'][conv_id % 8 + 1] AS text FROM conversations WHERE role = 'user'),
