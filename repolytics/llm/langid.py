@@ -26,7 +26,9 @@ from repolytics.llm import codepoints
 from repolytics.llm.common import text_slices
 
 BUCKETS = 1 << 15
-SLICE_BYTES = 12 << 20
+#: Texts that take the steps of the Viterbi together, and characters whose trigrams are looked up at a time.
+SLICE_BYTES = 8 << 20
+PART_CHARS = 1 << 19
 #: Languages of more training documents come first; beyond this many none is learned.
 MOST_LANGUAGES = 200
 #: A language is written in a script that has this share of its letters at least.
@@ -74,7 +76,7 @@ def _counts(lang: str, text: str):  # noqa: ANN202
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at, pa.int64()), "held": pa.array(table[at], pa.int64())})
             held.clear()
 
-        for batch in text_slices(batches, text, SLICE_BYTES // 3):
+        for batch in text_slices(batches, text, PART_CHARS):
             names = np.array(batch.column(lang).to_pylist(), object)
             buckets, scripts, _, at, starts = _words(batch.column(text).to_pylist())
             owner = np.searchsorted(starts, at, side="right") - 1
@@ -115,7 +117,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     All texts take a step at a time, the longest last to end.
     """
     n, labels = scores.shape
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int16)
     if labels == 1 or not n:
         return out
     order = np.argsort(-counts, kind="stable")
@@ -144,13 +146,12 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     return out
 
 
-def label_texts(texts: Sequence[str | None], model: LanguageModel, penalty: float = SWITCH) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-    """Language, share of letters in it, and spans (code points from, to, language) of each text."""
+def _scored(texts: Sequence[str | None], model: LanguageModel) -> tuple[np.ndarray, ...]:
+    """Of each word: scores, letters, begin and end in its text, and its text."""
     buckets, scripts, words, at, starts = _words(texts)
     begin, end = words
-    out = [(NONE, 0.0, []) for _ in texts]
-    if not model.names or not len(begin):
-        return out
+    if not len(begin):
+        return np.zeros((0, len(model.names)), np.float32), *(np.zeros(0, np.int32) for _ in range(4))
     cut = np.searchsorted(at, begin)
     scores = np.empty((len(begin), len(model.names)), np.float32)
     for j in range(len(model.names)):
@@ -159,20 +160,37 @@ def label_texts(texts: Sequence[str | None], model: LanguageModel, penalty: floa
     allowed = model.allowed[scripts[cut]]
     scores[~allowed & allowed.any(axis=1)[:, None]] += _ODD_SCRIPT
     owner = np.searchsorted(starts, begin, side="right") - 1
-    counts = np.bincount(owner, minlength=len(texts))
-    heads = np.r_[True, owner[1:] != owner[:-1]]
-    scores[heads] += model.prior
-    labels = viterbi(scores, counts, penalty)
-    size = np.diff(np.r_[cut, len(at)])
-    share = np.bincount(owner * len(model.names) + labels, weights=size, minlength=len(texts) * len(model.names)).reshape(len(texts), -1)
+    return scores, np.diff(np.r_[cut, len(at)]).astype(np.int32), (begin - starts[owner]).astype(np.int32), (end - starts[owner]).astype(np.int32), owner.astype(np.int32)
+
+
+def label_texts(texts: Sequence[str | None], model: LanguageModel, penalty: float = SWITCH) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """Language, share of letters in it, and spans (code points from, to, language) of each text."""
+    out = [(NONE, 0.0, []) for _ in texts]
+    if not model.names:
+        return out
+    parts, first, held = [], 0, 0
+    for i, t in enumerate(texts, 1):
+        held += len(t or "")
+        if held >= PART_CHARS or i == len(texts):
+            scored = _scored(texts[first:i], model)
+            parts.append((*scored[:4], scored[4] + first))
+            first, held = i, 0
+    if not parts:
+        return out
+    scores, size, begin, end, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    if not len(begin):
+        return out
+    scores[np.r_[True, owner[1:] != owner[:-1]]] += model.prior
+    labels = viterbi(scores, np.bincount(owner, minlength=len(texts)), penalty)
+    share = np.bincount(owner.astype(np.int64) * len(model.names) + labels, weights=size, minlength=len(texts) * len(model.names)).reshape(len(texts), -1)
     total = share.sum(axis=1)
     top = share.argmax(axis=1)
     change = np.flatnonzero(np.r_[True, (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])])
     close = np.r_[change[1:], len(begin)] - 1
     spans: dict[int, list[tuple[int, int, str]]] = {}
     for a, b in zip(change.tolist(), close.tolist(), strict=True):
-        d = int(owner[a])
-        spans.setdefault(d, []).append((int(begin[a] - starts[d]), int(end[b] - starts[d]), model.names[labels[a]]))
+        spans.setdefault(int(owner[a]), []).append((int(begin[a]), int(end[b]), model.names[labels[a]]))
     for d in np.flatnonzero(total > 0).tolist():
         out[d] = (model.names[top[d]], float(share[d, top[d]] / total[d]), spans[d])
     return out
