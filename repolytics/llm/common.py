@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Let the session hand texts to Python in Arrow batches of ``most`` bytes: whole texts vary a thousandfold in length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 

@@ -15,7 +15,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -236,7 +235,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str
     vectors = word_vectors(docs, text=text)
     sample = labelled_sample(docs, labels, label, learn, text=text, rows=rows)
     sample = saved(sample.select("doc_id", "label", _pool_column(docs, vectors, "text", None).alias("x")), "quality-sample")
-    found: pd.DataFrame = sample.orderBy("doc_id").toPandas()  # about ``rows`` rows of FEATURES numbers
+    found = sample.orderBy("doc_id").toPandas()  # about ``rows`` rows of FEATURES numbers
     x = np.array(found["x"].tolist(), np.float64).reshape(-1, FEATURES)
     return QualityModel(vectors, train_network(x, found["label"].to_numpy(np.float64)))
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,11 +49,10 @@ def fingerprint_of(text: str | None, width: int = 3) -> int:
 def simhash(text: Column, width: int = 3) -> Column:
     """Fingerprint of ``text`` as a signed long."""
 
-    @F.pandas_udf("long")
-    def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = np.array([fingerprint_of(t, width) for t in batch], np.uint64)
-            yield pd.Series(found.view(np.int64))
+            yield pa.array(np.array([fingerprint_of(t.as_py(), width) for t in batch], np.uint64).view(np.int64), pa.int64())
 
     return fingerprints(text)
 

@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,20 +85,20 @@ def token_count(text: Column, *, name: str = "byte_bpe_50k.json", path: str | No
     Without ``path`` each worker looks up ``name`` among its own installed files.
     """
 
-    @F.pandas_udf("long")
-    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         file = path or tokenizer_path(name)
         for batch in batches:
             out: list[int] = []
             part: list[str] = []
             held = 0
             for t in batch:
-                part.append(t or "")
+                part.append(t.as_py() or "")
                 held += len(part[-1])
                 if held > batch_bytes:
                     out += count_tokens(part, file)
                     part, held = [], 0
-            yield pd.Series(out + count_tokens(part, file), dtype="int64")
+            yield pa.array(out + count_tokens(part, file), pa.int64())
 
     return counts(text)
 
