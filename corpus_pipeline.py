@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolytics.llm.common import saved
+from repolytics.llm.common import bounded_batches, saved
 from repolytics.llm.decontaminate import decontaminate
 from repolytics.llm.langid import keep_identified
 from repolytics.llm.linededup import drop_boilerplate
@@ -21,6 +21,7 @@ from repolytics.llm.simhash import drop_near_duplicates
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without one, or with none for half of their letters, go."""
+    bounded_batches(spark)
     return keep_identified(docs)
 
 
@@ -31,11 +32,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest id."""
+    bounded_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that the benchmark holds; other documents are as they were."""
+    bounded_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 

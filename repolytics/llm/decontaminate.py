@@ -19,16 +19,15 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repolytics.llm.common import text_slices
 from repolytics.llm.fmindex import FMIndex
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,12 +40,16 @@ def _word_bytes() -> np.ndarray:
     return table
 
 
-@cache
+_grown: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash's base and its inverse to the powers 0 to n - 1, modulo 2 ** 64."""
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    one = np.ones(1, np.uint64)
-    return tuple(np.concatenate([one, np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (_BASE, inverse))
+    """The hash's base and its inverse to the powers 0 to n - 1 at least, modulo 2 ** 64; the longest tables are kept."""
+    if not _grown or len(_grown[0][0]) < n:
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        one = np.ones(1, np.uint64)
+        _grown[:] = [tuple(np.concatenate([one, np.cumprod(np.full(max(n, 1 << 16) - 1, b, np.uint64))]) for b in (_BASE, inverse))]
+    return _grown[0]
 
 
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,8 +59,7 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside[1:-1] = _word_bytes()[raw]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    room = 1 << max(16, (len(raw) + 1).bit_length())
-    up, down = _powers(room)
+    up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
     return start, end, (total[end] - total[start]) * down[start]
@@ -183,26 +185,31 @@ FOUND = T.StructType(
 _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(n, pa.int64()) for n in ("word_from", "word_to", "byte_from", "byte_to")]))), ("items", pa.list_(pa.string()))])
 
 
-def _pass(text: str, found: str, block: object, size: int, shard: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pass(text: str, found: str, block: object, size: int, shard: int, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(block.value, size)
         for batch in text_slices(batches, text, shard):
             rows = []
-            for new, old in zip(search_shard(batch.column(text).to_pylist(), windows), batch.column(found).to_pylist(), strict=True):
+            texts = batch.column(text).to_pylist()
+            for new, old in zip(search_shard(texts, windows), batch.column(found).to_pylist(), strict=True):
                 n, spans, items = new
                 if old:
                     spans = merged([*(tuple(s.values()) for s in old["spans"]), *spans])
                     items = sorted({*old["items"], *items})
                 rows.append({"n_words": n, "spans": [dict(zip(("word_from", "word_to", "byte_from", "byte_to"), s, strict=True)) for s in spans], "items": items})
-            at = batch.schema.get_field_index(found)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, _ARROW) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            new_columns = {found: pa.array(rows, _ARROW)}
+            if cut:
+                new_columns[text] = pa.array([_cut(t, r["spans"]) for t, r in zip(texts, rows, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([new_columns.get(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, found: str = "_found", shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, found: str = "_found", cut: bool = False, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct column ``found``: ``n_words``, ``spans`` and ``items``.
 
+    With ``cut`` the last pass also takes the spans out of the text.
+
     Words are runs of 0-9, a-z (after lower-casing A-Z) and code points from
     U+0080.  A window is ``size`` consecutive words of an item, or all words of a
     shorter one.  Null and empty texts have no words, spans or items; items
@@ -219,7 +226,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
         # A block is bounded by its share of the bytes; only that much is on the driver at a time.
         block = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == k)
         rows = [(r.item, r.body) for r in block.toLocalIterator()]
-        out = out.mapInArrow(_pass(text, found, spark.sparkContext.broadcast(rows), size, shard_bytes), out.schema)
+        out = out.mapInArrow(_pass(text, found, spark.sparkContext.broadcast(rows), size, shard_bytes, cut and k == parts - 1), out.schema)
     return out
 
 
@@ -234,19 +241,9 @@ def _cut(text: str | None, spans: object) -> str | None:
     return b"".join([*out, data[at:]]).decode()
 
 
-def _without(text: Column, spans: Column) -> Column:
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([_cut(t, s) for t, s in zip(texts, found, strict=True)], dtype=object)
-
-    return cut(text, spans)
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **how: object) -> DataFrame:
     """``docs`` with every benchmark span cut out of ``text``; all rows and columns stay."""
-    found = find_leaks(docs, benchmark, text=text, **how)
-    cut = F.when(F.size("_found.spans") > 0, _without(F.col(text), F.col("_found.spans"))).otherwise(F.col(text))
-    return found.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
+    return find_leaks(docs, benchmark, text=text, cut=True, **how).select(*docs.columns)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
