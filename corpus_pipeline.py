@@ -16,7 +16,7 @@ from repolytics.llm.decontaminate import decontaminate
 from repolytics.llm.langid import keep_identified
 from repolytics.llm.linededup import drop_boilerplate
 from repolytics.llm.mixing import mix_sources
-from repolytics.llm.simhash import drop_near_duplicates
+from repolytics.llm.neardup import drop_near_copies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id."""
+    """One document of each group of near copies (five-word Jaccard of 0.8 or more): the one of the smallest id."""
     bounded_batches(spark)
-    return drop_near_duplicates(docs)
+    return drop_near_copies(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
