@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from repolytics.llm.common import bounded_batches, saved
 from repolytics.llm.decontaminate import decontaminate
 from repolytics.llm.langid import keep_identified
-from repolytics.llm.linededup import drop_boilerplate
+from repolytics.llm.linededup import drop_boilerplate, source_boilerplate
 from repolytics.llm.mixing import mix_sources
 from repolytics.llm.neardup import drop_near_copies
 
@@ -26,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that stand in over a tenth of their source's documents."""
-    return drop_boilerplate(docs, F.col("source")).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Texts without the lines that stand in many of their source's documents; the longer a line, the fewer are many."""
+    return drop_boilerplate(docs, F.col("source"), found=source_boilerplate(docs, F.col("source"), F.col("text"))).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
