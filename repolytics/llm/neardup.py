@@ -1,43 +1,53 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-A fingerprint of 64 bits can't find the similarity that the pipeline asks for: at
-a Jaccard similarity of 0.8 two of them differ in about ten bits, and a ball of
-that radius has more members than there are documents.  So candidates come from
-a prefix join, which misses no pair: shingles have one order for all texts, and
-two texts as like as asked for share ``c`` of the first ``n - ceil(4 n / 5) + c(n)``
-shingles of each, ``c(n)`` being ``COMMON + n // 20`` and ``c`` that of the smaller
-text (or all they share, if that is less).
-Each candidate is held against the whole shingle sets before it becomes an edge.
-
-In that order common shingles, as a sample shows them, come last, so that a
-passage that many texts hold hardly brings them together.  The order sets what
-the join costs, never what it finds.  Where more than ``NEAR`` texts meet at a shingle,
-each meets the first and the ones just before it, and only what isn't one
-component then is paired in full.
+"""Near copies at a similarity of 0.8: SimHash ball hashing over blocks, verified by exact Jaccard.
+
+At a Jaccard similarity of 0.8 two fingerprints differ in 15 of 100 bits, so no
+ball over 64 bits at once is small enough.  A text's fingerprint is therefore as
+wide as it takes and cut into blocks, and each block is hashed as a fingerprint
+of its own: it emits all variants within ``RADIUS / 2`` bits, so that two blocks
+within ``RADIUS`` bits meet at a variant.  The width of a block grows with the
+logarithm of the number of texts, which bounds how many meet by chance, and the
+number of blocks is what it takes for ``RECALL`` at a similarity of 0.8 exactly
+(above it the recall is higher).  What meets is compared over ``CHECK`` bits, and
+what then is a candidate is held against the whole shingle sets before it is a link.
+
+No group is paired in full: each text offers one partner at first, those that are
+linked become components, and only pairs across components are looked at again.
+A variant with over ``HOT`` texts is dealt over several tasks: its first text
+goes to each of them, and so does, afterwards, every text outside its component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolytics.llm.common import saved, small
 from repolytics.llm.graph import connected_components
+from repolytics.llm.simhash import ball
 
 SEED = 42
 WIDTH = 5
-#: Shingles that a candidate's prefixes must share, besides one of 20.
-COMMON = 4
-#: Texts at one shingle that are all paired at once, and those before it that a further one meets.
-NEAR, FURTHER = 32, 4
-#: Texts whose shingles are counted for the order, the count that makes a shingle common, and the most that are kept.
-SAMPLE_TEXTS, COMMON_FROM, MOST_COMMON = 10_000, 3, 100_000
+RADIUS = 2
+#: Share of bits in which fingerprints of a similarity of 0.8 differ at most, on average.
+APART = 0.155
+RECALL = 0.99
+#: Texts that meet at one variant by chance, about.
+OCCUPANTS = 64
+#: Bits that candidates are compared over, and the most that may differ: over three deviations above ``APART``.
+CHECK, MOST_APART = 128, 33
+#: Texts at one variant that are all compared at once, and those before it that a further one meets.
+NEAR, FURTHER = 256, 4
+#: Texts at one variant beyond which it is dealt over several tasks, and one of how many is counted for that.
+HOT, COUNTED = 20_000, 1000
+_VOTES_AT_ONCE = 1 << 15
+_M64 = (1 << 64) - 1
 
 
 def shingles_of(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -54,54 +64,164 @@ def shingles_of(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=True)], np.uint64).view(np.int64))
 
 
-def _least_overlap(n: Column) -> Column:
-    """Shingles that two sets of ``n`` together share at least for a similarity of 4 / 5."""
-    return F.ceil(n * 4 / 9)
+def block_plan(texts: int) -> tuple[int, int]:
+    """Bits of a block and number of blocks for so many different texts."""
+    bits = 12
+    while texts * (bits + 1) > OCCUPANTS << bits:
+        bits += 1
+    meets = sum(comb(bits, d) * APART**d * (1 - APART) ** (bits - d) for d in range(RADIUS + 1))
+    return bits, max(1, ceil(log(1 - RECALL) / log(1 - meets)))
 
 
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that several texts of a sample hold, sorted, and how many hold them."""
-    share = SAMPLE_TEXTS / max(1, texts.count())
-    drawn = texts if share >= 1 else texts.filter(F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+def wide_print(shingles: np.ndarray, words: int) -> np.ndarray:
+    """``words`` numbers of 64 bits; a bit is 1 if set in over half the shingles' hashes, a tie goes by the first shingle."""
+    out = np.zeros(words, np.uint64)
+    n = len(shingles)
+    if not n:
+        return out
+    h = shingles.view(np.uint64)
+    for w in range(words):
+        votes = np.zeros(64, np.int64)
+        first = None
+        for i in range(0, n, _VOTES_AT_ONCE):
+            x = h[i : i + _VOTES_AT_ONCE] * np.uint64((0x9E3779B97F4A7C15 * (2 * w + 1)) & _M64)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            bits = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes += bits.sum(axis=0, dtype=np.int64)
+            first = bits[0] if first is None else first
+        out[w] = np.packbits((2 * votes + first) > n, bitorder="little").view(np.uint64)[0]
+    return out
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0):
-                yield pa.record_batch([pa.array(shingles_of(t.as_py()), pa.int64())], ["h"])
 
-    counts = drawn.select("text").mapInArrow(flat, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON_FROM)
-    found = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
-    h, n = (np.asarray(found.column(c).to_numpy()).astype(np.int64) for c in ("h", "n"))
-    order = np.argsort(h)
-    return h[order], n[order]
+def _blocks(prints: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """``count`` blocks of ``bits`` bits of each row of ``prints``."""
+    flat = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")[:, : bits * count].reshape(len(prints), count, bits)
+    return flat.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
-def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, row, print, n, rare, prefix``: a hash of the shingle set, its size and common-free size, and its first shingles."""
-    known, held = common
+def fingerprints(texts: DataFrame, bits: int, count: int) -> DataFrame:
+    """``doc_id, row, print, n, c0, c1, blocks``: a hash of the shingle set, its size, ``CHECK`` bits of its fingerprint, and all of it in blocks."""
+    words = max(CHECK // 64, -(-bits * count // 64))
 
-    def first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, rares, firsts = [], [], [], []
-            for t in batch.column(2):
+            prints, sizes, wide = [], [], np.zeros((batch.num_rows, words), np.uint64)
+            for i, t in enumerate(batch.column(2)):
                 h = shingles_of(t.as_py())
-                n = len(h)
-                count = np.zeros(n, np.int64)
-                if len(known) and n:
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    count = np.where(known[at] == h, held[at], 0)
-                firsts.append(h[np.lexsort((h, count))][: n - -(-4 * n // 5) + COMMON + n // 20])
-                prints.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                sizes.append(n)
-                rares.append(int((count == 0).sum()))
-            offsets = np.r_[0, np.cumsum([len(x) for x in firsts])].astype(np.int32)
-            flat = pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64), pa.int64())
+                prints.append(xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63))
+                sizes.append(len(h))
+                wide[i] = wide_print(h, words)
+            blocks = _blocks(wide, bits, count)
+            offsets = pa.array(np.arange(0, blocks.size + 1, count, dtype=np.int32))
+            check = wide[:, :2].view(np.int64)
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                ["doc_id", "row", "print", "n", "rare", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(blocks.ravel()))],
+                ["doc_id", "row", "print", "n", "c0", "c1", "blocks"],
             )
 
-    return texts.select("doc_id", "row", "text").mapInArrow(first_shingles, "doc_id long, row long, print long, n long, rare long, prefix array<long>")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row long, print long, n long, c0 long, c1 long, blocks array<long>")
+
+
+def variants(prints: DataFrame, bits: int) -> DataFrame:
+    """``key, print, c0, c1``: every block's variants within half the radius."""
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(RADIUS // 2, bits)])
+    rows = prints.select("print", "c0", "c1", F.posexplode("blocks").alias("at", "block"))
+    rows = rows.select("print", "c0", "c1", "at", "block", F.explode(masks).alias("mask"))
+    return rows.select((F.shiftleft(F.col("at").cast("long"), bits) + F.col("block").bitwiseXOR(F.col("mask"))).alias("key"), "print", "c0", "c1")
+
+
+def _runs(work: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], pa.RecordBatch], columns: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hand whole runs of one key and part, as they come sorted, to ``work(columns, place in the run, length of the run)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+
+        def go(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+            n = len(rows["key"])
+            head = np.flatnonzero(np.r_[True, (rows["key"][1:] != rows["key"][:-1]) | (rows["part"][1:] != rows["part"][:-1])])
+            length = np.diff(np.r_[head, n])
+            return work(rows, np.arange(n) - np.repeat(head, length), np.repeat(length, length))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            last = np.flatnonzero((new["key"] != new["key"][-1]) | (new["part"] != new["part"][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if held and not cut and (held[-1]["key"][-1], held[-1]["part"][-1]) == (new["key"][0], new["part"][0]):
+                held.append(new)
+                continue
+            held.append({c: x[:cut] for c, x in new.items()})
+            rows = {c: np.concatenate([h[c] for h in held]) for c in columns}
+            held = [{c: x[cut:] for c, x in new.items()}]
+            if len(rows["key"]):
+                yield go(rows)
+        if held:
+            yield go({c: np.concatenate([h[c] for h in held]) for c in columns})
+
+    return run
+
+
+def _near(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the rows at ``a`` and ``b`` are within ``MOST_APART`` bits."""
+    x, y = ((rows[c][a] ^ rows[c][b]).view(np.uint64) for c in ("c0", "c1"))
+    return np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y) <= MOST_APART
+
+
+def _meet(near: int, further: int):  # noqa: ANN202
+    def work(rows: dict[str, np.ndarray], place: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        found = length > near  # such runs are looked at again
+        src = rows["print"].copy()
+        for d in range(1, min(int(length.max()), near)):
+            b = np.flatnonzero((place >= d) & ((length <= near) | (d <= further)))
+            if not len(b):
+                break
+            b = b[_near(rows, b - d, b)]
+            src[b] = rows["print"][b - d]  # the later ones are smaller
+            found[b] = found[b - d] = True
+        far = np.flatnonzero((length > near) & (place > 0))
+        far = far[_near(rows, far - place[far], far)]
+        src[far] = rows["print"][far - place[far]]
+        at = np.flatnonzero(found)
+        return pa.RecordBatch.from_pydict({"key": rows["key"][at], "part": rows["part"][at], "print": rows["print"][at], "c0": rows["c0"][at], "c1": rows["c1"][at], "src": src[at]})
+
+    return _runs(work, ("key", "part", "print", "c0", "c1"))
+
+
+def _across(near: int):  # noqa: ANN202
+    """Candidates of different components."""
+
+    def work(rows: dict[str, np.ndarray], place: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        comp, src, dst = rows["component"], [], []
+
+        def take(a: np.ndarray, b: np.ndarray) -> None:
+            ok = comp[a] != comp[b]
+            a, b = a[ok], b[ok]
+            ok = _near(rows, a, b)
+            src.append(rows["print"][a[ok]])
+            dst.append(rows["print"][b[ok]])
+
+        for d in range(1, min(int(length.max()), near)):
+            b = np.flatnonzero((place >= d) & (length <= near))
+            if not len(b):
+                break
+            take(b - d, b)
+        for start in np.flatnonzero((length > near) & (place == 0)).tolist():
+            whole = np.arange(start, start + int(length[start]))
+            names, inverse, counts = np.unique(comp[whole], return_inverse=True, return_counts=True)
+            for one in whole[inverse != counts.argmax()].tolist():  # those outside the largest component
+                take(np.full(len(whole), one), whole)
+        a, b = np.concatenate([*src, np.zeros(0, np.int64)]), np.concatenate([*dst, np.zeros(0, np.int64)])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.RecordBatch.from_pydict({"src": pairs[:, 0].copy(), "dst": pairs[:, 1].copy()})
+
+    return _runs(work, ("key", "part", "print", "c0", "c1", "component"))
+
+
+def _least_overlap(n: Column) -> Column:
+    """Shingles that two sets of ``n`` together share at least for a similarity of 4 / 5."""
+    return F.ceil(n * 4 / 9)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rows_of: DataFrame) -> DataFrame:
@@ -121,34 +241,48 @@ def verified(pairs: DataFrame, texts: DataFrame, rows_of: DataFrame) -> DataFram
     return saved(pairs.join(a, "src").join(b, "dst").filter(shared >= _least_overlap(F.size("a") + F.size("b"))).select("src", "dst").distinct(), "near-copies")
 
 
-def near_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """``print, component`` of all linked prints: one row of ``print, n, rare, prefix, doc_id, row`` for each."""
-    sets = prints.filter(F.col("n") > 0).select("print", "n", "rare", F.explode("prefix").alias("h"))
+def _hot_keys(rows: DataFrame, texts: int) -> DataFrame | None:
+    """``key, parts`` of the variants with over ``HOT`` texts, as one text of ``COUNTED`` shows; none if there can't be any."""
+    if texts <= HOT:
+        return None
+    every = max(1, min(COUNTED, HOT // 20))
+    counts = rows.filter(F.pmod(F.xxhash64("print", F.lit(3)), F.lit(every)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = saved(counts.filter(F.col("n") * every * 2 > HOT).select("key", (F.ceil(F.col("n") * every / HOT) + 1).cast("int").alias("parts")), "hot-variants")
+    return found if found.limit(1).count() else None
+
+
+def near_links(prints: DataFrame, texts: DataFrame, bits: int, count: int) -> DataFrame:
+    """``print, component`` of all linked prints: one row of ``print, c0, c1, blocks, doc_id, row`` for each."""
     rows_of = prints.select("print", "doc_id", "row")
-    order = Window.partitionBy("h").orderBy("rare", "n", "print")
-    here = F.struct("print", "n")
-    met = sets.select("h", "print", "n", F.row_number().over(order).alias("k"), F.first(here).over(order).alias("head"), F.collect_list(here).over(order.rowsBetween(-NEAR, -1)).alias("before")).filter(F.col("k") > 1)
-    many = F.col("k") > NEAR + 1
-    others = F.when(many, F.array_union(F.array("head"), F.slice("before", NEAR - FURTHER + 1, FURTHER))).otherwise(F.col("before"))
-    met = saved(met.select("h", "print", "n", many.alias("many"), others.alias("others")), "met")
-    pairs = met.select("print", "n", "many", F.explode("others").alias("o")).filter((F.col("o.n") * 5 >= F.col("n") * 4) & (F.col("n") * 5 >= F.col("o.n") * 4) & (F.col("print") != F.col("o.print")))
-    pairs = pairs.select(F.least("print", "o.print").alias("src"), F.greatest("print", "o.print").alias("dst"), (F.col("n") + F.col("o.n")).alias("both"), F.least("n", "o.n").alias("least"), F.when(F.col("many"), 1 << 30).otherwise(1).alias("shared"))
-    pairs = pairs.groupBy("src", "dst").agg(F.first("both").alias("both"), F.first("least").alias("least"), F.sum("shared").alias("shared"))
-    pairs = saved(pairs.filter(F.col("shared") >= F.least(COMMON + F.floor(F.col("least") / 20), _least_overlap(F.col("both")))).select("src", "dst"), "pairs")
+    rows = variants(prints, bits)
+    hot = _hot_keys(rows, count)
+    if hot is None:
+        dealt = rows.withColumn("part", F.lit(0)).withColumn("first", F.lit(False))
+    else:
+        spread = rows.join(small(hot, hot.count()), "key", "left")
+        firsts = spread.filter(F.col("parts").isNotNull()).groupBy("key", "parts").agg(F.min(F.struct("print", "c0", "c1")).alias("h"))
+        firsts = firsts.select("key", "h.print", "h.c0", "h.c1", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("first"))
+        part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("print", F.lit(9)), F.col("parts")).cast("int"))
+        dealt = spread.select("key", "print", "c0", "c1", part.alias("part"), F.lit(False).alias("first")).unionByName(firsts)
+    met = dealt.repartition("key", "part").sortWithinPartitions("key", "part", F.desc("first"), "print").select("key", "part", "print", "c0", "c1")
+    met = saved(met.mapInArrow(_meet(NEAR, FURTHER), "key long, part int, print long, c0 long, c1 long, src long"), "met")
+    pairs = met.filter(F.col("src") != F.col("print")).select(F.least("src", "print").alias("src"), F.greatest("src", "print").alias("dst"))
+    pairs = saved(pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"), "pairs")
     links = verified(pairs, texts, rows_of)
     parts = saved(connected_components(links).withColumnRenamed("node", "print"), "near-components")
-    crowded = saved(met.filter("many").select("h").distinct(), "crowded")
-    if not crowded.limit(1).count():
+    # What isn't one component yet where it met; a text outside its hot variant's first component goes to all of the parts.
+    rest = met.select("key", "part", "print", "c0", "c1").distinct().join(small(parts, parts.count()), "print", "left").withColumn("component", F.coalesce("component", "print"))
+    if hot is not None:
+        rest = rest.join(small(hot, hot.count()), "key", "left")
+        lead = rest.filter(F.col("parts").isNotNull()).groupBy("key").agg(F.min_by("component", "print").alias("lead"))
+        rest = rest.join(small(lead, lead.count()), "key", "left")
+        parts_of = F.when(F.col("parts").isNotNull() & (F.col("component") != F.col("lead")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+        rest = rest.select("key", F.explode(parts_of).alias("part"), "print", "c0", "c1", "component").distinct()
+    rest = rest.repartition("key", "part").sortWithinPartitions("key", "part", "print").select("key", "part", "print", "c0", "c1", "component")
+    more = rest.mapInArrow(_across(NEAR), "src long, dst long").distinct().join(pairs, ["src", "dst"], "left_anti")
+    more = saved(more, "more-pairs")
+    if not more.limit(1).count():
         return parts
-    # What still isn't one component where many met.
-    rest = sets.join(small(crowded, crowded.count()), "h").join(parts, "print", "left").withColumn("component", F.coalesce("component", "print"))
-    rest = saved(rest.select("h", "print", "n", "component"), "crowds")
-    split = rest.groupBy("h").agg((F.min("component") != F.max("component")).alias("split")).filter("split").select("h")
-    rest = saved(rest.join(split, "h"), "split-crowds")
-    a, b = (rest.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("print", "n", "component")]) for x in "ab")
-    like = (F.col("a_print") < F.col("b_print")) & (F.col("a_component") != F.col("b_component")) & (F.col("a_n") * 5 >= F.col("b_n") * 4) & (F.col("b_n") * 5 >= F.col("a_n") * 4)
-    more = a.join(b, "h").filter(like).select(F.col("a_print").alias("src"), F.col("b_print").alias("dst")).distinct()
-    more = saved(more.join(pairs, ["src", "dst"], "left_anti"), "more-pairs")
     found = verified(more, texts, rows_of)
     if not found.limit(1).count():
         return parts
@@ -161,12 +295,15 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     Texts of one shingle set, as those without words, are one text.  Rows that
     repeat an id all stay or all go.  Rows whose id is null stay.
     """
-    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    found = saved(prefixes(texts, common_shingles(texts)), "shingle-prefixes")
-    distinct = saved(found.groupBy("print").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("print", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")), "distinct-sets")
-    firsts = found.join(distinct, ["print", "doc_id", "row"], "left_semi").dropDuplicates(["print"])
-    parts = near_links(saved(firsts, "firsts"), texts)
-    roots = distinct.join(parts, "print", "left").withColumn("component", F.coalesce("component", "print"))
+    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    count = texts.count()
+    bits, blocks = block_plan(count)
+    found = saved(fingerprints(texts, bits, blocks), "fingerprints")
+    first = F.min(F.struct("doc_id", "row"))
+    distinct = found.groupBy("print").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("n", "c0", "c1", "blocks")])
+    distinct = saved(distinct.select("print", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), "n", "c0", "c1", "blocks"), "distinct-sets")
+    parts = near_links(distinct.filter("n > 0"), texts, bits, count)
+    roots = distinct.select("print", "doc_id").join(parts, "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = roots.groupBy("component").agg(F.min("doc_id").alias("least"))
     roots = saved(roots.join(least, "component").select("print", "least"), "near-roots")
     gone = found.select("doc_id", "print").join(roots, "print").filter(F.col("doc_id") != F.col("least")).select(F.col("doc_id").alias(doc_id)).distinct()

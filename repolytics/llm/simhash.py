@@ -57,9 +57,9 @@ def simhash(text: Column, width: int = 3) -> Column:
     return fingerprints(text)
 
 
-def ball(radius: int) -> list[int]:
-    """All 64-bit masks of at most ``radius`` bits, as signed longs."""
-    masks = [sum(1 << i for i in bits) for n in range(radius + 1) for bits in combinations(range(64), n)]
+def ball(radius: int, width: int = 64) -> list[int]:
+    """All masks of at most ``radius`` of ``width`` bits, as signed longs."""
+    masks = [sum(1 << i for i in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 

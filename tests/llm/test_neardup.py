@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from repolytics.llm import neardup
@@ -68,18 +69,43 @@ def planted():
     return [*texts, None, "", " \n", "one two", "One  two", "a b c d e f"], copies
 
 
-@pytest.mark.parametrize("near", [32, 4])
-def test_stage_finds_planted_copies(spark, monkeypatch, near):
+@pytest.mark.parametrize(("near", "hot"), [(256, 20_000), (4, 20_000), (4, 20)])
+def test_stage_finds_planted_copies(spark, monkeypatch, near, hot):
     monkeypatch.setattr(neardup, "NEAR", near)
+    monkeypatch.setattr(neardup, "HOT", hot)
     texts, copies = planted()
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs_of(spark, texts), "").collect()}
     assert not kept & set(copies)
     assert kept == brute_kept(texts)
 
 
-def test_copies_of_no_common_centre(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [20_000, 20])
+def test_copies_of_no_common_centre(spark, monkeypatch, hot):
     monkeypatch.setattr(neardup, "NEAR", 4)
+    monkeypatch.setattr(neardup, "HOT", hot)
     rng = random.Random(9)
     base = [f"w{rng.randrange(400)}" for _ in range(200)]
     texts = [" ".join(copy_at(rng, base, 0.86)) for _ in range(60)]
     assert {r.doc_id for r in neardup.drop_near_copies(docs_of(spark, texts)).collect()} == brute_kept(texts)
+
+
+def test_recall_of_copies_by_similarity():
+    """Of pairs of a similarity of 0.8 and little more nearly all meet in a block and pass the comparison of bits."""
+    rng = random.Random(1)
+    for texts in (100, 300_000, 10**9):
+        bits, count = neardup.block_plan(texts)
+        words = max(2, -(-bits * count // 64))
+        met = total = 0
+        for _ in range(300):
+            base = [str(rng.random()) for _ in range(rng.choice([30, 100, 400]))]
+            a, b = (neardup.wide_print(neardup.shingles_of(" ".join(x)), words) for x in (base, copy_at(rng, base, 0.8)))
+            apart = np.bitwise_count(a[:2] ^ b[:2]).sum()
+            blocks = neardup._blocks(np.stack([a, b]), bits, count)
+            met += apart <= neardup.MOST_APART and int(np.bitwise_count(blocks[0] ^ blocks[1]).min()) <= neardup.RADIUS
+            total += 1
+        assert met / total > 0.97, (texts, met / total)
+
+
+def test_small_sets_of_shingles(spark):
+    texts = ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g", "x", "X", "", None]
+    assert {r.doc_id for r in neardup.drop_near_copies(docs_of(spark, texts)).collect()} == brute_kept(texts)
