@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,10 +18,13 @@ BROADCAST_ROWS = 50_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests) a folder of our own is set.
+    Only where the session names none and all runs in one process (as in tests) a
+    folder of our own is set; on a cluster such a folder wouldn't be shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,6 +47,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`saved` wrote and nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        folder = f"{shared_dir(spark)}/"
+        paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for path in paths:
+            if path.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")):
+                hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that their names meet none of an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(own: str, names: Sequence[str]) -> list[Column]:
+    """The columns that :func:`packed` put into ``own``."""
+    return [F.col(own)[n].alias(n) for n in names]
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is known to have ``limit`` rows at most."""
     return F.broadcast(df) if rows <= limit else df

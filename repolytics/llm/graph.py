@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolytics.llm.common import saved
+from repolytics.llm.common import discard, saved
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 100) -> DataFrame:
@@ -33,6 +33,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .unionByName(offers.select(F.col("parent").alias("node"), F.col("offer").alias("to"), F.lit(None).cast("long").alias("old")))
         )
         moved = saved(moves.groupBy("node").agg(F.min("to").alias("parent"), F.max("old").alias("old")), "components")
+        discard(nodes, held)
         nodes = moved.select("node", "parent")
         if not moved.filter(F.col("parent") != F.col("old")).limit(1).count():
             return nodes.select("node", F.col("parent").alias("component"))
