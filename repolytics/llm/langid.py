@@ -7,8 +7,9 @@ A document's language is that of most of its letters.
 
 Trigram counts are taken over all training rows.  A task adds up its own rows in
 a table of ``BUCKETS`` numbers for each language, so what is shuffled is that
-table and not the text, and what comes to the driver is at most
-``languages * BUCKETS`` numbers.
+table and not the text, and what comes to the driver is ``languages * BUCKETS``
+numbers, a row for each language.  Every language is learned; a model beyond
+``MODEL_BYTES`` is an error, never a choice of languages.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repolytics.llm import codepoints
-from repolytics.llm.common import text_slices
+from repolytics.llm.common import packed, saved, text_slices, unpacked
 
 BUCKETS = 1 << 15
 #: Texts that take the steps of the Viterbi together, and characters whose trigrams are looked up at a time.
 SLICE_BYTES = 8 << 20
 PART_CHARS = 1 << 19
-#: Languages of more training documents come first; beyond this many none is learned.
-MOST_LANGUAGES = 200
+#: The largest model that is handed to tasks: some 8000 languages.
+MODEL_BYTES = 1 << 30
 #: A language is written in a script that has this share of its letters at least.
 SCRIPT_SHARE = 0.02
 SWITCH = 14.0
@@ -92,21 +93,25 @@ def _counts(lang: str, text: str):  # noqa: ANN202
     return run
 
 
-def fit_languages(docs: DataFrame, *, lang: str = "lang", text: str = "text", least_docs: int = 3) -> LanguageModel:
-    """Trigram tables of every language that ``least_docs`` rows have; null languages teach nothing."""
+def fit_languages(docs: DataFrame, *, lang: str = "lang", text: str = "text", least_docs: int = 1) -> LanguageModel:
+    """Trigram tables of every language that ``least_docs`` rows have; null languages and null texts teach nothing.
+
+    Repeated rows count each.  Languages that score alike are told apart by the order of their names.
+    """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     counts = rows.mapInArrow(_counts("lang", "text"), "lang string, bucket long, held long").groupBy("lang", "bucket").agg(F.sum("held").alias("held"))
-    counts = counts.persist()
     last = BUCKETS + len(codepoints.SCRIPTS)
-    found = counts.filter(F.col("bucket") == last).filter(F.col("held") >= least_docs).orderBy(F.desc("held"), "lang").limit(MOST_LANGUAGES)
-    names = sorted(r.lang for r in found.collect())
-    table = np.zeros((last + 1, max(1, len(names))))
+    pair = F.struct("bucket", "held")
+    tables = saved(counts.groupBy("lang").agg(F.collect_list(pair).alias("held"), F.max(F.when(F.col("bucket") == last, F.col("held"))).alias("docs")).filter(F.col("docs") >= least_docs), "languages")
+    names = sorted(r.lang for r in tables.select("lang").collect())
+    if len(names) * BUCKETS * 4 > MODEL_BYTES:
+        raise ValueError(f"{len(names)} languages need a larger model than {MODEL_BYTES} bytes")
+    table = np.zeros((last + 1, max(1, len(names))), np.float32)
     number = {n: i for i, n in enumerate(names)}
-    for r in counts.filter(F.col("lang").isin(names)).toLocalIterator() if names else ():
-        table[r.bucket, number[r.lang]] = r.held
-    counts.unpersist()
-    grams = table[:BUCKETS] + 0.05
-    scores = np.log(grams / grams.sum(axis=0)).astype(np.float32)
+    for r in tables.select("lang", F.col("held.bucket").alias("at"), F.col("held.held").alias("held")).toLocalIterator():
+        table[np.array(r.at), number[r.lang]] = r.held
+    grams = table[:BUCKETS] + np.float32(0.05)
+    scores = np.log(grams / grams.sum(axis=0, dtype=np.float64)).astype(np.float32)
     share = table[BUCKETS:last] / np.maximum(1, table[BUCKETS:last].sum(axis=0))
     return LanguageModel(names, scores, share >= SCRIPT_SHARE, np.log(np.maximum(1, table[last]) / max(1, table[last].sum())).astype(np.float32))
 
@@ -216,9 +221,10 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", penal
 
     @F.arrow_udf(LABELLED)
     def labels(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        most = SLICE_BYTES * 4 // max(4, len(handed.value.names))  # the score table of a slice has a column for each
         for batch in batches:
             rows = []
-            for part in text_slices([pa.RecordBatch.from_arrays([batch], ["t"])], "t", SLICE_BYTES):
+            for part in text_slices([pa.RecordBatch.from_arrays([batch], ["t"])], "t", most):
                 for lang, score, spans in label_texts(part.column(0).to_pylist(), handed.value, penalty):
                     rows.append({"lang": lang, "score": score, "spans": [{"begin": a, "end": b, "lang": n} for a, b, n in spans]})
             yield pa.array(rows, kind)
@@ -232,7 +238,10 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def language_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Learn from the rows that aren't held out, and label every row."""
+    """``doc_id, held_out, lang_pred, score, n_spans``: learn from the rows that aren't held out, and label every row.
+
+    Null, empty and letterless texts are ``und`` with score 0; repeated rows are each labelled; no rows give no rows.
+    """
     out = held_out(F.col(doc_id), 4, 2)
     model = fit_languages(docs.filter(~out), lang=lang, text=text)
     rows = docs.select(doc_id, out.alias("held_out"), identify(docs, model, text=text).alias("found"))
@@ -240,7 +249,10 @@ def language_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_identified(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
-    """``docs`` without those that have no language or none with ``least`` of their letters."""
+    """``docs`` without those that have no language or none with ``least`` of their letters.
+
+    Null, empty and letterless texts go; repeated rows stay or go alike; all columns stay, whatever their names.
+    """
     model = fit_languages(docs, lang=lang, text=text)
-    found = docs.withColumn("_found", identify(docs, model, text=text))
-    return found.filter((F.col("_found.lang") != NONE) & (F.col("_found.score") >= least)).select(*docs.columns)
+    found = docs.select(packed(docs).alias("own"), identify(docs, model, text=text).alias("found"))
+    return found.filter((F.col("found.lang") != NONE) & (F.col("found.score") >= least)).select(*unpacked("own", docs.columns))
