@@ -13,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolytics.llm.common import saved
+from repolytics.llm.common import packed, saved
 
 RATIO = 0.1
-LEAST_PAGES = 5
+#: A line on one page only repeats nothing, however few pages its host has.
+LEAST_PAGES = 2
+#: For sources as for hosts, but documents that are near copies of each other haven't been merged yet.
+LEAST_DOCS = 5
 #: For sources, which are far larger than sites: lines of so many words at least, and the ratio for them.
 #: On sf0.1 lines of one to three words stand by chance on up to 3 % of a source, repeated lines of five
 #: words or more on 1 to 13 %, and no line of over 30 words on more than 4 documents of 500.
@@ -32,7 +35,7 @@ def _digest(line: Column) -> Column:
     return F.when(bare != "", F.md5(bare))
 
 
-def source_boilerplate(docs: DataFrame, source: Column, text: Column, *, ratios: tuple[tuple[int, float], ...] = SOURCE_RATIOS, least_docs: int = LEAST_PAGES) -> DataFrame:
+def source_boilerplate(docs: DataFrame, source: Column, text: Column, *, ratios: tuple[tuple[int, float], ...] = SOURCE_RATIOS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``host, lines``: the digests of each source's boilerplate lines, with a ratio by their number of words.
 
     Exact copies of a text count once, among the lines' documents and the source's.
@@ -72,28 +75,28 @@ def drop_boilerplate(pages: DataFrame, host: Column, *, text: str = "text", rati
 
     Lines end at "\\n"; a line's outer spaces and tabs don't matter.  Kept lines
     are as they were and in their order.  Blank lines, null and empty texts, and
-    pages without host stay as they are.  With ``counts`` the columns ``n_lines``
+    pages without host stay as they are; repeated rows count each; all columns
+    stay, whatever their names.  With ``counts`` the columns ``n_lines``
     and ``n_dropped`` are added (null texts: 0).  ``found`` are boilerplate lines of other rules.
     """
     found = saved(boilerplate(pages, host, F.col(text), ratio=ratio, least_pages=least_pages) if found is None else found, "boilerplate")
     held = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)), F.count(F.lit(1))).first()
-    rows = pages.withColumn("_host", host)
+    rows = pages.select(packed(pages).alias("own"), host.alias("host"), F.col(text).alias("body"))
     if held[0] + held[1] <= BROADCAST_LINES:
-        rows = rows.join(F.broadcast(found.select(F.col("host").alias("_host"), F.col("lines").alias("_drop"))), "_host", "left")
+        rows = rows.join(F.broadcast(found.select("host", "lines")), "host", "left")
     else:
         # Too much for a broadcast: a host's pages are dealt over SALTS parts, and its array goes to each of them.
-        salt = F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
-        spread = found.select(F.col("host").alias("_host"), F.col("lines").alias("_drop"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        rows = rows.withColumn("_salt", salt).join(spread, ["_host", "_salt"], "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("_drop"), _digest(x)), F.lit(True)))
-    out = rows.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
-    body = F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))
-    own = [body.alias(c) if c == text else F.col(c) for c in pages.columns if not counts or c not in ("n_lines", "n_dropped")]
+        salt = F.pmod(F.xxhash64("body", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+        spread = found.select("host", "lines", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        rows = rows.withColumn("salt", salt).join(spread, ["host", "salt"], "left")
+    lines = F.split(F.col("body"), "\n")
+    kept = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("lines"), _digest(x)), F.lit(True)))
+    out = rows.withColumn("kept", F.when(F.col("lines").isNotNull(), kept))
+    body = F.when(F.col("kept").isNull(), F.col("body")).otherwise(F.array_join("kept", "\n"))
+    own = [body.alias(c) if c == text else F.col("own")[c].alias(c) for c in pages.columns if not counts or c not in ("n_lines", "n_dropped")]
     if counts:
-        n = F.coalesce(F.size(lines), F.lit(0))
-        n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n)
-        own += [n.cast("long").alias("n_lines"), F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n - F.size("_kept")).cast("long").alias("n_dropped")]
+        n = F.when(F.col("body").isNull(), F.lit(0)).otherwise(F.size(lines))
+        own += [n.cast("long").alias("n_lines"), F.when(F.col("kept").isNull(), F.lit(0)).otherwise(n - F.size("kept")).cast("long").alias("n_dropped")]
     return out.select(*own)
 
 
@@ -135,7 +138,7 @@ WITH p AS (
   FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM p)
 ), c AS (
   SELECT host, bare FROM l JOIN (SELECT host, count(*) AS pages FROM p GROUP BY host) t USING (host) WHERE bare <> ''
-  GROUP BY host, bare, pages HAVING count(DISTINCT r) >= 5 AND count(DISTINCT r) > pages * 0.1::DOUBLE
+  GROUP BY host, bare, pages HAVING count(DISTINCT r) >= 2 AND count(DISTINCT r) > pages * 0.1::DOUBLE
 ), o AS (
   SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE c.bare IS NOT NULL) AS n_dropped, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE c.bare IS NULL) AS kept
   FROM l LEFT JOIN c ON l.host = c.host AND l.bare = c.bare GROUP BY r
