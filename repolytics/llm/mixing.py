@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolytics.llm.common import saved, small
+from repolytics.llm.common import packed, saved, small, unpacked
 
 WORDS = r"[^\x20\x09-\x0D]+"
 LEVEL = 256
@@ -127,14 +127,16 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     plan = plan_mix(docs, doc_id=doc_id, text=text, source=source, weights=weights, cap=cap, seed=seed, weight=weight)
     w = None if weight is None else F.coalesce(weight.cast("double"), F.lit(0.0))
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    rows = docs.select(*own, _key(F.col(source)).alias("_key"), _odds(F.col(doc_id), seed).alias("_odds"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), (F.lit(1.0) if w is None else w).alias("_weight"))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
+    rows = docs.select(packed(docs).alias("own"), _key(F.col(source)).alias("_key"), _odds(F.col(doc_id), seed).alias("_odds"), size.alias("size"), (F.lit(1.0) if w is None else w).alias("_weight"))
     kept = plan.sources.select("_key", "source_size", "target", "mean_weight", "bucket", "last")
     rows = rows.join(small(kept, plan.rows), "_key").withColumn("_due", _due(None if w is None else F.col("_weight"), cap))
     rank = _rank(F.col("_odds"), F.col("_due"))
     bucket = _bucket(rank, 2)
     drawn = rank.isNotNull() & (F.col("bucket").isNull() | (bucket < F.col("bucket")) | ((bucket == F.col("bucket")) & (rank <= F.coalesce(F.col("last"), F.lit(-1.0)))))
     copies = F.floor("_due") + F.coalesce(drawn, F.lit(False)).cast("long")
-    return rows.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies")).select(*own, "size", "source_size", "target", "copies", "taken")
+    rows = rows.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
+    return rows.select(*unpacked("own", own), "size", "source_size", "target", "copies", "taken")
 
 
 QUERY_COLUMNS = ("doc_id", "size", "source_size", "target", "taken")
