@@ -6,10 +6,11 @@ The shard's FM-index is searched backwards for all windows of the benchmark at
 once, occurrences are located by sampled suffix positions, and overlapping ones
 merge into spans.  Text never leaves its partition, so there is no shuffle.
 
-The benchmark is handed out in blocks of ``block_bytes`` at most (a larger item
-is a block of its own); each further block is one more pass over the documents
-that adds to the spans found before, so a large benchmark takes longer but is
-never cut.
+The benchmark is handed out in blocks of about ``block_bytes`` (a larger item is
+in a block with others); each further block is one more pass over the documents,
+which adds to the spans found before and is written before the next one starts,
+so a large benchmark takes longer but is never cut, and one block at a time is on
+the driver and in a worker.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repolytics.llm.common import text_slices
+from repolytics.llm.common import discard, packed, saved, text_slices
 from repolytics.llm.fmindex import FMIndex
 
 SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 
 
 @cache
@@ -40,57 +41,80 @@ def _word_bytes() -> np.ndarray:
     return table
 
 
-_grown: list[tuple[np.ndarray, np.ndarray]] = []
+_grown: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash's base and its inverse to the powers 0 to n - 1 at least, modulo 2 ** 64; the longest tables are kept."""
-    if not _grown or len(_grown[0][0]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """``base`` and its inverse to the powers 0 to n - 1 at least, modulo 2 ** 64; the longest tables are kept."""
+    if base not in _grown or len(_grown[base][0]) < n:
         one = np.ones(1, np.uint64)
-        _grown[:] = [tuple(np.concatenate([one, np.cumprod(np.full(max(n, 1 << 16) - 1, b, np.uint64))]) for b in (_BASE, inverse))]
-    return _grown[0]
+        _grown[base] = tuple(np.concatenate([one, np.cumprod(np.full(max(n, 1 << 16) - 1, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
+    return _grown[base]
 
 
-def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: bytes, base: int = _BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each word of lower-cased UTF-8 bytes."""
     raw = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = _word_bytes()[raw]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(raw) + 1)
+    up, down = _powers(len(raw) + 1, base)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
     return start, end, (total[end] - total[start]) * down[start]
 
 
+def _same_words(data: bytes, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word that ``like`` names for it."""
+    length = end - start
+    if (length != length[like]).any():
+        return False
+    raw = np.frombuffer(data, np.uint8)
+    for n in np.unique(length).tolist():
+        at = np.flatnonzero((length == n) & (like != np.arange(len(like))))
+        for part in np.array_split(at, 1 + len(at) * n // (1 << 24)):
+            place = np.arange(n)
+            if (raw[start[part, None] + place] != raw[start[like[part], None] + place]).any():
+                return False
+    return True
+
+
 class Windows:
     """The windows of one block of the benchmark, as symbols of its vocabulary."""
 
     def __init__(self, items: Sequence[tuple[str, str | None]], size: int) -> None:
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            data = (text or "").encode().lower()
-            start, end, _ = words_of(data)
-            words = [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-            for i in range(max(1, len(words) - size + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + size]), set()).add(item)
-        vocabulary = sorted({w for win in found for w in win})
-        _, _, hashes = words_of(b" ".join(vocabulary))
-        self.words = [b"", *vocabulary]
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.symbols = hashes[order], order.astype(np.int64) + 1
+        self.items = sorted({name for name, _ in items})
+        place = {name: i for i, name in enumerate(self.items)}
+        parts = [(text or "").encode().lower() for _, text in items]
+        data = b"\n".join([*parts, b""])
+        base = _BASE
+        while True:
+            start, end, hashes = words_of(data, base)
+            self.hashes, first, symbol = np.unique(hashes, return_index=True, return_inverse=True)
+            if _same_words(data, start, end, first[symbol]):
+                break
+            base = (base + 0x632BE59BD9B4E01A) % (1 << 64)  # another odd base, under which no two words of the block collide
+        self.base = base
+        self.words = [b"", *(data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True))]
         self.lengths = np.array([len(w) for w in self.words])
-        number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for n in sorted({len(win) for win in found}):
-            rows = [win for win in found if len(win) == n]
-            self.by_length[n] = np.array([[number[w] for w in win] for win in rows], np.int64), [sorted(found[win]) for win in rows]
+        symbol = (symbol + 1).astype(np.int32)
+        heads = np.searchsorted(start, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+        many = np.diff(heads)
+        name = np.array([place[n] for n, _ in items], np.int64)
+        #: By length: the distinct windows, and the items of each as offsets into a flat list.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(many[many > 0], size)).tolist():
+            whole = np.flatnonzero(many >= n if n == size else many == n)
+            count = many[whole] - n + 1
+            at = np.repeat(heads[:-1][whole] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            patterns, inverse = np.unique(np.lib.stride_tricks.sliding_window_view(symbol, n)[at], axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([inverse.ravel(), np.repeat(name[whole], count)], 1), axis=0)
+            self.by_length[n] = patterns, np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)), pairs[:, 1]
 
     def encode(self, hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        found = np.where(self.hashes[at] == hashes, self.symbols[at], 0)
+        found = np.where(self.hashes[at] == hashes, at + 1, 0)
         return np.where(self.lengths[found] == lengths, found, 0)
 
 
@@ -99,7 +123,7 @@ def search_shard(texts: Sequence[str | None], windows: Windows) -> list[tuple[in
     parts = [(t or "").encode().lower() for t in texts]
     data = b"\n".join(parts) + b"\n"
     starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    begin, end, hashes = words_of(data)
+    begin, end, hashes = words_of(data, windows.base)
     first = np.searchsorted(begin, starts)
     counts = np.diff(first)
     out = [(int(n), [], []) for n in counts]
@@ -122,7 +146,7 @@ def search_shard(texts: Sequence[str | None], windows: Windows) -> list[tuple[in
         return out
     index = FMIndex(seq, len(windows.words))
     hits: list[tuple[np.ndarray, int, np.ndarray]] = []
-    for n, (patterns, _) in windows.by_length.items():
+    for n, (patterns, _, _) in windows.by_length.items():
         lo, hi = index.search(patterns)
         many = hi - lo
         if many.sum():
@@ -156,10 +180,10 @@ def search_shard(texts: Sequence[str | None], windows: Windows) -> list[tuple[in
         out[d][1].append((a - int(first[d]), b - int(first[d]), int(begin[a] - starts[d]), int(end[b - 1] - starts[d])))
     items: dict[int, set[str]] = {}
     for at, n, which in hits:
-        names = windows.by_length[n][1]
+        _, offsets, names = windows.by_length[n]
         pairs = np.unique(np.stack([np.searchsorted(first, at, side="right") - 1, which], 1), axis=0) if len(at) else np.empty((0, 2), int)
         for d, k in pairs.tolist():
-            items.setdefault(d, set()).update(names[k])
+            items.setdefault(d, set()).update(windows.items[i] for i in names[offsets[k] : offsets[k + 1]].tolist())
     return [(n, spans, sorted(items.get(d, ()))) for d, (n, spans, _) in enumerate(out)]
 
 
@@ -208,7 +232,8 @@ def _pass(text: str, found: str, block: object, size: int, shard: int, cut: bool
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, found: str = "_found", cut: bool = False, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct column ``found``: ``n_words``, ``spans`` and ``items``.
 
-    With ``cut`` the last pass also takes the spans out of the text.
+    With ``cut`` the last pass also takes the spans out of the text.  Other columns
+    stay, whatever their names; one named ``found`` is replaced.
 
     Words are runs of 0-9, a-z (after lower-casing A-Z) and code points from
     U+0080.  A window is ``size`` consecutive words of an item, or all words of a
@@ -218,16 +243,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
     disjoint and ordered; bytes count in the text's UTF-8.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("body"))
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("body")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("body") + F.octet_length("item")), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // block_bytes))
-    out = docs.withColumn(found, F.lit(None).cast(FOUND))
+    out = docs.select(packed(docs).alias("own"), F.col(text).alias("body"), F.lit(None).cast(FOUND).alias("found"))
     for k in range(parts):
-        # A block is bounded by its share of the bytes; only that much is on the driver at a time.
+        # A block is bounded by its share of the bytes; only that much is on the driver and in a worker at a time.
         block = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == k)
-        rows = [(r.item, r.body) for r in block.toLocalIterator()]
-        out = out.mapInArrow(_pass(text, found, spark.sparkContext.broadcast(rows), size, shard_bytes, cut and k == parts - 1), out.schema)
-    return out
+        rows = spark.sparkContext.broadcast([(r.item, r.body) for r in block.toLocalIterator()])
+        before, out = out, out.mapInArrow(_pass("body", "found", rows, size, shard_bytes, cut and k == parts - 1), out.schema)
+        if k < parts - 1:
+            out = saved(out, "leaks")
+            rows.unpersist()
+            if k:
+                discard(before)
+    own = [F.col("body").alias(c) if c == text else F.col("own")[c].alias(c) for c in docs.columns if c != found]
+    return out.select(*own, F.col("found").alias(found))
 
 
 def _cut(text: str | None, spans: object) -> str | None:
@@ -243,7 +274,8 @@ def _cut(text: str | None, spans: object) -> str | None:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **how: object) -> DataFrame:
     """``docs`` with every benchmark span cut out of ``text``; all rows and columns stay."""
-    return find_leaks(docs, benchmark, text=text, cut=True, **how).select(*docs.columns)
+    free = "_" * (1 + max((len(c) for c in docs.columns), default=0))
+    return find_leaks(docs, benchmark, text=text, cut=True, found=free, **how).drop(free)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
