@@ -4,7 +4,7 @@ What was written is taken as a clean word that passed a channel: letters may be
 replaced by look-alike signs, repeated, or set apart by signs and spaces.  A
 suspicious token spans a lattice of readings, each with the channel's cost, and
 a Viterbi decode under a character trigram model of the corpus picks the reading.
-The restored words are then scored.
+The restored words, the same as :func:`restore` gives, are then scored.
 
 The character model is counted over all documents; a task adds up its own rows,
 so tables of a fixed size are shuffled.  Which words and beginnings of words speak
@@ -45,6 +45,8 @@ LOOKS_LIKE = {
 #: Signs that may stand between the letters of a word.
 BETWEEN = ".-_~'’·,:;/\\"
 COST_SIGN, COST_ANY_VOWEL, COST_KEEP, COST_DOUBLE, COST_SINGLE, COST_BETWEEN = 1.0, 2.0, 9.0, 1.0, 0.3, 0.5
+#: A token without any letter is read as a word if that costs less than this for each character.
+COST_AS_WRITTEN = 4.0
 
 _EDGE = re.compile(r"^(?:[\W_]{3,}|[^\w$@!|(*+#&%€£¡<]|_)*|(?:[\W_]{3,}|[^\w$@]|_)*$")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~·]{1,2}[^\W_]){2,}(?![^\W_])")
@@ -141,12 +143,16 @@ class Decoder:
             i = j
         return out
 
-    def decode(self, token: str) -> str:
-        """The cheapest reading; spaces part words."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def cheapest(self, token: str) -> tuple[float, str]:
+        """The cheapest reading and its cost; spaces part words.
+
+        A state is the last two letters; each keeps its cost and the way back, so
+        the time grows with the token's length.
+        """
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for ways in self.lattice(token):
-            nexts: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (paid, said) in paths.items():
+            nexts: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (paid, back) in paths.items():
                 for text, cost in ways:
                     x, y, total = a, b, paid + cost
                     for ch in text:
@@ -159,12 +165,25 @@ class Decoder:
                             total += self.price(x, y, c)
                             x, y = y, c
                     if (x, y) not in nexts or total < nexts[x, y][0]:
-                        nexts[x, y] = (total, said + text)
+                        nexts[x, y] = (total, (back, text))
             paths = nexts
-        return min((paid + (self.price(a, b, 0) if b else 0.0), said) for (a, b), (paid, said) in paths.items())[1]
+        cost, back = min(((paid + (self.price(a, b, 0) if b else 0.0), back) for (a, b), (paid, back) in paths.items()), key=lambda x: x[0])
+        said = []
+        while back is not None:
+            back, text = back
+            said.append(text)
+        return cost, "".join(reversed(said))
+
+    def decode(self, token: str) -> str:
+        """The cheapest reading."""
+        return self.cheapest(token)[1]
 
     def restore_token(self, token: str) -> tuple[str, ...]:
         """The words of one lower-case token without white space."""
+        if len(token) > 2 and len(set(token)) > 1 and all(c in LOOKS_LIKE for c in token):
+            # Signs or digits only: a word if it reads like one.
+            cost, said = self.cheapest(token)
+            return tuple(said.split()) if cost < COST_AS_WRITTEN * len(token) else ()
         core = _EDGE.sub("", token)
         if not core:
             return ()
@@ -174,9 +193,9 @@ class Decoder:
             return ()
         return tuple(self.decode(core).split())
 
-    def restore_spaced(self, text: str) -> list[tuple[str, ...]]:
-        """Words read out of stretches of single letters that signs or spaces set apart."""
-        return [tuple(self.decode(m[0]).split()) for m in _SPACED.finditer(text)]
+    def tokens(self, text: str) -> list[str]:
+        """Lower-case tokens; a stretch of single letters that signs or spaces set apart is read first."""
+        return _SPACED.sub(lambda m: f" {self.decode(m[0])} ", text.lower()).split()
 
 
 def word_hashes(word: str) -> list[int]:
@@ -201,8 +220,7 @@ class Restorer:
 
     def features(self, text: str | None) -> tuple[dict[int, int], int]:
         """How often each feature occurs, and the number of tokens."""
-        low = (text or "").lower()
-        tokens = low.split()
+        tokens = self.decoder.tokens(text or "")
         found: dict[int, int] = {}
         known = self.known
         for token in tokens:
@@ -213,9 +231,6 @@ class Restorer:
                 got = known[token] = self._of(self.decoder.restore_token(token))
             for f in got:
                 found[f] = found.get(f, 0) + 1
-        for words in self.decoder.restore_spaced(low):
-            for f in self._of(words):
-                found[f] = found.get(f, 0) + 1
         return found, len(tokens)
 
 
@@ -298,7 +313,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, label: st
     z = (F.col("t") / t - F.col("n") / n) / F.sqrt(rate * (F.lit(1.0) - rate) * (1 / n + 1 / t) + 1e-12)
     best = counts.withColumn("z", z).filter(F.col("z") > 2).orderBy(F.desc("z"), "slot").limit(FEATURES).collect()
     places = {r.slot: i for i, r in enumerate(best)}
-    vectors = sample.mapInArrow(_vectors(spark.sparkContext.broadcast((chars, places))), "doc_id long, label int, n int, at array<int>, times array<int>")
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    vectors = sample.mapInArrow(_vectors(spark.sparkContext.broadcast((chars, places))), f"doc_id {kind}, label int, n int, at array<int>, times array<int>")
     found = saved(vectors, "toxicity-sample").orderBy("doc_id").toArrow().combine_chunks()  # about ``rows`` sparse rows, as flat arrays
     lists = [found.column(c).combine_chunks() for c in ("at", "times")]
     flat_at, times = (x.flatten().to_numpy(zero_copy_only=False) if len(x) else np.zeros(0, np.int32) for x in lists)
@@ -343,15 +359,17 @@ def restored(docs: DataFrame, chars: np.ndarray, *, text: str = "text") -> Colum
 
 def restore(text: str, decoder: Decoder) -> str:
     """The text's words as they are read: spaced stretches first, then each token."""
-    low = _SPACED.sub(lambda m: f" {decoder.decode(m[0])} ", text.lower())
-    return " ".join(w for token in low.split() for w in decoder.restore_token(token))
+    return " ".join(w for token in decoder.tokens(text) for w in decoder.restore_token(token))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row.
 
-    Without labels of both values the score is the share of label 1 (no labels:
-    one half).
+    Null and empty texts get the score of no words; repeated rows score alike, and
+    so do texts that read the same.  Ids may be of any type; an id with several
+    labels has the largest.  Without labels of both values the score is the share
+    of label 1 (no labels: one half); no rows give no rows.  Other columns,
+    whatever their names, aren't read.
     """
     out = held_out(F.col("doc_id"), 5, 0)
     model = fit_toxicity(docs, labels, ~out)
