@@ -3,7 +3,8 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so
 sketches of parts merge by union, and containment can be told between documents
 of very unequal length.  A text none of whose hashes is below the threshold keeps
-its smallest; in a merge that one yields to any hash below the threshold.
+its smallest; in a merge that one yields to any hash below the threshold, and
+between two texts it says only whether their smallest hashes are the same.
 Only DataFrame functions are used.
 """
 
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from repolytics.llm.common import saved
 
 #: Of 2 ** FRACTION_BITS hashes one is kept.
-FRACTION_BITS = 4
+FRACTION_BITS = 2
 BUCKET_ROWS = 1024
 MOST_BUCKETS = 50_000
+#: Ids that are drawn for each range.
+DRAWN = 8
 
 
 def sketch(text: Column, width: int = 5, bits: int = FRACTION_BITS) -> Column:
@@ -67,11 +70,11 @@ def containment(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
-def _bucket(bounds: list[int], doc_id: Column) -> Column:
+def _bucket(bounds: list, doc_id: Column, kind: str) -> Column:
     """How many bounds are at most ``doc_id``, by binary search."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    table = F.array(*[F.lit(b).cast(kind) for b in bounds])
     # lo bounds are known to be at most doc_id; each step tries to add its power of two.
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(table, lo + step - 1) <= doc_id, lo + step).otherwise(lo))
@@ -82,22 +85,25 @@ def with_next(rows: DataFrame, doc_id: str = "doc_id", carry: tuple[str, ...] =
 
     Ranges of about ``bucket_rows`` ids are ordered each by itself, and the first
     row of a range is sent to the range before it as well.  Rows that share an id
-    follow each other by the hash of their text.
+    follow each other by the hash of their text; null ids come first.  Ids may be
+    of any type that has an order (text goes by code point).
     """
-    keys = saved(rows.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64("text").alias("tie")), "ids")
+    keys = saved(rows.select(F.col(doc_id).alias("id"), F.xxhash64("text").alias("tie")), "ids")
     count = keys.count()
     want = max(1, min(MOST_BUCKETS, -(-count // bucket_rows)))
-    bounds: list[int] = []
+    bounds: list = []
     if want > 1:
-        marks = keys.agg(F.percentile_approx("id", [i / want for i in range(1, want)], max(1000, 10 * want))).first()[0]
-        bounds = sorted(set(marks))
-    place = F.coalesce(_bucket(bounds, F.col("id")), F.lit(0))
+        # Every so many of a sample's ids, of which there are a few for each range.
+        drawn = keys.filter(F.pmod(F.xxhash64("id", "tie", F.lit(5)), F.lit(1 << 20)) < int(min(1.0, DRAWN * want / count) * (1 << 20)))
+        ids = sorted(r.id for r in drawn.select("id").filter(F.col("id").isNotNull()).collect())
+        bounds = sorted(set(ids[DRAWN::DRAWN]))
+    place = F.coalesce(_bucket(bounds, F.col("id"), keys.schema["id"].dataType.simpleString()), F.lit(0))
     # The first row of each range that has rows, and the range it goes to besides: the one before, or the last.
     heads = keys.groupBy(place.alias("bucket")).agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")).alias("head"))
     order = Window.orderBy("bucket")
     heads = heads.select(F.col("head.id").alias("id"), F.col("head.tie").alias("tie"), F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("bucket"), F.lag("bucket").over(order).isNull().alias("wraps"))
     heads = saved(heads, "heads")
-    named = rows.withColumn("id", F.col(doc_id).cast("long")).withColumn("tie", F.xxhash64("text"))
+    named = rows.withColumn("id", F.col(doc_id)).withColumn("tie", F.xxhash64("text"))
     own = named.withColumn("bucket", place).withColumn("extra", F.lit(0))
     # One row for each range: at most MOST_BUCKETS of them.
     sent = named.join(F.broadcast(heads), (named["id"].eqNullSafe(heads["id"])) & (named["tie"] == heads["tie"])).drop(heads["id"]).drop(heads["tie"])
