@@ -1,13 +1,15 @@
 """Token counts of whole texts with a public tokenizer.
 
 Batches are cut by bytes, texts are split where no token can cross (before a
-space or line break that follows another character than white space), and equal
+space or line break that follows another character than white space; a text
+without white space is one piece), and equal
 pieces of a batch are encoded once; only lengths come back.  A piece's count is
 kept for later batches of the same worker, up to a fixed number of pieces.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -49,7 +51,12 @@ def _tokenizer(path: str):  # noqa: ANN202
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    found = Tokenizer.from_file(path)
+    settings = json.loads(found.to_str())
+    steps = settings.get("pre_tokenizer") or {}
+    if settings["model"]["type"] != "BPE" or steps.get("type") != "ByteLevel" or not steps.get("use_regex", True) or settings.get("normalizer"):
+        raise ValueError(f"{path} isn't a byte-level BPE vocabulary: its texts can't be cut at white space")
+    return found
 
 
 @cache
@@ -94,7 +101,7 @@ def token_count(text: Column, *, name: str = "byte_bpe_50k.json", path: str | No
             held = 0
             for t in batch:
                 part.append(t.as_py() or "")
-                held += len(part[-1])
+                held += t.as_buffer().size if t.is_valid else 0
                 if held > batch_bytes:
                     out += count_tokens(part, file)
                     part, held = [], 0
@@ -104,7 +111,12 @@ def token_count(text: Column, *, name: str = "byte_bpe_50k.json", path: str | No
 
 
 def token_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: int = 1024, name: str = "byte_bpe_50k.json") -> DataFrame:
-    """One row a document: bytes, tokens and whether they exceed ``limit``."""
+    """One row a document: bytes, tokens and whether they exceed ``limit``.
+
+    Null texts count as empty: 0 of both; repeated rows are each counted; no rows
+    give no rows.  Columns of other names aren't read.  A vocabulary that isn't a
+    byte-level BPE is refused.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(doc_id, F.octet_length(body).cast("long").alias("n_bytes"), token_count(body, name=name).alias("n_tokens"))
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
