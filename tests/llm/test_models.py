@@ -1,6 +1,8 @@
 """Language identification, quality and toxicity: held-out accuracy and small exact cases."""
 
 import itertools
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -102,13 +104,40 @@ def test_obfuscated_words_are_restored(spark):
     decoder = toxicity.Decoder(toxicity.char_model(df))
     for written, read in {
         "1d10t": "idiot", "1diot": "idiot", "i d i o t": "idiot", "m.o.r.o.n": "moron", "idiiiiiot!!": "idiot", "$tupid": "stupid", "l0ser,": "loser",
-        "w0rthle$$": "worthless", "cl0wn***": "clown", "tr@sh": "trash", "st*pid": "stupid", "The&&& scum%%%": "the scum", "": "", "12 $$": "",
+        "w0rthle$$": "worthless", "cl0wn***": "clown", "tr@sh": "trash", "st*pid": "stupid", "The&&& scum%%%": "the scum", "": "", "12 $$": "", "1d|0t": "idiot", "2023": "",
     }.items():
         assert toxicity.restore(written, decoder) == read
     got = df.limit(1).select(toxicity.restored(df, decoder.counts).alias("x")).first().x
     assert got == df.first().text
 
 
+def test_letterless_tokens_are_read(spark):
+    df = spark.createDataFrame([(i, "what a lot of people said it is a lost cat that sat at the table", None, None, 0) for i in range(40)], DOCS)
+    decoder = toxicity.Decoder(toxicity.char_model(df))
+    assert [decoder.restore_token(t) for t in ("54+", "(@7", "***", "...", "$$")] == [("sat",), ("cat",), (), (), ()]
+
+
+def test_long_tokens_take_time_in_proportion(spark):
+    decoder = toxicity.Decoder(np.ones(toxicity.TRIPLES + toxicity.PAIRS))
+    start = time.perf_counter()
+    assert len(decoder.decode("ab1x0" * 40_000)) > 100_000
+    assert time.perf_counter() - start < 10
+
+
+def test_scores_read_the_restored_text():
+    decoder = toxicity.Decoder(np.ones(toxicity.TRIPLES + toxicity.PAIRS))
+    restorer = toxicity.Restorer(decoder)
+    for text in ("so i d i o t you", "w0rd $tupid m.o.r.o.n", "plain words here"):
+        assert restorer.features(text)[0] == dict(Counter(h for w in toxicity.restore(text, decoder).split() for h in toxicity.word_hashes(w)))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(3 * i + k, f"lang{i}a lang{i}b word{i} {'xyz'[i % 3]}{i}", f"l{i:03d}", "s", 0) for i in range(300) for k in range(2)]
+    model = langid.fit_languages(spark.createDataFrame(rows, DOCS).repartition(4))
+    assert model.names == [f"l{i:03d}" for i in range(300)]
+    assert len(langid.label_texts(["a text of words"], model)) == 1
+
+
 def test_lattice_decode_is_the_cheapest_reading():
     rng = np.random.default_rng(4)
     decoder = toxicity.Decoder(np.round(rng.random(toxicity.TRIPLES + toxicity.PAIRS) * 20))

@@ -1,12 +1,14 @@
 """The pipeline's stages against brute force, one after the other."""
 
+import re
 from collections import Counter
 
 import __spark_entry__
 import corpus_pipeline
-from test_structure_ops import brute_components, brute_fingerprint, brute_leaks
+from test_neardup import brute_kept
+from test_structure_ops import brute_leaks
 
-from repolytics.llm import langid
+from repolytics.llm import langid, linededup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,20 +26,25 @@ def test_stages_match_brute_force(spark, sf_dir):
     assert kept.columns == COLUMNS and {r.doc_id: r for r in kept.collect()} == expected
 
     lined = stages["line_dedup"](spark, kept, sf_dir)
-    pages = Counter(r.source for r in expected.values())
-    held = Counter((r.source, x) for r in expected.values() for x in {p.strip(" \t\r") for p in r.text.split("\n")} if x)
-    drop = {k for k, n in held.items() if n >= 5 and n > 0.1 * pages[k[0]]}
+    pages = Counter(src for src, _ in {(r.source, r.text) for r in expected.values()})
+    held = Counter((src, x) for src, t in {(r.source, r.text) for r in expected.values()} for x in {p.strip(" \t\r") for p in t.split("\n")} if x)
+
+    def ratio(x):
+        return [r for n, r in linededup.SOURCE_RATIOS if len(re.split(r"[ \t\r]+", x)) >= n][-1]
+
+    drop = {k for k, n in held.items() if k[0] is not None and n >= 5 and n > ratio(k[1]) * pages[k[0]]}
     texts = {i: "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" \t\r")) not in drop) for i, r in expected.items()}
     got = {r.doc_id: r for r in lined.collect()}
     assert lined.columns == COLUMNS and {i: r.text for i, r in got.items()} == texts and all(r.n_chars == len(r.text) for r in got.values())
 
     single = stages["near_dedup"](spark, lined, sf_dir)
-    parts = brute_components({i: brute_fingerprint(t) for i, t in texts.items()})
-    assert single.columns == COLUMNS and {r.doc_id for r in single.collect()} == set(parts.values())
+    order = sorted(texts)
+    singles = {order[i] for i in brute_kept([texts[i] for i in order])}
+    assert single.columns == COLUMNS and {r.doc_id for r in single.collect()} == singles
 
     clean = stages["decontamination"](spark, single, sf_dir)
     got = {r.doc_id: r.text for r in clean.collect()}
-    assert clean.columns == COLUMNS and set(got) == set(parts.values())
+    assert clean.columns == COLUMNS and set(got) == singles
     for i, t in got.items():
         assert t == texts[i] if not brute_leaks(texts[i], items)[4] else not brute_leaks(t, items)[4]
 

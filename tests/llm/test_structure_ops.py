@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from repolytics.llm import decontaminate, licenses, linededup, mixing, queries, simhash, sketch, tokens
+from repolytics.llm import common, decontaminate, langid, licenses, linededup, mixing, neardup, quality, queries, simhash, sketch, tokens, toxicity
 from repolytics.llm.fmindex import FMIndex
 from repolytics.llm.graph import connected_components
 
@@ -131,7 +131,7 @@ def sketch_of(text):
     if not words:
         return set()
     hashes = {chained(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 5 else {chained([" ".join(words)])}
-    return {h for h in hashes if h < 1 << 60} or {min(hashes)}
+    return {h for h in hashes if h < 1 << (64 - sketch.FRACTION_BITS)} or {min(hashes)}
 
 
 def test_fingerprints_match_brute_force(spark, sf_dir):
@@ -168,7 +168,7 @@ def test_sketches_merge(spark):
     df = spark.createDataFrame([("a b c d e f g h i j k l", "z y x w v u t s r q p o n m")], "a string, b string")
     got = df.select(sketch.merge_sketches(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("m")).first().m
     union = sketch_of(df.first().a) | sketch_of(df.first().b)
-    low = {h for h in union if h < 1 << 60}
+    low = {h for h in union if h < 1 << (64 - sketch.FRACTION_BITS)}
     assert {h % (1 << 64) for h in got} == (low or {min(union)})
 
 
@@ -177,7 +177,7 @@ def test_token_counts_are_the_library_s(spark, sf_dir):
 
     tk = Tokenizer.from_file(tokens.tokenizer_path())
     rows = {r.doc_id: r for r in queries.op6_tokens(spark, sf_dir).collect()}
-    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect():
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
         assert rows[r.doc_id].n_tokens == len(tk.encode(r.text, add_special_tokens=False)), r.doc_id
         assert rows[r.doc_id].n_bytes == len(r.text.encode()) and rows[r.doc_id].over_limit == (rows[r.doc_id].n_tokens > 1024)
 
@@ -252,6 +252,68 @@ def test_line_dedup_drops_only_site_lines(spark):
     assert linededup.drop_boilerplate(df.limit(0), F.col("host")).count() == 0
 
 
+def test_line_dedup_drops_lines_of_small_hosts(spark):
+    rows = queries.op9_linededup(spark, "/root/testdata/sf0.01")
+    assert rows.agg(F.sum("n_dropped")).first()[0] > 0
+    df = spark.createDataFrame([(1, "h", "a\nb"), (2, "h", "a\nc"), (3, "k", "a\nb\na")], "page_id long, host string, text string")
+    assert {r.page_id: r.text for r in linededup.drop_boilerplate(df, F.col("host")).collect()} == {1: "b", 2: "c", 3: "a\nb\na"}
+
+
+CLASHES = (
+    "bucket", "last", "mean_weight", "_key", "_odds", "_weight", "_due", "rank", "open", "own", "host", "lines", "kept", "body", "salt", "_salt", "_host", "_drop", "_kept", "pages", "found", "_found",
+    "spans", "items", "print", "mask", "variant", "component", "row", "c0", "c1", "blocks", "key", "part", "label", "score", "n_words", "id", "tie", "extra", "next_text", "edited", "n",
+)
+
+
+def test_any_other_columns_stay(spark):
+    texts = ["the cat sat on the mat and ran away from here today", "the cat sat on the mat and ran away from here today", "ein Hund und noch ein Hund", None, "menu\nmenu"]
+    plain = docs_of(spark, texts).drop("n_chars")
+    odd = plain.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    bench = spark.createDataFrame([(1, "the cat sat on the mat and ran away from here")], "item_id long, text string")
+    for op in (
+        lambda d: mixing.mix_sources(d),
+        lambda d: linededup.drop_boilerplate(d, F.col("source")),
+        lambda d: decontaminate.decontaminate(d, bench),
+        lambda d: decontaminate.find_leaks(d, bench, found="leaks").select(*d.columns),
+        lambda d: simhash.drop_near_duplicates(d),
+        lambda d: neardup.drop_near_copies(d),
+        lambda d: langid.keep_identified(d),
+    ):
+        expected, got = op(plain), op(odd)
+        assert set(odd.columns) <= set(got.columns)
+        assert sorted(map(repr, expected.collect())) == sorted(map(repr, got.select(*expected.columns).collect()))
+        assert all(r[c] == f"{c}:{r.doc_id}" for r in got.collect() for c in CLASHES)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(5)], "doc_id long, quality int, toxic int").withColumn("label", F.lit("x")).withColumn("text", F.lit("y"))
+    for op in (simhash.simhash_components, licenses.license_report, lambda d: toxicity.toxicity_report(d, labels), sketch.fingerprint_report, tokens.token_report, lambda d: decontaminate.leak_report(d, bench), langid.language_report, lambda d: quality.quality_report(d, labels)):
+        assert sorted(map(repr, op(plain).collect())) == sorted(map(repr, op(odd).collect()))
+
+
+def test_ids_of_any_type(spark):
+    df = docs_of(spark, ["a b c d e f", "b c", None, "a b c d e f"]).withColumn("doc_id", F.concat(F.lit("id"), F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([(f"id{i}", i % 2, i % 2) for i in range(4)], "doc_id string, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "x")], "item_id long, text string")
+    for op in (simhash.simhash_components, licenses.license_report, lambda d: toxicity.toxicity_report(d, labels), sketch.fingerprint_report, tokens.token_report, lambda d: decontaminate.leak_report(d, bench), langid.language_report, lambda d: quality.quality_report(d, labels), mixing.mix_sources, neardup.drop_near_copies):
+        assert op(df).count() == (3 if op is neardup.drop_near_copies else 4)
+
+
+def test_saved_needs_a_shared_folder(spark):
+    class Cluster:
+        conf = {}
+        sparkContext = type("C", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Cluster)
+
+
+def test_words_of_a_block_under_another_base(monkeypatch):
+    """A collision of two words' hashes only costs another base."""
+    real, tried = decontaminate._same_words, []
+    monkeypatch.setattr(decontaminate, "_same_words", lambda *a: len(tried) > 1 and real(*a) if tried.append(1) is None else None)
+    windows = decontaminate.Windows([("i", "one two three")], 10)
+    assert len(tried) > 1 and windows.base % 2 == 1
+    assert decontaminate.search_shard(["so one two three four"], windows)[0] == (5, [(1, 4, 3, 16)], ["i"])
+
+
 def test_line_dedup_without_broadcast_is_the_same(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     a = sorted(map(tuple, linededup.drop_boilerplate(docs, F.col("source")).collect()))
