@@ -7,13 +7,15 @@ of its own: it emits all variants within ``RADIUS / 2`` bits, so that two blocks
 within ``RADIUS`` bits meet at a variant.  The width of a block grows with the
 logarithm of the number of texts, which bounds how many meet by chance, and the
 number of blocks is what it takes for ``RECALL`` at a similarity of 0.8 exactly
-(above it the recall is higher).  What meets is compared over ``CHECK`` bits, and
-what then is a candidate is held against the whole shingle sets before it is a link.
-
-No group is paired in full: each text offers one partner at first, those that are
-linked become components, and only pairs across components are looked at again.
-A variant with over ``HOT`` texts is dealt over several tasks: its first text
-goes to each of them, and so does, afterwards, every text outside its component.
+(above it the recall is higher).  What meets is compared over ``CHECK`` bits.
+
+No group is paired in full.  Where texts meet, each names one other of its
+candidates' component there, and all these links make clusters.  Within a cluster
+the whole shingle sets are compared exactly, tile by tile: a tile is two lists of
+bounded size whose overlaps are one matrix product, and only the links of a
+spanning forest leave it.  A cluster beyond a tile is first held against one of
+its lists; then only what isn't in its largest component meets all of it again.
+A variant with over ``HOT`` texts is dealt over several tasks in the same way.
 """
 
 from __future__ import annotations
@@ -42,10 +44,12 @@ RECALL = 0.99
 OCCUPANTS = 64
 #: Bits that candidates are compared over, and the most that may differ: over three deviations above ``APART``.
 CHECK, MOST_APART = 128, 33
-#: Texts at one variant that are all compared at once, and those before it that a further one meets.
-NEAR, FURTHER = 256, 4
+#: Runs of one variant up to this length are compared side by side, longer ones text by text.
+SHORT = 128
 #: Texts at one variant beyond which it is dealt over several tasks, and one of how many is counted for that.
 HOT, COUNTED = 20_000, 1000
+#: Texts and shingles of one list of a tile.
+TILE_TEXTS, TILE_SHINGLES = 1024, 1 << 20
 _VOTES_AT_ONCE = 1 << 15
 _M64 = (1 << 64) - 1
 
@@ -163,82 +167,173 @@ def _runs(work: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], pa.Rec
     return run
 
 
-def _near(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the rows at ``a`` and ``b`` are within ``MOST_APART`` bits."""
-    x, y = ((rows[c][a] ^ rows[c][b]).view(np.uint64) for c in ("c0", "c1"))
-    return np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y) <= MOST_APART
-
-
-def _meet(near: int, further: int):  # noqa: ANN202
-    def work(rows: dict[str, np.ndarray], place: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-        found = length > near  # such runs are looked at again
-        src = rows["print"].copy()
-        for d in range(1, min(int(length.max()), near)):
-            b = np.flatnonzero((place >= d) & ((length <= near) | (d <= further)))
-            if not len(b):
-                break
-            b = b[_near(rows, b - d, b)]
-            src[b] = rows["print"][b - d]  # the later ones are smaller
-            found[b] = found[b - d] = True
-        far = np.flatnonzero((length > near) & (place > 0))
-        far = far[_near(rows, far - place[far], far)]
-        src[far] = rows["print"][far - place[far]]
-        at = np.flatnonzero(found)
-        return pa.RecordBatch.from_pydict({"key": rows["key"][at], "part": rows["part"][at], "print": rows["print"][at], "c0": rows["c0"][at], "c1": rows["c1"][at], "src": src[at]})
-
-    return _runs(work, ("key", "part", "print", "c0", "c1"))
-
-
-def _across(near: int):  # noqa: ANN202
-    """Candidates of different components."""
-
-    def work(rows: dict[str, np.ndarray], place: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-        comp, src, dst = rows["component"], [], []
-
-        def take(a: np.ndarray, b: np.ndarray) -> None:
-            ok = comp[a] != comp[b]
-            a, b = a[ok], b[ok]
-            ok = _near(rows, a, b)
-            src.append(rows["print"][a[ok]])
-            dst.append(rows["print"][b[ok]])
-
-        for d in range(1, min(int(length.max()), near)):
-            b = np.flatnonzero((place >= d) & (length <= near))
-            if not len(b):
-                break
-            take(b - d, b)
-        for start in np.flatnonzero((length > near) & (place == 0)).tolist():
-            whole = np.arange(start, start + int(length[start]))
-            names, inverse, counts = np.unique(comp[whole], return_inverse=True, return_counts=True)
-            for one in whole[inverse != counts.argmax()].tolist():  # those outside the largest component
-                take(np.full(len(whole), one), whole)
-        a, b = np.concatenate([*src, np.zeros(0, np.int64)]), np.concatenate([*dst, np.zeros(0, np.int64)])
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_pydict({"src": pairs[:, 0].copy(), "dst": pairs[:, 1].copy()})
-
-    return _runs(work, ("key", "part", "print", "c0", "c1", "component"))
-
-
-def _least_overlap(n: Column) -> Column:
-    """Shingles that two sets of ``n`` together share at least for a similarity of 4 / 5."""
-    return F.ceil(n * 4 / 9)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, rows_of: DataFrame) -> DataFrame:
-    """Those of ``src, dst`` (of prints) whose whole shingle sets have a similarity of 4 / 5; ``rows_of`` names a text of each print."""
-    ends = pairs.select(F.col("src").alias("print")).union(pairs.select(F.col("dst").alias("print"))).distinct()
-    ends = saved(ends.join(rows_of, "print").select("print", "doc_id", "row"), "candidates")
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of ``CHECK`` bits."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def _walked(check: np.ndarray) -> np.ndarray:
+    """The first member of each row's component; an element is compared only with what hasn't been reached yet."""
+    label = np.arange(len(check))
+    rest = label.copy()
+    while len(rest):
+        seed, rest = int(rest[0]), rest[1:]
+        front = [seed]
+        while front and len(rest):
+            near = _apart(check[rest], check[front.pop()]) <= MOST_APART
+            hit, rest = rest[near], rest[~near]
+            label[hit] = seed
+            front += hit.tolist()
+    return label
+
+
+def _settled(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest label that links between ``a`` and ``b`` lead to."""
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        if (label[a] == least).all() and (label[b] == least).all():
+            break
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+    return label
+
+
+def _meet(rows: dict[str, np.ndarray], place: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """``src, dst``: of each text that meets candidates, the first of their component there."""
+    check = np.stack([rows["c0"], rows["c1"]], 1).view(np.uint64)
+    label = np.arange(len(place))
+    short = length <= SHORT
+    pairs = []
+    for d in range(1, int(length[short].max(initial=1))):
+        b = np.flatnonzero((place >= d) & short)
+        near = b[_apart(check[b - d], check[b]) <= MOST_APART]
+        pairs.append(np.stack([near - d, near]))
+    if pairs:
+        label = _settled(label, *np.concatenate(pairs, axis=1))
+    for start in np.flatnonzero(~short & (place == 0)).tolist():
+        end = start + int(length[start])
+        label[start:end] = start + _walked(check[start:end])
+    at = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_pydict({"src": rows["print"][label[at]], "dst": rows["print"][at]})
+
+
+def _overlap(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b`` (of ``a`` itself)."""
+    both = a if b is None else a + b
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    names, column, held = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    many = held[column] > 1
+    owner, column = owner[many], (np.cumsum(held > 1) - 1)[column[many]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(a), len(both) - (0 if b is None else len(a))), np.float32)
+    step = max(64, (1 << 23) // max(1, len(both)))
+    for first in range(0, int((held > 1).sum()), step):
+        lo, hi = np.searchsorted(column, [first, first + step])
+        m = np.zeros((len(both), step), np.float32)
+        m[owner[lo:hi], column[lo:hi] - first] = 1
+        out += m[: len(a)] @ (m if b is None else m[len(a) :]).T
+    return out
+
+
+def tile_links(prints: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a spanning forest) of a similarity of 4 / 5 within side 0, or between sides 1 and 2."""
+    size = np.array([len(x) for x in sets])
+    if (side == 0).all():
+        left = right = np.arange(len(sets))
+        shared = _overlap(sets, None)
+    else:
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+        if not len(left) or not len(right):
+            return prints[:0], prints[:0]
+        shared = _overlap([sets[i] for i in left], [sets[i] for i in right])
+    a, b = np.nonzero(shared * 9 >= 4 * (size[left][:, None] + size[right][None, :]))
+    a, b = left[a], right[b]
+    # A print on both sides is one text.
+    _, name = np.unique(prints, return_inverse=True)
+    first = np.zeros(name.max() + 1, np.int64)
+    first[name] = prints
+    label = _settled(np.arange(len(first)), name[a], name[b])
+    at = np.flatnonzero(label != np.arange(len(label)))
+    return first[label[at]], first[at]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each tile; its rows come one after the other."""
+    held: list[tuple[int, int, np.ndarray]] = []
+    now = None
+
+    def done() -> pa.RecordBatch:
+        src, dst = tile_links(np.array([p for p, _, _ in held], np.int64), [x for _, _, x in held], np.array([s for _, s, _ in held]))
+        return pa.RecordBatch.from_pydict({"src": src, "dst": dst})
+
+    for batch in batches:
+        shingles = batch.column("shingles")
+        flat, offsets = shingles.values.to_numpy(zero_copy_only=False), shingles.offsets.to_numpy()
+        for i, (cluster, tile, side, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cluster", "tile", "side", "print")), strict=True)):
+            if held and (cluster, tile) != now:
+                yield done()
+                held.clear()
+            now = (cluster, tile)
+            held.append((name, side, flat[offsets[i] : offsets[i + 1]].copy()))
+    if held:
+        yield done()
+
+
+def _shingle_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``print, shingles`` of ``members`` (print, doc_id, row): one text of each print."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles_of(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["print", "shingles"])
 
+    ends = saved(members.select("print", "doc_id", "row"), "candidates")
     held = texts.join(small(ends, ends.count()), ["doc_id", "row"]).select("print", "text").mapInArrow(whole, "print long, shingles array<long>")
-    held = saved(held, "candidate-sets")
-    a, b = held.select(F.col("print").alias("src"), F.col("shingles").alias("a")), held.select(F.col("print").alias("dst"), F.col("shingles").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    return saved(pairs.join(a, "src").join(b, "dst").filter(shared >= _least_overlap(F.size("a") + F.size("b"))).select("src", "dst").distinct(), "near-copies")
+    # Rows may repeat an id and its text.
+    return saved(held, "candidate-sets").dropDuplicates(["print"])
+
+
+def _links_of(tiles: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of all tiles (cluster, tile, side, print)."""
+    rows = tiles.join(sets, "print").select("cluster", "tile", "side", "print", "shingles")
+    return saved(rows.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile").mapInArrow(_tiles, "src long, dst long").distinct(), "near-copies")
+
+
+def _lists(texts: Column, shingles: Column) -> Column:
+    """How many lists of bounded size so many texts and shingles make."""
+    return F.greatest(F.ceil(texts / TILE_TEXTS), F.ceil(shingles / TILE_SHINGLES)).cast("int")
+
+
+def _upto(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def verified(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, component`` by links of a similarity of 4 / 5 inside each cluster; ``members`` is (cluster, print, n, doc_id, row)."""
+    sizes = members.groupBy("cluster").agg(_lists(F.count(F.lit(1)), F.sum("n")).alias("lists"))
+    rows = members.join(sizes, "cluster").withColumn("list", F.pmod(F.xxhash64("print", F.lit(9)), F.col("lists")).cast("int"))
+    rows = saved(rows.select("cluster", "print", "n", "lists", "list", "doc_id", "row"), "clusters")
+    sets = _shingle_sets(rows, texts)
+    whole = rows.filter("lists = 1").select("cluster", F.lit(0).alias("tile"), F.lit(0).alias("side"), "print")
+    large = rows.filter("lists > 1")
+    lead = large.filter("list = 0").select("cluster", _upto(F.col("lists")).alias("tile"), F.lit(1).alias("side"), "print")
+    links = _links_of(whole.unionByName(lead).unionByName(large.select("cluster", F.col("list").alias("tile"), F.lit(2).alias("side"), "print")), sets)
+    parts = connected_components(links)
+    if not large.limit(1).count():
+        return parts
+    # Of a large cluster, what isn't in its largest component meets all of it.
+    parts = saved(parts, "near-components")
+    named = large.join(parts.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
+    most = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("most"))
+    rest = saved(named.join(most, "cluster").filter(F.col("component") != F.col("most")).select("cluster", "print", "n", "lists"), "stragglers")
+    turns = rest.groupBy("cluster").agg(_lists(F.count(F.lit(1)), F.sum("n")).alias("turns"))
+    tile = F.col("turn") * F.col("lists") + F.col("list")
+    one = rest.join(turns, "cluster").withColumn("turn", F.pmod(F.xxhash64("print", F.lit(11)), F.col("turns")).cast("int")).select("cluster", "print", "turn", "lists", _upto(F.col("lists")).alias("list"))
+    other = large.join(turns, "cluster").select("cluster", "print", "list", "lists", _upto(F.col("turns")).alias("turn"))
+    more = _links_of(one.select("cluster", tile.alias("tile"), F.lit(1).alias("side"), "print").unionByName(other.select("cluster", tile.alias("tile"), F.lit(2).alias("side"), "print")), sets)
+    return connected_components(links.unionByName(more))
 
 
 def _hot_keys(rows: DataFrame, texts: int) -> DataFrame | None:
@@ -251,42 +346,38 @@ def _hot_keys(rows: DataFrame, texts: int) -> DataFrame | None:
     return found if found.limit(1).count() else None
 
 
-def near_links(prints: DataFrame, texts: DataFrame, bits: int, count: int) -> DataFrame:
-    """``print, component`` of all linked prints: one row of ``print, c0, c1, blocks, doc_id, row`` for each."""
-    rows_of = prints.select("print", "doc_id", "row")
+def candidate_links(prints: DataFrame, bits: int, count: int) -> DataFrame:
+    """``src, dst``: links that join all candidates (print, c0, c1, blocks) which meet at a variant."""
     rows = variants(prints, bits)
     hot = _hot_keys(rows, count)
+
+    def met(dealt: DataFrame) -> DataFrame:
+        runs = dealt.select("key", "part", "print", "c0", "c1").repartition("key", "part").sortWithinPartitions("key", "part", "print")
+        return runs.mapInArrow(_runs(_meet, ("key", "part", "print", "c0", "c1")), "src long, dst long").distinct()
+
     if hot is None:
-        dealt = rows.withColumn("part", F.lit(0)).withColumn("first", F.lit(False))
-    else:
-        spread = rows.join(small(hot, hot.count()), "key", "left")
-        firsts = spread.filter(F.col("parts").isNotNull()).groupBy("key", "parts").agg(F.min(F.struct("print", "c0", "c1")).alias("h"))
-        firsts = firsts.select("key", "h.print", "h.c0", "h.c1", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("first"))
-        part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("print", F.lit(9)), F.col("parts")).cast("int"))
-        dealt = spread.select("key", "print", "c0", "c1", part.alias("part"), F.lit(False).alias("first")).unionByName(firsts)
-    met = dealt.repartition("key", "part").sortWithinPartitions("key", "part", F.desc("first"), "print").select("key", "part", "print", "c0", "c1")
-    met = saved(met.mapInArrow(_meet(NEAR, FURTHER), "key long, part int, print long, c0 long, c1 long, src long"), "met")
-    pairs = met.filter(F.col("src") != F.col("print")).select(F.least("src", "print").alias("src"), F.greatest("src", "print").alias("dst"))
-    pairs = saved(pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"), "pairs")
-    links = verified(pairs, texts, rows_of)
-    parts = saved(connected_components(links).withColumnRenamed("node", "print"), "near-components")
-    # What isn't one component yet where it met; a text outside its hot variant's first component goes to all of the parts.
-    rest = met.select("key", "part", "print", "c0", "c1").distinct().join(small(parts, parts.count()), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    if hot is not None:
-        rest = rest.join(small(hot, hot.count()), "key", "left")
-        lead = rest.filter(F.col("parts").isNotNull()).groupBy("key").agg(F.min_by("component", "print").alias("lead"))
-        rest = rest.join(small(lead, lead.count()), "key", "left")
-        parts_of = F.when(F.col("parts").isNotNull() & (F.col("component") != F.col("lead")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-        rest = rest.select("key", F.explode(parts_of).alias("part"), "print", "c0", "c1", "component").distinct()
-    rest = rest.repartition("key", "part").sortWithinPartitions("key", "part", "print").select("key", "part", "print", "c0", "c1", "component")
-    more = rest.mapInArrow(_across(NEAR), "src long, dst long").distinct().join(pairs, ["src", "dst"], "left_anti")
-    more = saved(more, "more-pairs")
-    if not more.limit(1).count():
-        return parts
-    found = verified(more, texts, rows_of)
-    if not found.limit(1).count():
-        return parts
-    return connected_components(links.unionByName(found)).withColumnRenamed("node", "print")
+        return saved(met(rows.withColumn("part", F.lit(0))), "links")
+    spread = rows.join(small(hot, hot.count()), "key", "left")
+    dealt = saved(spread.filter(F.col("parts").isNotNull()).withColumn("part", F.pmod(F.xxhash64("print", F.lit(9)), F.col("parts")).cast("int")), "hot-rows")
+    firsts = dealt.groupBy("key", "parts").agg(F.min(F.struct("print", "c0", "c1")).alias("h"))
+    firsts = saved(firsts.select("key", "h.print", "h.c0", "h.c1", _upto(F.col("parts")).alias("part")), "hot-firsts")
+    plain = spread.filter(F.col("parts").isNull()).withColumn("part", F.lit(0)).select(*firsts.columns)
+    links = saved(met(plain.unionByName(dealt.select(*firsts.columns)).unionByName(firsts)), "links")
+    # What isn't in the component of its hot variant's first text goes to all of the parts.
+    parts = saved(connected_components(links).withColumnRenamed("node", "print"), "candidate-components")
+    named = dealt.join(small(parts, parts.count()), "print", "left").withColumn("component", F.coalesce("component", "print"))
+    lead = named.groupBy("key").agg(F.min_by("component", "print").alias("lead"))
+    named = named.join(small(lead, lead.count()), "key")
+    part = F.explode(F.when(F.col("component") != F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part")))
+    again = named.select("key", "print", "c0", "c1", part.alias("part"))
+    return saved(links.unionByName(met(again)), "links")
+
+
+def near_links(prints: DataFrame, texts: DataFrame, bits: int, count: int) -> DataFrame:
+    """``print, component`` of all linked prints: one row of ``print, n, c0, c1, blocks, doc_id, row`` for each."""
+    clusters = connected_components(candidate_links(prints, bits, count)).withColumnRenamed("node", "print").withColumnRenamed("component", "cluster")
+    members = prints.select("print", "n", "doc_id", "row").join(clusters, "print")
+    return verified(members, texts).withColumnRenamed("node", "print")
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -69,9 +69,9 @@ def planted():
     return [*texts, None, "", " \n", "one two", "One  two", "a b c d e f"], copies
 
 
-@pytest.mark.parametrize(("near", "hot"), [(256, 20_000), (4, 20_000), (4, 20)])
-def test_stage_finds_planted_copies(spark, monkeypatch, near, hot):
-    monkeypatch.setattr(neardup, "NEAR", near)
+@pytest.mark.parametrize(("tile", "hot"), [(1024, 20_000), (8, 20)])
+def test_stage_finds_planted_copies(spark, monkeypatch, tile, hot):
+    monkeypatch.setattr(neardup, "TILE_TEXTS", tile)
     monkeypatch.setattr(neardup, "HOT", hot)
     texts, copies = planted()
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs_of(spark, texts), "").collect()}
@@ -79,9 +79,9 @@ def test_stage_finds_planted_copies(spark, monkeypatch, near, hot):
     assert kept == brute_kept(texts)
 
 
-@pytest.mark.parametrize("hot", [20_000, 20])
-def test_copies_of_no_common_centre(spark, monkeypatch, hot):
-    monkeypatch.setattr(neardup, "NEAR", 4)
+@pytest.mark.parametrize(("tile", "hot"), [(1024, 20_000), (8, 20)])
+def test_copies_of_no_common_centre(spark, monkeypatch, tile, hot):
+    monkeypatch.setattr(neardup, "TILE_TEXTS", tile)
     monkeypatch.setattr(neardup, "HOT", hot)
     rng = random.Random(9)
     base = [f"w{rng.randrange(400)}" for _ in range(200)]
@@ -106,6 +106,45 @@ def test_recall_of_copies_by_similarity():
         assert met / total > 0.97, (texts, met / total)
 
 
+def test_tiles_find_every_link():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))) for _ in range(60)]
+    sets += [s[:-1] if len(s) > 5 else s for s in sets[:20]]
+    prints = np.arange(100, 100 + len(sets))
+
+    def like(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both)
+
+    def parts(pairs):
+        label = list(range(len(sets)))
+        for a, b in pairs:
+            x, y = sorted((label[a], label[b]))
+            label = [x if v == y else v for v in label]
+        return label
+
+    for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2 + 1):
+        expected = parts([(i, j) for i in range(len(sets)) for j in range(i) if like(i, j) and (side[i] != side[j] or not side[i])])
+        src, dst = neardup.tile_links(prints, sets, side)
+        assert parts(zip((src - 100).tolist(), (dst - 100).tolist(), strict=True)) == expected and len(src) < len(sets)
+
+
+def test_runs_are_walked_as_they_are_compared(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, (4, 2))
+    check = np.concatenate([b ^ (1 << rng.integers(0, 62, (40, 2))) ^ (1 << rng.integers(0, 62, (40, 2))) for b in base])
+    rng.shuffle(check)
+    n = len(check)
+    rows = {"print": np.arange(n), "c0": check[:, 0].copy(), "c1": check[:, 1].copy()}
+    monkeypatch.setattr(neardup, "MOST_APART", 5)
+    found = []
+    for short in (1000, 2):
+        monkeypatch.setattr(neardup, "SHORT", short)
+        got = neardup._meet(rows, np.arange(n), np.full(n, n))
+        found.append(dict(zip(got.column("dst").to_pylist(), got.column("src").to_pylist(), strict=True)))
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
 def test_small_sets_of_shingles(spark):
     texts = ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g", "x", "X", "", None]
     assert {r.doc_id for r in neardup.drop_near_copies(docs_of(spark, texts)).collect()} == brute_kept(texts)
