@@ -144,3 +144,48 @@ def extract_citations(answers: DataFrame, known: DataFrame) -> DataFrame:
     b = answers.select("repo_id", "answer_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"`([^`\s]+)`"), 1)).alias("pos", "path")).select("repo_id", "answer_id", F.lit(1).alias("rank"), "pos", "path", F.lit(None).cast("int").alias("line"))
     rows = a.unionByName(b).join(known.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
     return first_of(rows, ["repo_id", "answer_id", "path"], [F.asc("rank"), F.asc("pos")], 1).select("repo_id", "answer_id", "path", "line")
+
+
+JS_NEW = r"\bnew\s+([A-Za-z0-9_$]+)\s*\("
+JS_CALL = r"(?:^|[^\w$])([A-Za-z_$][\w$]*)\s*\("
+JS_BASE = r"\bclass\s+[A-Za-z0-9_$]+\s+extends\s+([A-Za-z0-9_$]+)"
+NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "require", "import")
+
+
+def js_usage(contents: DataFrame) -> DataFrame:
+    """``repo_id, path, calls, constructs, bases, internal_imports, external_imports`` of script files."""
+    rows = contents.filter(F.col("path").rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)$")).select("repo_id", "path", splitlines(F.coalesce("content", F.lit(""))).alias("lines"))
+    imports = _found(F.col("lines"), JS_IMPORT)
+    rows = rows.withColumn("constructs", F.array_sort(_found(F.col("lines"), JS_NEW)))
+    calls = F.array_except(_found(F.col("lines"), JS_CALL), F.concat(F.array(*[F.lit(x) for x in NOT_CALLS]), "constructs"))
+    return rows.select(
+        "repo_id", "path", F.array_sort(calls).alias("calls"), "constructs", F.array_sort(_found(F.col("lines"), JS_BASE)).alias("bases"),
+        F.filter(imports, lambda x: x.startswith(".")).alias("internal_imports"), F.filter(imports, lambda x: ~x.startswith(".")).alias("external_imports"),
+    )
+
+
+JS_DECLARED = r"^\s*export\s+(default\s+)?(?:async\s+)?(function|class|const|let|var|interface|type|enum)\s+([A-Za-z0-9_$]+)(.*)$"
+
+
+def js_api_surface(contents: DataFrame) -> DataFrame:
+    """``repo_id, path, kind, name, shape``: what a script file exports; ``shape`` is equal for equal declarations."""
+    rows = contents.filter(F.col("path").rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)$")).select("repo_id", "path", F.explode(splitlines(F.col("content"))).alias("l"))
+    part = [F.regexp_extract("l", JS_DECLARED, g) for g in range(1, 5)]
+    found = rows.select("repo_id", "path", part[1].alias("kind"), part[2].alias("name"), F.concat_ws("|", F.trim(part[0]), F.regexp_extract(part[3], r"^\s*(\([^)]*\)|[^={]*)", 1)).alias("shape"))
+    return found.filter(F.col("name") != "").select("repo_id", "path", "kind", "name", F.sha2("shape", 256).alias("shape"))
+
+
+def called_names(contents: DataFrame) -> DataFrame:
+    """``repo_id, file, line, name``: names of three letters or more before a bracket, line by line."""
+    rows = contents.select("repo_id", F.col("path").alias("file"), F.posexplode(splitlines(F.col("content"))).alias("i", "l"))
+    each = rows.select("repo_id", "file", (F.col("i") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("l", F.lit(r"([A-Za-z_$][\w$]*)\s*\("), 1))).alias("name"))
+    return each.filter(F.length("name") >= 3)
+
+
+def function_bodies(contents: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``repo_id, file, caller, first, last``: lines of each symbol (repo_id, file, name, line), up to the next unindented declaration."""
+    heads = contents.select("repo_id", F.col("path").alias("file"), splitlines(F.col("content")).alias("ls"))
+    starts = F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(r"^(?:def|function|class|export|const)\s"), i + 1)), lambda x: x.isNotNull())
+    rows = symbols.select("repo_id", "file", F.col("name").alias("caller"), "line").join(heads.select("repo_id", "file", starts.alias("starts"), F.size("ls").alias("n")), ["repo_id", "file"])
+    after = F.array_min(F.filter("starts", lambda x: x > F.col("line")))
+    return rows.select("repo_id", "file", "caller", F.col("line").alias("first"), F.coalesce(after - 1, F.col("n")).alias("last"))

@@ -50,7 +50,7 @@ def fan_metrics(edges: DataFrame, files: DataFrame, least: int = 12) -> DataFram
     return out.unionByName(back).filter(F.col("count") >= least)
 
 
-def dependency_cycles(edges: DataFrame, files: DataFrame, *, most_rounds: int = 200) -> DataFrame:
+def dependency_cycles(edges: DataFrame, files: DataFrame) -> DataFrame:
     """``repo_id, component, path`` of every file that lies on a cycle; the component is its smallest path.
 
     In each round nodes without an edge in or out are trimmed; then the smallest
@@ -62,7 +62,7 @@ def dependency_cycles(edges: DataFrame, files: DataFrame, *, most_rounds: int =
     loops = graph.filter(F.col("source") == F.col("target")).select("repo_id", F.col("source").alias("component"), F.col("source").alias("path"))
     rest = graph.filter(F.col("source") != F.col("target"))
     done = loops
-    for _ in range(most_rounds):
+    while True:
         rest = _trimmed(rest)
         if rest.isEmpty():
             return _merged(done)
@@ -75,7 +75,6 @@ def dependency_cycles(edges: DataFrame, files: DataFrame, *, most_rounds: int =
         done = done.unionByName(found.join(sizes.select("repo_id", "component"), ["repo_id", "component"], "left_semi"))
         gone = found.select("repo_id", "path")
         rest = checkpointed(rest.join(gone.withColumnRenamed("path", "source"), ["repo_id", "source"], "left_anti").join(gone.withColumnRenamed("path", "target"), ["repo_id", "target"], "left_anti"))
-    raise RuntimeError(f"cycles did not settle in {most_rounds} rounds")
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -83,40 +82,45 @@ def _merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("repo_id", "path").agg(F.min("component").alias("component")).select("repo_id", "component", "path")
 
 
-def _trimmed(rest: DataFrame, most: int = 200) -> DataFrame:
+def _trimmed(rest: DataFrame) -> DataFrame:
+    """Without nodes that lack an edge in or out; each round takes some, so it ends."""
     count = rest.count()
-    for _ in range(most):
+    while True:
         keep = rest.select("repo_id", F.col("source").alias("x")).distinct().join(rest.select("repo_id", F.col("target").alias("x")).distinct(), ["repo_id", "x"], "left_semi")
         rest = checkpointed(rest.join(keep.withColumnRenamed("x", "source"), ["repo_id", "source"], "left_semi").join(keep.withColumnRenamed("x", "target"), ["repo_id", "target"], "left_semi"))
         left = rest.count()
         if left == count:
-            break
+            return rest
         count = left
-    return rest
 
 
-def _spread(rest: DataFrame, a: str, b: str, most: int = 500) -> DataFrame:
-    """The smallest path from which each node can be reached along the edges (itself included)."""
+def _spread(rest: DataFrame, a: str, b: str) -> DataFrame:
+    """The smallest path from which each node can be reached along the edges (itself included).
+
+    Each round takes the labels one edge on, and on to what the label's own node is
+    labelled with by then, so that long chains settle in few rounds.
+    """
     labels = checkpointed(rest.select("repo_id", F.col(a).alias("path")).union(rest.select("repo_id", F.col(b).alias("path"))).distinct().withColumn("label", F.col("path")))
-    for _ in range(most):
+    while True:
         sent = rest.join(labels.withColumnRenamed("path", a), ["repo_id", a]).groupBy("repo_id", F.col(b).alias("path")).agg(F.min("label").alias("offer"))
-        moved = checkpointed(labels.join(sent, ["repo_id", "path"], "left").select("repo_id", "path", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moved")))
+        moved = labels.join(sent, ["repo_id", "path"], "left").select("repo_id", "path", F.least("label", "offer").alias("next"), F.col("label").alias("old"))
+        # What reaches the label's node reaches this one as well.
+        jumped = moved.join(labels.select("repo_id", F.col("path").alias("next"), F.col("label").alias("further")), ["repo_id", "next"])
+        moved = checkpointed(jumped.select("repo_id", "path", F.least("next", "further").alias("label"), (F.least("next", "further") < F.col("old")).alias("moved")))
         labels = moved.select("repo_id", "path", "label")
         if moved.filter("moved").isEmpty():
-            break
-    return labels
+            return labels
 
 
-def _reach(inside: DataFrame, seeds: DataFrame, most: int = 500) -> DataFrame:
+def _reach(inside: DataFrame, seeds: DataFrame) -> DataFrame:
     """All nodes from which the seed of their label can be reached, with that label."""
     seen, front = seeds, seeds
-    for _ in range(most):
+    while True:
         front = inside.join(front.withColumnRenamed("path", "target"), ["repo_id", "target"]).select("repo_id", F.col("source").alias("path"), "label").distinct()
         front = checkpointed(front.join(seen, ["repo_id", "path"], "left_anti"))
         if front.isEmpty():
-            break
+            return seen
         seen = checkpointed(seen.unionByName(front))
-    return seen
 
 
 def neighborhood(edges: DataFrame, files: DataFrame, hops: int = 1) -> DataFrame:
@@ -128,8 +132,10 @@ def neighborhood(edges: DataFrame, files: DataFrame, hops: int = 1) -> DataFrame
     return near
 
 
-def subgraph_edges(edges: DataFrame, near: DataFrame) -> DataFrame:
-    """Edges of each file's neighbourhood: both ends lie in it."""
+def subgraph_edges(edges: DataFrame, near: DataFrame, *, relation: str | None = None) -> DataFrame:
+    """Edges of each file's neighbourhood, of one ``relation`` if given: both ends lie in it."""
+    if relation is not None:
+        edges = edges.filter(F.col("type") == relation)
     ends = near.select("repo_id", "file", "path")
     return edges.join(ends.withColumnRenamed("path", "source"), ["repo_id", "source"]).join(ends.withColumnRenamed("path", "target"), ["repo_id", "target", "file"], "left_semi").select("repo_id", "file", "source", "target")
 

@@ -28,7 +28,7 @@ def file_churn(commits: DataFrame, files: DataFrame, as_of: Column, recent_days:
     files included; future changes count as recent; of equal dates the greatest
     sha is the latest.
     """
-    rows = files.filter(~is_sensitive_path(F.col("path"))).join(commits.select("repo_id", "sha", "author_date"), ["repo_id", "sha"])
+    rows = files.join(commits.select("repo_id", "sha", "author_date"), ["repo_id", "sha"])
     churn = F.col("additions") + F.col("deletions")
     latest = F.struct("author_date", "sha")
     out = rows.groupBy("repo_id", "path").agg(
@@ -40,6 +40,8 @@ def file_churn(commits: DataFrame, files: DataFrame, as_of: Column, recent_days:
         F.max(latest).alias("latest"),
     )
     total = commits.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_commits"))
+    # The name is judged once a path: a column of the sums keeps the filter above them.
+    out = out.withColumn("sensitive", is_sensitive_path(F.col("path")) & (F.col("commits") > 0)).filter(~F.col("sensitive"))
     return out.join(total, "repo_id").select(
         "repo_id", "path", "commits", "additions", "deletions", "total_churn", "recent_churn",
         F.col("latest.sha").alias("latest_commit"), F.col("latest.author_date").alias("latest_date"),
@@ -103,16 +105,16 @@ def contributors(commits: DataFrame, *, recent: int = 20) -> DataFrame:
     return out.select("repo_id", "author_email_hash", "author_name", "commit_count", F.coalesce("recent_commits", F.lit(0)).alias("recent_commits"), even_round(F.lit(100.0) * F.col("commit_count") / F.col("total"), 1).alias("share_percent"), label.alias("label"))
 
 
-def file_history(commits: DataFrame, files: DataFrame, targets: DataFrame, *, most_renames: int = 20) -> DataFrame:
+def file_history(commits: DataFrame, files: DataFrame, targets: DataFrame) -> DataFrame:
     """First and latest commit and totals of each target path (repo_id, path) over all its earlier names.
 
-    Names are followed back by ``old_path`` until no new one is found, at most
-    ``most_renames`` times.
+    Names are followed back by ``old_path`` until no new one is found; a name is
+    taken once, so that circles end.
     """
     moves = files.filter(F.col("old_path").isNotNull()).select("repo_id", F.col("path").alias("name"), F.col("old_path").alias("older")).distinct()
     names = targets.select("repo_id", "path", F.col("path").alias("name")).distinct()
     front = names
-    for _ in range(most_renames):
+    while True:
         front = front.join(moves, ["repo_id", "name"]).select("repo_id", "path", F.col("older").alias("name")).distinct()
         front = checkpointed(front.join(names, ["repo_id", "path", "name"], "left_anti"))
         if front.isEmpty():
@@ -167,13 +169,20 @@ def hotspots(churn: DataFrame, dependents: DataFrame, scores: DataFrame, *, limi
     return first_of(out, ["repo_id"], [F.desc("score"), F.desc("commits"), F.asc("path")], limit)
 
 
-def timeline(commits: DataFrame, *, since: str | None = None, until: str | None = None, author: str | None = None, merge: bool | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+def timeline(commits: DataFrame, *, since: str | None = None, until: str | None = None, author: str | None = None, merge: bool | None = None, path: str | None = None, files: DataFrame | None = None, branch: str | None = None, reached: DataFrame | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of each repository's commits, newest first, and whether more follow.
 
     A date alone as ``until`` means the end of that day; ``author`` matches a part
-    of the name in any case.
+    of the name in any case.  With ``path`` only commits count that touch it or what
+    lies under it by ``files`` (repo_id, sha, path), with ``branch`` only those that
+    it reaches by ``reached`` (repo_id, branch, sha).
     """
     rows = commits
+    if path:
+        under = (F.col("path") == path) | F.col("path").startswith(path.rstrip("/") + "/")
+        rows = rows.join(files.filter(under).select("repo_id", "sha").distinct(), ["repo_id", "sha"], "left_semi")
+    if branch:
+        rows = rows.join(reached.filter(F.col("branch") == branch).select("repo_id", "sha"), ["repo_id", "sha"], "left_semi")
     if since is not None:
         rows = rows.filter(F.col("author_date") >= F.lit(since).cast("timestamp"))
     if until is not None:

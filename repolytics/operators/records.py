@@ -62,15 +62,21 @@ def metric_key_intersection(a: Column, b: Column) -> Column:
 
 
 def burst_flags(events: DataFrame, *, limit: int = 5, seconds: int = 60) -> DataFrame:
-    """Events (root, ts, event_id) with how many came in the ``seconds`` before, and whether that fills the quota."""
+    """Events (root, ts, event_id) with how many came in the ``seconds`` before, and whether that fills the quota.
+
+    A root's events are dealt by time into spans of ``seconds``; each also goes to
+    the span after its own, so that no task holds all events of a root.
+    """
     micros = F.unix_micros("ts")
-    near = Window.partitionBy("root").orderBy(micros).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    rows = events.withColumn("_n", F.count(F.lit(1)).over(near))
+    span = F.floor(micros / (seconds * 1_000_000)).cast("long")
+    rows = events.withColumn("_span", F.explode(F.array(span, span + 1))).withColumn("_own", F.col("_span") == span)
+    near = Window.partitionBy("root", "_span").orderBy(micros).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(near))
     # Rows at the same time count each other; the ones before in order are what the quota has seen.
-    same = F.row_number().over(Window.partitionBy("root", "ts").orderBy("event_id"))
-    at = F.count(F.lit(1)).over(Window.partitionBy("root", "ts"))
-    rows = rows.withColumn("recent", F.col("_n") - at + same - 1)
-    return rows.withColumn("full", F.col("recent") >= limit).drop("_n")
+    same = F.row_number().over(Window.partitionBy("root", "_span", "ts").orderBy("event_id"))
+    at = F.count(F.lit(1)).over(Window.partitionBy("root", "_span", "ts"))
+    rows = rows.withColumn("recent", F.col("_n") - at + same - 1).filter("_own")
+    return rows.withColumn("full", F.col("recent") >= limit).drop("_n", "_own", "_span")
 
 
 def request_metrics(requests: DataFrame) -> DataFrame:

@@ -2,42 +2,78 @@
 
 A view is one SELECT that Spark SQL and the oracle both read: commits are orders,
 their files are line items, the tree is what they touch, and texts are documents.
+Repositories and paths are named by whole keys, so that their number grows with
+the tables, and each kind of file that an operator tells apart is among the paths.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PATH = """CASE WHEN {k} % 101 = 0 THEN 'config/.env.prod' ELSE
-  CASE {k} % 6 WHEN 0 THEN 'src/api/m' WHEN 1 THEN 'src/services/m' WHEN 2 THEN 'src/components/m' WHEN 3 THEN 'tests/m' WHEN 4 THEN 'lib/m' ELSE 'docs/m' END
-  || CAST({k} % 10 AS STRING) || '/f' || CAST({k} % 300 AS STRING) || CASE {k} % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.js' ELSE '.tsx' END END"""
+from repolytics.checkpoints import checkpointed
 
+#: The repository of a customer, as SQL.
+REPO = "'repo-' || CAST(CAST(floor({c} / 4) AS BIGINT) AS STRING)"
 
-def _path(key: str) -> str:
-    return _PATH.format(k=key)
+#: Of 101 parts so many stand for files of special kinds.
+_SPECIAL = (
+    "'config/.env.prod'", "'certs/k' || {k} || '.pem'", "'assets/img' || {k} || '.png'", "'web/dist/app' || {k} || '.min.js'", "'package-lock.json'", "'node_modules/x' || {k} || '/index.js'",
+    "'src/models/user' || {k} || '.py'", "'db/migrations/v' || {k} || '.sql'", "'src/routes/r' || {k} || '.ts'", "'src/middleware/w' || {k} || '.ts'", "'scripts/s' || {k} || '.sh'", "'app/p' || {k} || '/page.tsx'",
+    "'src/controllers/c' || {k} || '.ts'", "'pkg' || {k} || '/README.md'", "'src/tokens_' || {k} || '.json'", "'src/x' || {k} || '.spec.ts'", "'Dockerfile'", "'src/main.py'", "'.github/workflows/w' || {k} || '.yml'",
+    "'packages/a' || CAST({n} % 5 AS STRING) || '/package.json'", "'src/billing/auth' || {k} || '.go'", "'schema' || {k} || '.prisma'", "'vite.config.ts'", "'requirements.txt'", "'src/core/sessions.py'",
+)
 
 
+def path_of(key: str) -> str:
+    """The path of a part's file, as SQL."""
+    k = f"CAST({key} AS STRING)"
+    special = " ".join(f"WHEN {i} THEN {x.format(k=k, n=key)}" for i, x in enumerate(_SPECIAL))
+    plain = f"""CASE {key} % 6 WHEN 0 THEN 'src/api/m' WHEN 1 THEN 'src/services/m' WHEN 2 THEN 'src/components/m' WHEN 3 THEN 'tests/m' WHEN 4 THEN 'lib/m' ELSE 'docs/m' END
+  || CAST({key} % 10 AS STRING) || '/f' || {k} || CASE {key} % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.js' ELSE '.tsx' END"""
+    return f"CASE {key} % 101 {special} ELSE {plain} END"
+
+
+#: Lines that a text of every thirteenth id ends with: what the text rules look for.
+_TAILS = (
+    "'api_key = \"abcd1234efgh\"' || chr(10) || 'password = ''short''' || chr(10) || 'token: plain,next'", "'Authorization: Bearer abcdefghijklmnopqrstuvwxyz0123' || chr(10) || 'postgres://u:p@host/db rest'",
+    "'eval(x)' || chr(10) || '# eval(y)' || chr(10) || '// exec (z)' || chr(10) || 'a = exec (z)'", "'// TODO mend' || chr(10) || '# fixme this' || chr(10) || 'hack in code'", "repeat(chr(9), 24) || 'x = 1' || chr(10) || chr(9) || 'y'",
+    "'fetch(''/a/b'')' || chr(10) || 'fetch(\"/a/b\")' || chr(10) || 'fetch(''http://h/x y'')' || chr(10) || 'fetch(''/a/b'');fetch(''http://h/x y'')'", "'ghp_' || repeat('a', 36) || ' AKIA' || repeat('B', 16) || ' sk-' || repeat('c', 24)",
+    "'one = 1' || chr(10) || 'two  = 2' || chr(10) || 'three = 3' || chr(10) || 'four = 4' || chr(10) || 'gap' || chr(10) || 'one = 1' || chr(10) || 'two = 2' || chr(10) || 'three = 3' || chr(10) || 'four = 4'",
+    "'-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'abc' || chr(10) || '-----END RSA PRIVATE KEY-----'", "'function f(a) { if (a) { while (a) { for (;;) { if (b) { do { g() } while (c) } } } } }' || chr(10) || 'const h = (x) => { { {' || chr(10) || '{ { {' || chr(10) || '} }'",
+    "'from flask import Flask' || chr(10) || 'const m = require(\"mongoose\")'", "repeat('# only' || chr(10), 3) || repeat('line of code' || chr(10), 90)", "''",
+)
+
 VIEWS: dict[str, str] = {
-    "commits": """SELECT 'repo-' || CAST(o_custkey % 20 AS STRING) AS repo_id, CAST(o_orderkey AS STRING) AS sha, 'u' || CAST(o_custkey % 200 AS STRING) AS author_email_hash,
-  'Author ' || CAST(o_custkey % 200 AS STRING) || ' ' || o_orderstatus AS author_name, CAST(o_orderdate AS TIMESTAMP) AS author_date, o_orderpriority AS subject, o_orderstatus = 'P' AS is_merge FROM orders""",
+    "commits": f"""SELECT {REPO.format(c="o_custkey")} AS repo_id, CAST(o_orderkey AS STRING) AS sha, 'u' || CAST(o_orderkey % 7 AS STRING) AS author_email_hash,
+  'Author ' || CAST(o_orderkey % 7 AS STRING) || ' ' || o_orderstatus AS author_name, CAST(o_orderdate AS TIMESTAMP) AS author_date, o_orderpriority AS subject, o_orderstatus = 'P' AS is_merge FROM orders""",
     "commit_files": f"""SELECT repo_id, sha, path, CAST(sum(q) AS BIGINT) AS additions, CAST(sum(n) AS BIGINT) AS deletions FROM (
-  SELECT 'repo-' || CAST(o_custkey % 20 AS STRING) AS repo_id, CAST(l_orderkey AS STRING) AS sha, {_path("l_partkey")} AS path, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS n
+  SELECT {REPO.format(c="o_custkey")} AS repo_id, CAST(l_orderkey AS STRING) AS sha, {path_of("l_partkey")} AS path, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS n
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x GROUP BY repo_id, sha, path""",
+    # Files of one order: all lead to its first ones, each to those of the next line, and the first of some orders back.
     "edges": f"""SELECT DISTINCT repo_id, source, target, 'imports' AS type FROM (
-  SELECT 'repo-' || CAST(o_custkey % 20 AS STRING) AS repo_id, {_path("l_partkey")} AS source, {_path("l_suppkey * 7")} AS target
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49) x WHERE source <> target""",
-    "tree": f"""SELECT DISTINCT 'repo-' || CAST(o_custkey % 20 AS STRING) AS repo_id, {_path("l_partkey")} AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+  SELECT {REPO.format(c="o_custkey")} AS repo_id, {path_of("a.k")} AS source, {path_of("b.k")} AS target FROM (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS k FROM lineitem) a
+  JOIN (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS k FROM lineitem) b ON a.o = b.o AND ((b.n = 1 AND a.n > 1) OR b.n = a.n + 1 OR (a.n = 1 AND b.n > 1 AND a.o % 4 = 0)) JOIN orders ON a.o = o_orderkey) x WHERE source <> target""",
+    "tree": f"""SELECT DISTINCT {REPO.format(c="o_custkey")} AS repo_id, {path_of("l_partkey")} AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "file_sizes": f"""SELECT repo_id, path, CAST(sum(price) AS BIGINT) AS size FROM (
-  SELECT 'repo-' || CAST(o_custkey % 20 AS STRING) AS repo_id, {_path("l_partkey")} AS path, CAST(floor(l_extendedprice) AS BIGINT) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x GROUP BY repo_id, path""",
-    "contents": """SELECT source AS repo_id, CASE lang WHEN 'en' THEN 'src/m' WHEN 'de' THEN 'lib/m' ELSE 'web/m' END || CAST(doc_id % 7 AS STRING) || '/d' || CAST(doc_id AS STRING)
-  || CASE lang WHEN 'en' THEN '.py' WHEN 'de' THEN '.js' WHEN 'fr' THEN '.ts' ELSE '.md' END AS path, text AS content FROM documents WHERE source IS NOT NULL""",
-    "snapshots": f"""SELECT DISTINCT 'repo-' || CAST(o_custkey % 20 AS STRING) AS repo_id, CAST(date_trunc('month', o_orderdate) AS STRING) AS sha, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS committed_at,
-  {_path("l_partkey")} AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 40""",
+  SELECT {REPO.format(c="o_custkey")} AS repo_id, {path_of("l_partkey")} AS path, CAST(floor(l_extendedprice) AS BIGINT) * (1 + l_partkey % 9) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x GROUP BY repo_id, path""",
+    "contents": f"""SELECT coalesce(source, 'none') AS repo_id, CASE lang WHEN 'en' THEN 'src/m' WHEN 'de' THEN 'lib/m' ELSE 'web/m' END || CAST(doc_id % 7 AS STRING) || '/d' || CAST(doc_id AS STRING)
+  || CASE lang WHEN 'en' THEN '.py' WHEN 'de' THEN '.js' WHEN 'fr' THEN '.ts' ELSE '.md' END AS path, text || CASE doc_id % 13 {" ".join(f"WHEN {i} THEN chr(10) || {x}" for i, x in enumerate(_TAILS))} END AS content FROM documents""",
+    "snapshots": f"""SELECT DISTINCT {REPO.format(c="o_custkey")} AS repo_id, CAST(date_trunc('year', o_orderdate) AS STRING) AS sha, CAST(date_trunc('year', o_orderdate) AS TIMESTAMP) AS committed_at,
+  {path_of("l_partkey")} AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "activity": """SELECT CAST(user_id AS STRING) AS project_id, event_type AS type, event_id AS id, CAST(ts AS TIMESTAMP) AS created_at, value, props FROM events""",
+    # Manifests of packages: one repository for every four parts.
+    "manifests": """SELECT 'pack-' || CAST(CAST(floor(p_partkey / 4) AS BIGINT) AS STRING) AS repo_id, CASE p_partkey % 4 WHEN 0 THEN 'package.json' WHEN 1 THEN 'frontend/package.json' WHEN 2 THEN 'requirements.txt' ELSE 'frontend/pyproject.toml' END AS path,
+  CASE p_partkey % 4 WHEN 2 THEN 'pytest>=' || CAST(p_size AS STRING) || chr(10) || '# flask' || chr(10) || CASE WHEN p_size % 2 = 0 THEN 'mypy' || chr(10) || 'Django==4' ELSE '-r x' || chr(10) || 'supabase' END
+    WHEN 3 THEN '[project]' || chr(10) || 'dependencies = [' || chr(10) || '  "ruff>=1",' || chr(10) || '  "p' || CAST(p_partkey AS STRING) || '"' || chr(10) || ']'
+    ELSE '{"scripts": {"test": "jest", "lint": "eslint . | cat", "build": "tsc && vite build"' || CASE WHEN p_size % 3 = 0 THEN ', "pretest": "x"' ELSE '' END || ', "start": "node x"}, "dependencies": {"' || CASE WHEN p_size % 2 = 0 THEN 'react' ELSE 'express' END
+      || '": "1", "p' || CAST(p_partkey AS STRING) || '": "2"}, "devDependencies": {"typescript": "5"}}' END AS content FROM part""",
 }
 
 #: Which of the given tables a view reads.
 TABLES = ("orders", "lineitem", "documents", "events", "pages", "part", "customer", "nation", "conversations", "supplier")
+#: Views that take a shuffle: each is derived once in a session and written to the shared folder.
+WRITTEN = ("commit_files", "edges", "tree", "file_sizes", "snapshots")
+_written: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _reads(sql: str) -> list[str]:
@@ -45,13 +81,26 @@ def _reads(sql: str) -> list[str]:
     return [t for t in TABLES if t in words]
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:  # noqa: ANN001
+    """What ``make()`` gives, written to the shared folder the first time that this session asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        _written[key] = checkpointed(make())
+    return _written[key]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of :data:`VIEWS` over the tables in ``sf_dir``."""
-    sql = VIEWS[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _reads(sql)}
-    for t in tables:
-        sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-    return spark.sql(sql, **tables)
+
+    def make() -> DataFrame:
+        sql = VIEWS[name]
+        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _reads(sql)}
+        sql = sql.replace("{", "{{").replace("}", "}}")
+        for t in tables:
+            sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
+        return spark.sql(sql, **tables)
+
+    return once(spark, sf_dir, name, make) if name in WRITTEN else make()
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repolytics.operators import history
-from repolytics.plans.adapters import view, with_views
+from repolytics.plans.adapters import once, view, with_views
 from repolytics.plans.sql import SENSITIVE, rint
 
 AS_OF = "1998-06-01 00:00:00"
@@ -32,7 +32,7 @@ def churn_contributors(spark, sf):  # noqa: ANN001, ANN201
 
 
 def cochange(spark, sf):  # noqa: ANN001, ANN201
-    return history.cochange(view(spark, sf, "commit_files"), view(spark, sf, "edges"), max_files=6)
+    return history.cochange(view(spark, sf, "commit_files"), view(spark, sf, "edges"))
 
 
 def contributors(spark, sf):  # noqa: ANN001, ANN201
@@ -51,36 +51,52 @@ def timeline(spark, sf):  # noqa: ANN001, ANN201
     return history.timeline(view(spark, sf, "commits"), since="1995-01-01", until="1997-12-31", author=" f", merge=False, limit=20, offset=5)
 
 
+def timeline_of_path(spark, sf):  # noqa: ANN001, ANN201
+    # Even orders lie on the branch.
+    commits = view(spark, sf, "commits")
+    reached = commits.filter(F.col("sha").cast("long") % 2 == 0).select("repo_id", "sha", F.lit("main").alias("branch"))
+    return history.timeline(commits, path="src/api", files=view(spark, sf, "commit_files"), branch="main", reached=reached, limit=10)
+
+
 def _head(spark, sf):  # noqa: ANN001, ANN202
     s = view(spark, sf, "snapshots").select("repo_id", "sha", "committed_at").distinct()
     return s.groupBy("repo_id").agg(F.max_by("sha", "committed_at").alias("sha"), F.max("committed_at").alias("as_of"))
 
 
 def tree_evolution(spark, sf):  # noqa: ANN001, ANN201
-    return history.tree_evolution(view(spark, sf, "snapshots"), _head(spark, sf), days=(35, 200, 100_000))
-
-
-def _tree_with_hash(spark, sf, sha):  # noqa: ANN001, ANN202
-    rows = view(spark, sf, "snapshots").filter(F.col("sha").startswith(sha))
-    n = F.length("path").cast("long")
-    return rows.select("repo_id", "path", F.md5(F.substring("path", -6, 6)).alias("content_hash"), n.alias("lines"))
+    return history.tree_evolution(view(spark, sf, "snapshots"), _head(spark, sf), days=(35, 400, 100_000))
 
 
 def compare_snapshots(spark, sf):  # noqa: ANN001, ANN201
-    return history.compare_snapshots(_tree_with_hash(spark, sf, "1995-03"), _tree_with_hash(spark, sf, "1995-04"))
+    """Every snapshot of a repository against the one before it; the later one's sha is part of the key."""
+    s = view(spark, sf, "snapshots")
+    n = F.length("path").cast("long")
+    hashed = s.select("repo_id", "sha", "path", F.md5(F.substring("path", -6, 6)).alias("content_hash"), n.alias("lines"))
+    times = s.select("repo_id", "sha", "committed_at").distinct()
+    turn = history.Window.partitionBy("repo_id").orderBy("committed_at")
+    pairs = times.select("repo_id", "sha", F.lag("sha").over(turn).alias("before")).filter("before IS NOT NULL")
+    key = F.concat_ws("@", "repo_id", "later").alias("repo_id")
+    after = hashed.join(pairs.select("repo_id", "sha", F.col("sha").alias("later")), ["repo_id", "sha"]).select(key, "path", "content_hash", "lines")
+    before = hashed.join(pairs.select("repo_id", F.col("before").alias("sha"), F.col("sha").alias("later")), ["repo_id", "sha"]).select(key, "path", "content_hash", "lines")
+    return history.compare_snapshots(before, after)
 
 
 def budgeted_diffs(spark, sf):  # noqa: ANN001, ANN201
-    rows = view(spark, sf, "contents").select("repo_id", F.row_number().over(history.Window.partitionBy("repo_id").orderBy("path")).alias("ord"), "path", F.col("content").alias("diff"))
-    return history.budgeted_diffs(rows, most_bytes=20_000, most_files=12).select("repo_id", "ord", "path", "diff_truncated", F.length("diff").cast("long").alias("n"), F.md5("diff").alias("digest"))
+    # Paths are numbered without their texts; the few that count are looked up.
+    t = view(spark, sf, "contents").filter("content IS NOT NULL")
+    first = history.first_of(t.select("repo_id", "path"), ["repo_id"], [F.asc("path")], 30)
+    first = first.withColumn("ord", F.row_number().over(history.Window.partitionBy("repo_id").orderBy("path")))
+    rows = t.join(F.broadcast(first) if first.count() <= 50_000 else first, ["repo_id", "path"]).select("repo_id", "ord", "path", F.col("content").alias("diff"))
+    return history.budgeted_diffs(rows).select("repo_id", "ord", "path", "diff_truncated", F.length("diff").cast("long").alias("n"), F.md5("diff").alias("digest"))
 
 
 def file_history(spark, sf):  # noqa: ANN001, ANN201
-    files = view(spark, sf, "commit_files")
-    number = F.regexp_extract("path", r"/f(\d+)\.", 1)
-    files = files.withColumn("old_path", F.when((F.col("additions") == 50) & number.endswith("7"), F.regexp_replace("path", r"/f\d+", "/f3")))
-    targets = view(spark, sf, "tree").filter(F.col("path").rlike(r"/f1\d7\."))
-    return history.file_history(view(spark, sf, "commits"), files, targets).drop("rename_history")
+    def moved():  # noqa: ANN202
+        number = F.regexp_extract("path", r"/f(\d+)\.", 1)
+        return view(spark, sf, "commit_files").withColumn("old_path", F.when((F.col("additions") == 50) & number.endswith("7"), F.regexp_replace("path", r"/f\d+", "/f3")))
+
+    out = history.file_history(view(spark, sf, "commits"), once(spark, sf, "moved_files", moved), view(spark, sf, "tree"))
+    return out.withColumn("renames", F.size("rename_history").cast("long")).drop("rename_history")
 
 
 _DEP = "dep AS (SELECT repo_id, target AS path, count(DISTINCT source) AS dependents FROM edges GROUP BY ALL)"
@@ -99,10 +115,11 @@ SQL = {
         f"SELECT f.repo_id, path, author_email_hash, arg_max(author_name, (author_date, f.sha)) AS author_name, count(*) AS commits FROM commit_files f JOIN commits USING (repo_id, sha) WHERE NOT {SENSITIVE.format(p='path')} GROUP BY f.repo_id, path, author_email_hash",
         "commits", "commit_files"),
     "cochange": with_views(
-        f"""WITH t AS (SELECT DISTINCT repo_id, sha, path FROM commit_files WHERE NOT {SENSITIVE.format(p="path")}), g AS (SELECT * FROM t WHERE (repo_id, sha) IN (SELECT (repo_id, sha) FROM t GROUP BY repo_id, sha HAVING count(*) <= 6)),
+        f"""WITH t AS (SELECT DISTINCT repo_id, sha, path FROM commit_files WHERE NOT {SENSITIVE.format(p="path")}), g AS (SELECT * FROM t WHERE (repo_id, sha) IN (SELECT (repo_id, sha) FROM t GROUP BY repo_id, sha HAVING count(*) <= 30)),
   n AS (SELECT repo_id, path, count(*) AS touches FROM g GROUP BY ALL), p AS (SELECT a.repo_id, a.path AS l, b.path AS r, count(*) AS shared FROM g a JOIN g b ON a.repo_id = b.repo_id AND a.sha = b.sha AND a.path < b.path GROUP BY ALL HAVING count(*) >= 2),
-  q AS (SELECT p.*, {rint("shared / least(x.touches, y.touches)", 3)} AS ratio, EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = p.repo_id AND ((e.source = l AND e.target = r) OR (e.source = r AND e.target = l))) AS linked
-    FROM p JOIN n x ON x.repo_id = p.repo_id AND x.path = l JOIN n y ON y.repo_id = p.repo_id AND y.path = r)
+  lk AS (SELECT DISTINCT repo_id, least(source, target) AS l, greatest(source, target) AS r FROM edges),
+  q AS (SELECT p.*, {rint("shared / least(x.touches, y.touches)", 3)} AS ratio, lk.l IS NOT NULL AS linked
+    FROM p JOIN n x ON x.repo_id = p.repo_id AND x.path = p.l JOIN n y ON y.repo_id = p.repo_id AND y.path = p.r LEFT JOIN lk ON lk.repo_id = p.repo_id AND lk.l = p.l AND lk.r = p.r)
 SELECT repo_id, l AS "left", r AS "right", shared AS shared_commits, ratio AS cochange_ratio, CASE WHEN shared >= 4 AND ratio >= 0.6 THEN 'HIGH' WHEN ratio >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, linked AS structurally_coupled, NOT linked AS temporal_only FROM q""",
         "commit_files", "edges"),
     "contributors": with_views(
@@ -134,10 +151,15 @@ FROM y QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, comm
   WHERE author_date >= TIMESTAMP '1995-01-01' AND author_date <= TIMESTAMP '1997-12-31 23:59:59' AND NOT is_merge AND contains(lower(author_name), ' f'))
 SELECT repo_id, sha, author_email_hash, author_name, author_date, subject, is_merge, position, n > 25 AS has_more FROM r WHERE position BETWEEN 6 AND 25""",
         "commits"),
+    "timeline_of_path": with_views(
+        """WITH r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY author_date DESC, sha DESC) AS position, count(*) OVER (PARTITION BY repo_id) AS n FROM commits
+  WHERE sha::BIGINT % 2 = 0 AND (repo_id, sha) IN (SELECT (repo_id, sha) FROM commit_files WHERE path = 'src/api' OR starts_with(path, 'src/api/')))
+SELECT repo_id, sha, author_email_hash, author_name, author_date, subject, is_merge, position, n > 10 AS has_more FROM r WHERE position <= 10""",
+        "commits", "commit_files"),
     "tree_evolution": with_views(
         """WITH h AS (SELECT repo_id, arg_max(sha, committed_at) AS head, max(committed_at) AS as_of FROM snapshots GROUP BY 1),
-  m AS (SELECT repo_id, head, as_of, unnest([35, 200, 100000]) AS days_ago FROM h),
-  c AS (SELECT m.repo_id, m.days_ago, m.head, (SELECT arg_max(s.sha, s.committed_at) FROM snapshots s WHERE s.repo_id = m.repo_id AND s.committed_at <= m.as_of - to_days(m.days_ago)) AS sha FROM m),
+  m AS (SELECT repo_id, head, as_of, unnest([35, 400, 100000]) AS days_ago FROM h), u AS (SELECT DISTINCT repo_id, sha, committed_at FROM snapshots),
+  c AS (SELECT m.repo_id, m.days_ago, any_value(m.head) AS head, arg_max(u.sha, u.committed_at) AS sha FROM m LEFT JOIN u ON u.repo_id = m.repo_id AND u.committed_at <= m.as_of - to_days(m.days_ago) GROUP BY m.repo_id, m.days_ago),
   b AS (SELECT c.repo_id, days_ago, s.path, bool_or(s.sha = c.sha) AS was, bool_or(s.sha = c.head) AS has FROM c JOIN snapshots s ON s.repo_id = c.repo_id AND s.sha IN (c.sha, c.head) WHERE c.sha IS NOT NULL GROUP BY ALL),
   g AS (SELECT repo_id, days_ago, count(*) FILTER (WHERE was) AS files_before, count(*) FILTER (WHERE has) AS files_now, count(*) FILTER (WHERE NOT was) AS files_added, count(*) FILTER (WHERE NOT has) AS files_removed,
     count(DISTINCT regexp_replace(path, '/[^/]*$', '')) FILTER (WHERE was AND contains(path, '/')) AS directories_before, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) FILTER (WHERE has AND contains(path, '/')) AS directories_now,
@@ -145,20 +167,29 @@ SELECT repo_id, sha, author_email_hash, author_name, author_date, subject, is_me
 SELECT c.repo_id, c.days_ago, c.sha, files_before, files_now, files_added, files_removed, directories_before, directories_now, sample_added, sample_removed, c.sha IS NOT NULL AS available FROM c LEFT JOIN g USING (repo_id, days_ago)""",
         "snapshots"),
     "compare_snapshots": with_views(
-        f"""WITH t AS (SELECT repo_id, path, starts_with(sha, '1995-03') AS old, md5(right(path, 6)) AS h, length(path)::BIGINT AS n FROM snapshots WHERE starts_with(sha, '1995-03') OR starts_with(sha, '1995-04')),
+        f"""WITH u AS (SELECT DISTINCT repo_id, sha, committed_at FROM snapshots), pr AS (SELECT repo_id, sha, lag(sha) OVER (PARTITION BY repo_id ORDER BY committed_at) AS before FROM u),
+  t AS (SELECT s.repo_id || '@' || pr.sha AS repo_id, path, s.sha = pr.before AS old, md5(right(path, 6)) AS h, length(path)::BIGINT AS n FROM snapshots s JOIN pr ON pr.repo_id = s.repo_id AND s.sha IN (pr.sha, pr.before) WHERE pr.before IS NOT NULL),
   a AS (SELECT * FROM t WHERE old), z AS (SELECT * FROM t WHERE NOT old),
-  g AS (SELECT *, row_number() OVER (PARTITION BY repo_id, h ORDER BY path) AS k FROM a WHERE (repo_id, path) NOT IN (SELECT (repo_id, path) FROM z)),
-  w AS (SELECT *, row_number() OVER (PARTITION BY repo_id, h ORDER BY path) AS k FROM z WHERE (repo_id, path) NOT IN (SELECT (repo_id, path) FROM a)),
+  g AS (SELECT *, row_number() OVER (PARTITION BY repo_id, h ORDER BY path) AS k FROM a ANTI JOIN z USING (repo_id, path)),
+  w AS (SELECT *, row_number() OVER (PARTITION BY repo_id, h ORDER BY path) AS k FROM z ANTI JOIN a USING (repo_id, path)),
   p AS (SELECT coalesce(w.repo_id, g.repo_id) AS repo_id, CASE WHEN w.path IS NULL THEN 'D' WHEN g.path IS NULL THEN 'A' ELSE 'R' END AS status, w.path AS np, g.path AS op, w.n AS nn, g.n AS gn FROM w FULL JOIN g ON w.repo_id = g.repo_id AND w.h = g.h AND w.k = g.k)
 SELECT repo_id, status, CASE WHEN status = 'R' THEN 100 END AS similarity, coalesce(np, op) AS path, CASE WHEN status = 'R' THEN op END AS old_path, CASE WHEN status = 'A' THEN nn ELSE 0 END AS additions, CASE WHEN status = 'D' THEN gn ELSE 0 END AS deletions,
   {SENSITIVE.format(p="coalesce(np, op)")} OR (status = 'R' AND {SENSITIVE.format(p="op")}) AS redacted FROM p""",
         "snapshots"),
+    "budgeted_diffs": with_views(
+        """WITH o AS (SELECT repo_id, path, content, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS ord FROM contents WHERE content IS NOT NULL QUALIFY ord <= 30),
+  b AS (SELECT *, octet_length(encode(content)) AS size, greatest(0, 240000 - coalesce(sum(octet_length(encode(content))) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS room FROM o),
+  ch AS (SELECT repo_id, ord, k, sum(octet_length(encode(c))) OVER (PARTITION BY repo_id, ord ORDER BY k) <= room AS fits FROM (SELECT repo_id, ord, room, unnest(string_split(content, '')) AS c, unnest(range(1, length(content) + 1)) AS k FROM b WHERE size > room AND room > 0)),
+  n AS (SELECT repo_id, ord, max(k) AS k FROM ch WHERE fits GROUP BY ALL)
+SELECT b.repo_id, b.ord, path, size > room AS diff_truncated, length(CASE WHEN size > room THEN left(content, coalesce(k, 0)) ELSE content END) AS n, md5(CASE WHEN size > room THEN left(content, coalesce(k, 0)) ELSE content END) AS digest FROM b LEFT JOIN n USING (repo_id, ord)""",
+        "contents"),
     "file_history": with_views(
         r"""WITH RECURSIVE f AS (SELECT *, CASE WHEN additions = 50 AND suffix(regexp_extract(path, '/f(\d+)\.', 1), '7') THEN regexp_replace(path, '/f\d+', '/f3') END AS old_path FROM commit_files),
-  n AS (SELECT repo_id, path, path AS name FROM tree WHERE regexp_matches(path, '/f1\d7\.') UNION SELECT n.repo_id, n.path, f.old_path FROM n JOIN f ON f.repo_id = n.repo_id AND f.path = n.name WHERE f.old_path IS NOT NULL)
-SELECT n.repo_id, n.path, arg_min(f.sha, (author_date, f.sha)) AS first_known_commit, arg_max(f.sha, (author_date, f.sha)) AS latest_commit, count(DISTINCT f.sha) AS total_commits, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, sum(additions + deletions)::BIGINT AS total_churn
+  n AS (SELECT repo_id, path, path AS name FROM tree UNION SELECT n.repo_id, n.path, f.old_path FROM n JOIN f ON f.repo_id = n.repo_id AND f.path = n.name WHERE f.old_path IS NOT NULL)
+SELECT n.repo_id, n.path, arg_min(f.sha, (author_date, f.sha)) AS first_known_commit, arg_max(f.sha, (author_date, f.sha)) AS latest_commit, count(DISTINCT f.sha) AS total_commits, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, sum(additions + deletions)::BIGINT AS total_churn,
+  count(DISTINCT (f.sha, f.path)) FILTER (WHERE f.old_path IS NOT NULL) AS renames
 FROM n JOIN f ON f.repo_id = n.repo_id AND f.path = n.name JOIN commits c ON c.repo_id = f.repo_id AND c.sha = f.sha GROUP BY n.repo_id, n.path""".replace("WITH RECURSIVE", "WITH", 1),
         "commits", "commit_files", "tree").replace("WITH ", "WITH RECURSIVE ", 1),
 }
 
-QUERIES = {f.__name__: f for f in (file_churn, churn_contributors, cochange, contributors, commit_risk, hotspots, timeline, tree_evolution, compare_snapshots, budgeted_diffs, file_history)}
+QUERIES = {f.__name__: f for f in (file_churn, churn_contributors, cochange, contributors, commit_risk, hotspots, timeline, timeline_of_path, tree_evolution, compare_snapshots, budgeted_diffs, file_history)}

@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from repolytics.operators.records import keep_latest
+from repolytics.sources.git import RECORD, commit_files, parse_log
 
 
 def stream_request_metrics(requests: DataFrame, *, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -27,7 +28,8 @@ def stream_activity_retention(activity: DataFrame, path: str, checkpoint: str, *
     """Keep the newest ``n`` rows of each project in a table under ``path``; each batch writes a new version of it.
 
     A version is named by its batch, so a batch that is run again writes the same
-    rows to the same place; the newest is ``path/v=<batch>``.
+    rows to the same place; the newest is ``path/v=<batch>``.  The version before the
+    last one goes: a batch that is run again only needs the one before it.
     """
 
     def put(rows: DataFrame, batch: int) -> None:
@@ -35,6 +37,8 @@ def stream_activity_retention(activity: DataFrame, path: str, checkpoint: str, *
         if batch:
             rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/v={batch - 1}"))
         keep_latest(rows, ["project_id"], n).write.mode("overwrite").parquet(f"{path}/v={batch}")
+        old = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/v={batch - 2}")
+        old.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
 
     return activity.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
 
@@ -44,10 +48,14 @@ def stream_quota_gate(events: DataFrame, *, limit: int = 5, seconds: int = 60) -
 
     Rejected runs use up nothing, and an accepted one expires once it is
     ``seconds`` old.  Events of a batch are taken in order of time and id; the
-    state is the accepted times that still count.
+    state is the accepted times that still count, and goes once a root has been
+    silent for twice as long.
     """
 
     def gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         said = []
@@ -57,15 +65,22 @@ def stream_quota_gate(events: DataFrame, *, limit: int = 5, seconds: int = 60) -
             if said[-1]:
                 held.append(at)
         state.update((held,))
+        state.setTimeoutDuration(2000 * seconds)
         yield pd.DataFrame({"root": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "accepted": said})
 
-    return events.groupBy("root").applyInPandasWithState(gate, "root string, event_id string, ts timestamp, accepted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("root").applyInPandasWithState(gate, "root string, event_id string, ts timestamp, accepted boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def stream_job_states(events: DataFrame, *, timeout: int = 180) -> DataFrame:
-    """``job_id, state`` after each batch of events (job_id, event, at), by the rules of the batch operator."""
+def stream_job_states(events: DataFrame, *, timeout: int = 180, forget: int = 86_400) -> DataFrame:
+    """``job_id, state`` after each batch of events (job_id, event, at), by the rules of the batch operator.
+
+    What is known of a job goes ``forget`` seconds after its last event.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         # The first time of each event, as epoch seconds; -1 while it has not come.
         names = ("submitted", "started", "finished", "failed", "cancelled")
         seen = dict(zip(names, state.get, strict=True)) if state.exists else dict.fromkeys(names, -1.0)
@@ -75,6 +90,7 @@ def stream_job_states(events: DataFrame, *, timeout: int = 180) -> DataFrame:
                 if event in seen and (seen[event] < 0 or t < seen[event]):
                     seen[event] = t
         state.update(tuple(seen[n] for n in names))
+        state.setTimeoutDuration(1000 * forget)
         started, finished, failed, cancelled = (seen[n] for n in names[1:])
         ends = [t for t in (finished, failed) if t >= 0]
         if cancelled >= 0 and (started < 0 or cancelled < started):
@@ -88,9 +104,20 @@ def stream_job_states(events: DataFrame, *, timeout: int = 180) -> DataFrame:
             now = "failed" if bad or min(ends) - started > timeout else "completed"
         yield pd.DataFrame({"job_id": [key[0]], "state": [now]})
 
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id string, state string", "submitted double, started double, finished double, failed double, cancelled double", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(step, "job_id string, state string", "submitted double, started double, finished double, failed double, cancelled double", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_churn(changes: DataFrame) -> DataFrame:
     """Running totals of each path over a stream of parsed changes (repo_id, path, additions, deletions)."""
     return changes.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
+
+
+def stream_commits(spark: SparkSession, path: str) -> DataFrame:
+    """Commits of every dump that comes to lie under ``path``, as the batch reader gives them."""
+    rows = spark.readStream.option("lineSep", RECORD).text(path).filter(F.trim("value") != "")
+    return parse_log(rows.withColumn("repo_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)))
+
+
+def stream_commit_churn(spark: SparkSession, path: str) -> DataFrame:
+    """Running totals of each path over the dumps that come to lie under ``path``."""
+    return stream_churn(commit_files(stream_commits(spark, path)))
