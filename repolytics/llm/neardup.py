@@ -49,7 +49,7 @@ SHORT = 128
 #: Texts at one variant beyond which it is dealt over several tasks, and one of how many is counted for that.
 HOT, COUNTED = 20_000, 1000
 #: Texts and shingles of one list of a tile.
-TILE_TEXTS, TILE_SHINGLES = 1024, 1 << 20
+TILE_TEXTS, TILE_SHINGLES = 512, 1 << 20
 _VOTES_AT_ONCE = 1 << 15
 _M64 = (1 << 64) - 1
 
@@ -346,6 +346,13 @@ def _hot_keys(rows: DataFrame, texts: int) -> DataFrame | None:
     return found if found.limit(1).count() else None
 
 
+def _fewer(links: DataFrame) -> DataFrame:
+    """Links that join the same: a text's to its first partner, and from that one to the others, of which many texts have the same."""
+    held = links.groupBy("dst").agg(F.collect_set("src").alias("all")).withColumn("first", F.array_min("all"))  # a partner for each variant at most
+    ends = F.concat(F.array("dst"), F.filter("all", lambda x: x != F.col("first")))
+    return held.select(F.col("first").alias("src"), F.explode(ends).alias("dst")).distinct()
+
+
 def candidate_links(prints: DataFrame, bits: int, count: int) -> DataFrame:
     """``src, dst``: links that join all candidates (print, c0, c1, blocks) which meet at a variant."""
     rows = variants(prints, bits)
@@ -353,7 +360,7 @@ def candidate_links(prints: DataFrame, bits: int, count: int) -> DataFrame:
 
     def met(dealt: DataFrame) -> DataFrame:
         runs = dealt.select("key", "part", "print", "c0", "c1").repartition("key", "part").sortWithinPartitions("key", "part", "print")
-        return runs.mapInArrow(_runs(_meet, ("key", "part", "print", "c0", "c1")), "src long, dst long").distinct()
+        return _fewer(runs.mapInArrow(_runs(_meet, ("key", "part", "print", "c0", "c1")), "src long, dst long"))
 
     if hot is None:
         return saved(met(rows.withColumn("part", F.lit(0))), "links")
