@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,22 +51,72 @@ def fan_metrics(edges: DataFrame, files: DataFrame, least: int = 12) -> DataFram
     return out.unionByName(back).filter(F.col("count") >= least)
 
 
-def dependency_cycles(edges: DataFrame, files: DataFrame) -> DataFrame:
+#: Edges of a repository up to which its components are found in one task.
+SMALL_EDGES = 50_000
+
+
+def _components(edges: pd.DataFrame) -> pd.DataFrame:
+    """``repo_id, component, path`` of one small graph's nodes that lie on a cycle: two depth-first passes over plain lists."""
+    ahead: dict[str, list[str]] = {}
+    back: dict[str, list[str]] = {}
+    for a, b in zip(edges["source"], edges["target"], strict=True):
+        ahead.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    order: list[str] = []
+    seen: set[str] = set()
+    for root in ahead:
+        todo = [(root, iter(ahead[root]))] if root not in seen else []
+        seen.add(root)
+        while todo:
+            node, rest = todo[-1]
+            step = next((n for n in rest if n not in seen), None)
+            if step is None:
+                order.append(node)
+                todo.pop()
+            else:
+                seen.add(step)
+                todo.append((step, iter(ahead.get(step, ()))))
+    out: list[tuple[str, str]] = []
+    taken: set[str] = set()
+    for root in reversed(order):
+        if root in taken:
+            continue
+        part, todo = [], [root]
+        taken.add(root)
+        while todo:
+            node = todo.pop()
+            part.append(node)
+            new = [n for n in back.get(node, ()) if n not in taken]
+            taken.update(new)
+            todo += new
+        if len(part) > 1 or root in ahead.get(root, ()):
+            out += [(min(part), n) for n in part]
+    return pd.DataFrame({"repo_id": edges["repo_id"].iloc[0], "component": [c for c, _ in out], "path": [n for _, n in out]})
+
+
+def dependency_cycles(edges: DataFrame, files: DataFrame, *, small: int | None = None) -> DataFrame:
     """``repo_id, component, path`` of every file that lies on a cycle; the component is its smallest path.
 
-    In each round nodes without an edge in or out are trimmed; then the smallest
-    path is spread along the edges, and back from where it began.  A node that
-    both reach is in that path's component and leaves the graph.  Each round
-    works on what is left and is written to the checkpoint folder.
+    A repository of ``small`` edges at most is done by one task.  A larger one is
+    done in rounds: nodes without an edge in or out are trimmed; then the smallest
+    path is spread along the edges, and back from where it began.  A node that both
+    reach is in that path's component and leaves the graph.  Each round works on
+    what is left and is written to the checkpoint folder.
     """
     graph = checkpointed(_internal(edges, files))
+    sizes = graph.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+    large = checkpointed(sizes.filter(F.col("n") > (SMALL_EDGES if small is None else small)).select("repo_id"))
+    few = graph.join(large, "repo_id", "left_anti").groupBy("repo_id").applyInPandas(_components, "repo_id string, component string, path string")
+    if large.isEmpty():
+        return few
+    graph = graph.join(large, "repo_id", "left_semi")
     loops = graph.filter(F.col("source") == F.col("target")).select("repo_id", F.col("source").alias("component"), F.col("source").alias("path"))
     rest = graph.filter(F.col("source") != F.col("target"))
     done = loops
     while True:
         rest = _trimmed(rest)
         if rest.isEmpty():
-            return _merged(done)
+            return few.unionByName(_merged(done))
         ahead = _spread(rest, "source", "target")
         # Backwards only inside one colour, from the node that gave it.
         inside = rest.join(ahead.withColumnRenamed("path", "source").withColumnRenamed("label", "a"), ["repo_id", "source"]).join(ahead.withColumnRenamed("path", "target").withColumnRenamed("label", "b"), ["repo_id", "target"]).filter(F.col("a") == F.col("b")).select("repo_id", "source", "target")
