@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolytics.operators import extract, pyast, resolve
-from repolytics.plans.adapters import view
+from repolytics.plans.adapters import once, view, with_views
+from repolytics.plans.graph_queries import _DEPS
 
 
-def _statements(spark: SparkSession, sf: str) -> DataFrame:
+def statements(spark: SparkSession, sf: str) -> DataFrame:
     """A row for each line item: repo_id, order, line, part, supplier and quantity."""
-    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat(F.lit("repo-"), (F.col("o_custkey") % 20).cast("string")).alias("repo_id"), F.col("o_orderkey").alias("l_orderkey"))
-    x = spark.read.parquet(f"{sf}/lineitem.parquet").join(o, "l_orderkey")
-    return x.select("repo_id", F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("int").alias("q")).distinct()
+
+    def make() -> DataFrame:
+        repo = F.concat(F.lit("repo-"), F.floor(F.col("o_custkey") / 4).cast("string"))
+        o = spark.read.parquet(f"{sf}/orders.parquet").select(repo.alias("repo_id"), F.col("o_orderkey").alias("l_orderkey"))
+        x = spark.read.parquet(f"{sf}/lineitem.parquet").join(o, "l_orderkey")
+        return x.select("repo_id", F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("int").alias("q")).distinct()
+
+    return once(spark, sf, "statements", make)
 
 
 def _text(rows: DataFrame, path, body) -> DataFrame:  # noqa: ANN001
@@ -24,16 +30,29 @@ def _text(rows: DataFrame, path, body) -> DataFrame:  # noqa: ANN001
 
 
 def python_files(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.format_string("import pkg.o%d\n", F.col("p"))
-    fn = F.format_string("def f%d(a, b):\n    if a:\n        return g%d(b)\n    return C%d(a)\n", F.col("p"), F.col("s"), F.col("s"))
-    cls = F.when(F.col("q") >= 48, F.format_string("class K%d(Base):\n    x = Column(1)\n    def go(self):\n        pass\n", F.col("p"))).otherwise("")
-    const = F.when(F.col("k") == 1, F.format_string("LIMIT_%d = os.getenv('VAR_%d')\n", F.col("s"), F.col("s"))).otherwise("")
-    return _text(_statements(spark, sf), F.format_string("pkg/o%d.py", F.col("o")), F.concat(head, fn, cls, const))
+    def make() -> DataFrame:
+        q = F.col("q")
+        head = F.format_string("import pkg.o%d\n", F.col("p"))
+        fn = (
+            F.when(q % 4 == 0, F.format_string("def f%d(a, b):\n    if a:\n        return g%d(tmp(b))\n    return C%d(a)\n", F.col("p"), F.col("s"), F.col("s")))
+            .when(q % 4 == 1, F.format_string("def f%d(a, b):\n    for x in a:\n        if x and b and x and b and x:\n            while x:\n                with b:\n                    pass\n    return g%d(b)\n", F.col("p"), F.col("s")))
+            .when(q % 4 == 2, F.format_string("def f%d(a, b):\n%s    return C%d(a)\n", F.col("p"), F.lit("    a = a + 1\n" * 40), F.col("s"))).otherwise(F.format_string("def tmp(a):\n    return g%d(a)\n", F.col("s")))
+        )
+        cls = F.when(q >= 50, F.format_string("class k_%d(Base):\n    x = Column(1)\n    def go(self):\n        pass\n", F.col("p"))).when(q >= 48, F.format_string("class K%d(Base):\n    x = Column(1)\n    def go(self):\n        pass\n", F.col("p"))).otherwise("")
+        const = F.when(F.col("k") == 1, F.format_string("LIMIT_%d = os.getenv('VAR_%d')\n", F.col("s"), F.col("s"))).otherwise("")
+        return _text(statements(spark, sf), F.format_string("pkg/o%d.py", F.col("o")), F.concat(head, fn, cls, const))
+
+    return once(spark, sf, "python_files", make)
 
 
 def script_files(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.format_string("import { x } from './o%d'\nexport function h%d(x) { return fetch('/api/p%d/x') }\nrouter.get('/api/p%d', h)\nconst useT%d = (x) => process.env.VAR_%d\n", F.col("p"), F.col("p"), F.col("s"), F.col("p"), F.col("s"), F.col("s"))
-    return _text(_statements(spark, sf), F.format_string("web/o%d.ts", F.col("o")), body)
+    def make() -> DataFrame:
+        s = F.col("s")
+        call = F.when(s % 4 == 0, F.format_string("fetch('/api/p%d/x')", s)).when(s % 4 == 1, F.format_string("fetch('/api/p%d/x', { method: 'DELETE' })", s)).when(s % 4 == 2, F.format_string("axios.post('/api/p%d/x')", s)).otherwise(F.format_string("client.put(`/api/p%d/${x}`)", s))
+        body = F.format_string("import { x } from './o%d'\nexport function h%d(x) { return %s }\nrouter.get('/api/p%d', h)\nconst useT%d = (x) => process.env.VAR_%d\n", F.col("p"), F.col("p"), call, F.col("p"), s, s)
+        return _text(statements(spark, sf), F.format_string("web/o%d.ts", F.col("o")), body)
+
+    return once(spark, sf, "script_files", make)
 
 
 def python_outline(spark, sf):  # noqa: ANN001, ANN201
@@ -48,12 +67,14 @@ def python_usage(spark, sf):  # noqa: ANN001, ANN201
 
 def python_function_metrics(spark, sf):  # noqa: ANN001, ANN201
     rows = pyast.python_function_metrics(python_files(spark, sf)).select("repo_id", "path", F.explode("functions").alias("f")).select("repo_id", "path", "f.*")
-    return rows.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("functions"), F.max("span").alias("max_span"), F.max("complexity").alias("max_complexity"), F.max("nesting").alias("max_nesting"))
+    return rows.groupBy("repo_id", "path", "name", "span", "complexity", "nesting").agg(F.count(F.lit(1)).alias("n"))
 
 
 def python_findings(spark, sf):  # noqa: ANN001, ANN201
-    files = python_files(spark, sf).withColumn("content", F.replace("content", F.lit("def f1"), F.lit("def F1")))
-    return pyast.python_findings(pyast.python_function_metrics(files), "Aggressive").select("repo_id", "path", "rule", "severity", "name")
+    # Some functions are renamed, and some files don't parse.
+    text = F.when(F.col("path").endswith("7.py"), F.concat(F.lit("def broken(\n"), "content")).otherwise(F.replace("content", F.lit("def f1"), F.lit("def F1")))
+    files = python_files(spark, sf).withColumn("content", text)
+    return pyast.python_findings(pyast.python_function_metrics(files), "Aggressive").groupBy("repo_id", "path", "rule", "severity", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def api_surface(spark, sf):  # noqa: ANN001, ANN201
@@ -86,16 +107,24 @@ def http_calls(spark, sf):  # noqa: ANN001, ANN201
 
 
 def _routes(spark, sf):  # noqa: ANN001, ANN202
-    return _statements(spark, sf).filter("q >= 45").groupBy("repo_id", "p").agg(F.min("o").alias("ord")).select("repo_id", "ord", F.lit("GET").alias("method"), F.format_string("/api/p%d", F.col("p")).alias("path"), F.format_string("web/o%d.ts", F.col("ord")).alias("file"))
+    rows = statements(spark, sf).groupBy("repo_id", "p").agg(F.min("o").alias("ord"))
+    return rows.select("repo_id", "ord", F.when(F.col("p") % 2 == 0, "GET").otherwise("ALL").alias("method"), F.format_string("/api/p%d", F.col("p")).alias("path"), F.format_string("web/o%d.ts", F.col("ord")).alias("file"))
 
 
 def match_calls_to_routes(spark, sf):  # noqa: ANN001, ANN201
     return resolve.match_calls_to_routes(http_calls(spark, sf), _routes(spark, sf))
 
 
-def _imports(spark, sf):  # noqa: ANN001, ANN202
+def route_callers(spark, sf):  # noqa: ANN001, ANN201
+    routes = _routes(spark, sf).withColumn("path", F.concat("path", F.lit("/x/")))
+    return resolve.route_callers(http_calls(spark, sf), routes)
+
+
+def _imports(spark, sf, aliased=False):  # noqa: ANN001, ANN202
     py = python_outline(spark, sf).select("repo_id", "path", F.posexplode("imports").alias("ord", "spec"))
     js = js_outline(spark, sf).select("repo_id", "path", F.posexplode("imports").alias("ord", "spec"))
+    if aliased:
+        js = js.withColumn("spec", F.regexp_replace("spec", r"^\./(o\d*[02468])$", "@/$1"))
     return py.unionByName(js)
 
 
@@ -104,7 +133,50 @@ def _tree(spark, sf):  # noqa: ANN001, ANN202
 
 
 def resolve_imports(spark, sf):  # noqa: ANN001, ANN201
-    return resolve.resolve_imports(_imports(spark, sf), _tree(spark, sf)).select("repo_id", "source", "spec", "target").distinct()
+    tree = _tree(spark, sf)
+    aliases = tree.select("repo_id").distinct().select("repo_id", F.lit("@/*").alias("alias"), F.lit("web/*").alias("target"), F.lit(0).alias("ord"))
+    return resolve.resolve_imports(_imports(spark, sf, True), tree, aliases).select("repo_id", "source", "spec", "target").distinct()
+
+
+def relationships(spark, sf):  # noqa: ANN001, ANN201
+    files = python_files(spark, sf)
+    outline = files.select("repo_id", "path", pyast.python_outline(F.col("content")).alias("o"))
+    names = [outline.select("repo_id", "path", F.explode(f"o.{c}").alias("name")) for c in ("classes", "functions")]
+    imports = resolve.resolve_imports(python_outline(spark, sf).select("repo_id", "path", F.posexplode("imports").alias("ord", "spec")), files.select("repo_id", "path"))
+    return resolve.relationships(imports, python_usage(spark, sf), *names)
+
+
+def manifest_deps(spark, sf):  # noqa: ANN001, ANN201
+    return extract.extract_manifest_deps(view(spark, sf, "manifests"))
+
+
+def _parts(spark, sf):  # noqa: ANN001, ANN202
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("pack-"), F.floor(F.col("p_partkey") / 4).cast("string")).alias("repo_id"), F.col("p_partkey").alias("p"))
+
+
+def nextjs_routes(spark, sf):  # noqa: ANN001, ANN201
+    k = F.col("p") % 4
+    path = F.when(k < 2, F.format_string("src/app/api/u%d/route.ts", F.col("p"))).when(k == 2, F.format_string("pages/api/x%d/index.js", F.col("p"))).otherwise(F.format_string("lib/y%d.ts", F.col("p")))
+    return extract.nextjs_routes(_parts(spark, sf).select("repo_id", path.alias("path"), F.when(k == 0, "post").otherwise("helper").alias("name")))
+
+
+def prisma_models(spark, sf):  # noqa: ANN001, ANN201
+    text = F.format_string("model User%d {\n  id Int @id\n  // note\n  name%d String\n  @@map\n}\nmodel B%d {\n  x Y\n}\n", F.col("p"), F.col("p"), F.col("p"))
+    rows = extract.extract_prisma_models(_parts(spark, sf).select("repo_id", F.format_string("db/s%d.prisma", F.col("p")).alias("path"), text.alias("content")))
+    return rows.select("repo_id", "file", "name", F.array_join(F.transform("fields", lambda x: F.concat_ws(":", x["name"], x["type"])), ",").alias("fields"))
+
+
+def ts_aliases(spark, sf):  # noqa: ANN001, ANN201
+    text = F.format_string('{ // note\n "compilerOptions": { /* more */ "paths": { "@%d/*": ["src/*"], "lib": ["a%d", "b"] } } }', F.col("p"), F.col("p"))
+    return extract.extract_ts_aliases(_parts(spark, sf).select("repo_id", F.format_string("m%d/tsconfig.json", F.col("p")).alias("path"), text.alias("content")))
+
+
+def js_usage(spark, sf):  # noqa: ANN001, ANN201
+    return extract.js_usage(script_files(spark, sf))
+
+
+def js_api_surface(spark, sf):  # noqa: ANN001, ANN201
+    return extract.js_api_surface(script_files(spark, sf)).groupBy("repo_id", "path", "kind", "name", "shape").agg(F.count(F.lit(1)).alias("n"))
 
 
 def build_edges(spark, sf):  # noqa: ANN001, ANN201
@@ -123,9 +195,14 @@ def safe_rewrites(spark, sf):  # noqa: ANN001, ANN201
     return pyast.safe_rewrites(rows).select("repo_id", "path", "rewrite", F.length("proposed").cast("long").alias("n"))
 
 
-_ST = "st AS (SELECT DISTINCT 'repo-' || (o_custkey % 20) AS repo_id, o_orderkey AS o, l_linenumber AS k, l_partkey AS p, l_suppkey AS s, l_quantity::INT AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_ST = "st AS (SELECT DISTINCT 'repo-' || floor(o_custkey / 4)::BIGINT AS repo_id, o_orderkey AS o, l_linenumber AS k, l_partkey AS p, l_suppkey AS s, l_quantity::INT AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _PY, _TS = "'pkg/o' || o || '.py'", "'web/o' || o || '.ts'"
 _O = "ORDER BY k, p, s, q"
+_FN = "CASE WHEN q % 4 = 3 THEN 'tmp' ELSE 'f' || p END"
+_CLS = "CASE WHEN q >= 50 THEN 'k_' || p ELSE 'K' || p END"
+_CALL = "'/api/p' || s || CASE s % 4 WHEN 3 THEN '/:param' ELSE '/x' END"
+_VERB = "CASE s % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'DELETE' WHEN 2 THEN 'POST' ELSE 'PUT' END"
+_SIZE = "CASE q % 4 WHEN 0 THEN (4, 2, 1) WHEN 1 THEN (7, 8, 4) WHEN 2 THEN (42, 1, 0) ELSE (2, 1, 0) END"
 
 
 def _uniq(x: str) -> str:
@@ -134,26 +211,49 @@ def _uniq(x: str) -> str:
 
 
 SQL = {
-    "python_outline": f"""WITH {_ST} SELECT repo_id, {_PY} AS path, true AS parse_ok, list('pkg.o' || p {_O}) AS imports, list('f' || p {_O}) AS functions, coalesce(list('K' || p {_O}) FILTER (WHERE q >= 48), []) AS classes, coalesce(list('LIMIT_' || s {_O}) FILTER (WHERE k = 1), []) AS constants,
+    "python_outline": f"""WITH {_ST} SELECT repo_id, {_PY} AS path, true AS parse_ok, list('pkg.o' || p {_O}) AS imports, list({_FN} {_O}) AS functions, coalesce(list({_CLS} {_O}) FILTER (WHERE q >= 48), []) AS classes, coalesce(list('LIMIT_' || s {_O}) FILTER (WHERE k = 1), []) AS constants,
   count(*) + 2 * count(*) FILTER (WHERE q >= 48) AS n_symbols, count(*) FILTER (WHERE q >= 48) AS n_models FROM st GROUP BY repo_id, o""",
-    "python_usage": f"WITH {_ST} SELECT repo_id, {_PY} AS path, list_sort(list_concat(list(DISTINCT 'g' || s), CASE WHEN bool_or(k = 1) THEN ['getenv'] ELSE [] END)) AS calls, list_sort(list_concat(list(DISTINCT 'C' || s), CASE WHEN bool_or(q >= 48) THEN ['Column'] ELSE [] END)) AS constructs, CASE WHEN bool_or(q >= 48) THEN ['Base'] ELSE [] END AS bases, count(*) AS n_external FROM st GROUP BY repo_id, o",
-    "python_function_metrics": f"WITH {_ST} SELECT repo_id, {_PY} AS path, count(*) + count(*) FILTER (WHERE q >= 48) AS functions, 4 AS max_span, 2 AS max_complexity, 1 AS max_nesting FROM st GROUP BY repo_id, o",
-    "python_findings": f"WITH {_ST} SELECT repo_id, {_PY} AS path, 'nonstandard_function_name' AS rule, 'LOW' AS severity, 'F' || p AS name FROM st WHERE starts_with(p::VARCHAR, '1')",
+    "python_usage": f"""WITH {_ST}, x AS (SELECT repo_id, o, 'g' || s AS c FROM st WHERE q % 4 <> 2 UNION SELECT repo_id, o, 'tmp' FROM st WHERE q % 4 = 0 UNION SELECT repo_id, o, 'getenv' FROM st WHERE k = 1), n AS (SELECT repo_id, o, 'C' || s AS c FROM st WHERE q % 4 IN (0, 2) UNION SELECT repo_id, o, 'Column' FROM st WHERE q >= 48),
+  c AS (SELECT repo_id, o, list_sort(list(c)) AS calls FROM x GROUP BY ALL), d AS (SELECT repo_id, o, list_sort(list(c)) AS constructs FROM n GROUP BY ALL), z AS (SELECT repo_id, o, CASE WHEN bool_or(q >= 48) THEN ['Base'] ELSE [] END AS bases, count(*) AS n_external FROM st GROUP BY ALL)
+SELECT repo_id, {_PY} AS path, coalesce(calls, []) AS calls, coalesce(constructs, []) AS constructs, bases, n_external FROM z LEFT JOIN c USING (repo_id, o) LEFT JOIN d USING (repo_id, o)""",
+    "python_function_metrics": f"""WITH {_ST}, x AS (SELECT repo_id, o, {_FN} AS name, {_SIZE} AS m FROM st UNION ALL SELECT repo_id, o, 'go', (2, 1, 0) FROM st WHERE q >= 48)
+SELECT repo_id, {_PY} AS path, name, m[1] AS span, m[2] AS complexity, m[3] AS nesting, count(*) AS n FROM x GROUP BY ALL""",
+    "python_findings": f"""WITH {_ST}, f AS (SELECT repo_id, o, CASE WHEN q % 4 = 3 THEN 'tmp' WHEN starts_with(p::VARCHAR, '1') THEN 'F' || p ELSE 'f' || p END AS name, q, p FROM st WHERE o % 10 <> 7),
+  x AS (SELECT repo_id, o, 'long_function' AS rule, 'MEDIUM' AS severity, name FROM f WHERE q % 4 = 2 UNION ALL SELECT repo_id, o, unnest(['branch_complexity', 'deep_nesting']), 'MEDIUM', name FROM f WHERE q % 4 = 1 UNION ALL SELECT repo_id, o, 'vague_name', 'LOW', name FROM f WHERE q % 4 = 3
+    UNION ALL SELECT repo_id, o, 'nonstandard_function_name', 'LOW', name FROM f WHERE starts_with(name, 'F') UNION ALL SELECT repo_id, o, 'nonstandard_class_name', 'LOW', 'k_' || p FROM f WHERE q >= 50 UNION ALL SELECT repo_id, o, 'crowded_module', 'LOW', NULL FROM (SELECT repo_id, o, count(*) + count(*) FILTER (WHERE q >= 48) AS n FROM f GROUP BY ALL) WHERE n > 25
+    UNION ALL SELECT DISTINCT repo_id, o, 'parse_unavailable', 'LOW', NULL FROM st WHERE o % 10 = 7)
+SELECT repo_id, {_PY} AS path, rule, severity, name, count(*) AS n FROM x GROUP BY ALL""",
     "api_surface": f"""WITH {_ST}, x AS (SELECT repo_id, o, 'function' AS kind FROM st UNION ALL SELECT repo_id, o, unnest(['class', 'method']) FROM st WHERE q >= 48 UNION ALL SELECT repo_id, o, 'binding' FROM st WHERE k = 1) SELECT repo_id, {_PY} AS path, kind, count(*) AS n FROM x GROUP BY repo_id, o, kind""",
-    "python_fallback": f"""WITH {_ST}, x AS (SELECT repo_id, o, 'import' AS kind, 'pkg.o' || p AS name FROM st UNION ALL SELECT repo_id, o, 'function', 'f' || p FROM st UNION ALL SELECT repo_id, o, unnest(['class', 'function']), unnest(['K' || p, 'go']) FROM st WHERE q >= 48) SELECT repo_id, {_PY} AS path, kind, count(*) AS n, min(name) AS first FROM x GROUP BY repo_id, o, kind""",
+    "structural_check": f"""WITH {_ST}, f AS (SELECT DISTINCT repo_id, o FROM st), d AS (SELECT repo_id, o, {_FN} AS name FROM st UNION ALL SELECT repo_id, o, {_CLS} FROM st WHERE q >= 48)
+SELECT repo_id, {_PY} AS path, 'duplicate_name' AS problem, name AS detail FROM d GROUP BY repo_id, o, name HAVING count(*) > 1
+UNION ALL SELECT DISTINCT repo_id, {_PY}, 'unresolved_import', 'pkg.o' || p FROM st WHERE (repo_id, p) NOT IN (SELECT (repo_id, o) FROM f)""",
+    "python_fallback": f"""WITH {_ST}, x AS (SELECT repo_id, o, 'import' AS kind, 'pkg.o' || p AS name FROM st UNION ALL SELECT repo_id, o, 'function', {_FN} FROM st UNION ALL SELECT repo_id, o, unnest(['class', 'function']), unnest([{_CLS}, 'go']) FROM st WHERE q >= 48) SELECT repo_id, {_PY} AS path, kind, count(*) AS n, min(name) AS first FROM x GROUP BY repo_id, o, kind""",
     "js_outline": f"""WITH {_ST}, x AS (SELECT repo_id, o, list('./o' || p {_O}) AS i, list('h' || p {_O}) AS e, flatten(list(['h' || p, 'useT' || s] {_O})) AS f, list('useT' || s {_O}) AS h, list('VAR_' || s {_O}) AS v, count(*) AS n FROM st GROUP BY repo_id, o)
 SELECT repo_id, {_TS} AS path, {_uniq("i")} AS imports, {_uniq("e")} AS exports, {_uniq("f")} AS functions, {_uniq("h")} AS hooks, {_uniq("v")} AS env_vars, n AS n_routes FROM x""",
     "js_symbols": f"""WITH {_ST}, n AS (SELECT *, 4 * (row_number() OVER (PARTITION BY repo_id, o {_O}) - 1) AS b FROM st), x AS (SELECT repo_id, o, 'h' || p AS name, 'function' AS type, b + 2 AS line FROM n UNION ALL SELECT repo_id, o, 'useT' || s, 'hook', b + 4 FROM n)
 SELECT repo_id, {_TS} AS path, name, type, min(line)::INT AS line FROM x GROUP BY repo_id, o, name, type""",
+    "js_usage": f"""WITH {_ST}, c AS (SELECT repo_id, o, 'h' || p AS c FROM st UNION SELECT repo_id, o, 'get' FROM st UNION SELECT repo_id, o, CASE s % 4 WHEN 2 THEN 'post' WHEN 3 THEN 'put' ELSE 'fetch' END FROM st), x AS (SELECT repo_id, o, list('./o' || p {_O}) AS i FROM st GROUP BY ALL),
+  z AS (SELECT repo_id, o, list_sort(list(c)) AS calls FROM c GROUP BY ALL)
+SELECT repo_id, {_TS} AS path, calls, []::VARCHAR[] AS constructs, []::VARCHAR[] AS bases, {_uniq("i")} AS internal_imports, []::VARCHAR[] AS external_imports FROM x JOIN z USING (repo_id, o)""",
+    "js_api_surface": f"WITH {_ST} SELECT repo_id, {_TS} AS path, 'function' AS kind, 'h' || p AS name, sha256('|(x)') AS shape, count(*) AS n FROM st GROUP BY repo_id, o, p",
     "env_vars": f"WITH {_ST} SELECT DISTINCT repo_id, 'VAR_' || s AS name, {_PY} AS file FROM st WHERE k = 1 UNION SELECT DISTINCT repo_id, 'VAR_' || s, {_TS} FROM st",
-    "http_calls": f"WITH {_ST}, n AS (SELECT *, 4 * (row_number() OVER (PARTITION BY repo_id, o {_O}) - 1) AS b FROM st) SELECT repo_id, {_TS} AS file, (b + 2)::INT AS line, 'GET' AS method, '/api/p' || s || '/x' AS path FROM n",
-    "match_calls_to_routes": f"""WITH {_ST}, n AS (SELECT *, 4 * (row_number() OVER (PARTITION BY repo_id, o {_O}) - 1) AS b FROM st), r AS (SELECT repo_id, p, min(o) AS ord FROM st WHERE q >= 45 GROUP BY ALL),
-  m AS (SELECT n.repo_id, {_TS.replace("|| o ||", "|| n.o ||")} AS file, (b + 2)::INT AS line, '/api/p' || s || '/x' AS called, r.p, r.ord FROM n JOIN r ON r.repo_id = n.repo_id AND starts_with('/api/p' || s || '/x', '/api/p' || r.p) QUALIFY row_number() OVER (PARTITION BY n.repo_id, n.o, b ORDER BY r.ord, 'web/o' || r.ord || '.ts') = 1)
-SELECT repo_id, file, line, 'GET' AS method, called, '/api/p' || p AS route, 'web/o' || ord || '.ts' AS route_file FROM m""",
-    "resolve_imports": f"WITH {_ST}, f AS (SELECT DISTINCT repo_id, o FROM st) SELECT DISTINCT st.repo_id, {_PY.replace('|| o ||', '|| st.o ||')} AS source, 'pkg.o' || p AS spec, 'pkg/o' || p || '.py' AS target FROM st JOIN f ON f.repo_id = st.repo_id AND f.o = p WHERE p <> st.o UNION SELECT DISTINCT st.repo_id, {_TS.replace('|| o ||', '|| st.o ||')}, './o' || p, 'web/o' || p || '.ts' FROM st JOIN f ON f.repo_id = st.repo_id AND f.o = p WHERE p <> st.o",
+    "http_calls": f"WITH {_ST}, n AS (SELECT *, 4 * (row_number() OVER (PARTITION BY repo_id, o {_O}) - 1) AS b FROM st) SELECT repo_id, {_TS} AS file, (b + 2)::INT AS line, {_VERB} AS method, {_CALL} AS path FROM n",
+    "match_calls_to_routes": f"""WITH {_ST}, n AS (SELECT *, 4 * (row_number() OVER (PARTITION BY repo_id, o {_O}) - 1) AS b FROM st), r AS (SELECT repo_id, p, min(o) AS ord FROM st GROUP BY ALL),
+  m AS (SELECT n.repo_id, {_TS.replace("|| o ||", "|| n.o ||")} AS file, (b + 2)::INT AS line, {_VERB} AS method, {_CALL} AS called, r.p, r.ord FROM n JOIN r ON r.repo_id = n.repo_id AND starts_with({_CALL}, '/api/p' || r.p) AND (r.p % 2 = 1 OR s % 4 = 0) QUALIFY row_number() OVER (PARTITION BY n.repo_id, n.o, b ORDER BY r.ord, 'web/o' || r.ord || '.ts') = 1)
+SELECT repo_id, file, line, method, called, '/api/p' || p AS route, 'web/o' || ord || '.ts' AS route_file FROM m""",
+    "route_callers": f"WITH {_ST}, n AS (SELECT *, 4 * (row_number() OVER (PARTITION BY repo_id, o {_O}) - 1) AS b FROM st) SELECT repo_id, '/api/p' || s || '/x' AS route, {_TS} AS file, (b + 2)::INT AS line, {_VERB} AS method FROM n WHERE s % 4 <> 3 AND (repo_id, s) IN (SELECT (repo_id, p) FROM st)",
+    "resolve_imports": f"WITH {_ST}, f AS (SELECT DISTINCT repo_id, o FROM st) SELECT DISTINCT st.repo_id, {_PY.replace('|| o ||', '|| st.o ||')} AS source, 'pkg.o' || p AS spec, 'pkg/o' || p || '.py' AS target FROM st JOIN f ON f.repo_id = st.repo_id AND f.o = p WHERE p <> st.o UNION SELECT DISTINCT st.repo_id, {_TS.replace('|| o ||', '|| st.o ||')}, CASE WHEN p % 2 = 0 THEN '@/o' ELSE './o' END || p, 'web/o' || p || '.ts' FROM st JOIN f ON f.repo_id = st.repo_id AND f.o = p WHERE p <> st.o",
+    "relationships": f"""WITH {_ST}, f AS (SELECT DISTINCT repo_id, o FROM st), e AS (SELECT DISTINCT st.repo_id, st.o AS a, p AS b FROM st JOIN f ON f.repo_id = st.repo_id AND f.o = p WHERE p <> st.o)
+SELECT repo_id, 'pkg/o' || a || '.py' AS source, 'pkg/o' || b || '.py' AS target, 'imports' AS relation, NULL::VARCHAR AS evidence FROM e
+UNION ALL SELECT repo_id, 'pkg/o' || a || '.py', 'pkg/o' || b || '.py', 'executes', 'tmp' FROM e WHERE (repo_id, a) IN (SELECT (repo_id, o) FROM st WHERE q % 4 = 0) AND (repo_id, b) IN (SELECT (repo_id, o) FROM st WHERE q % 4 = 3)""",
     "build_edges": f"""WITH {_ST}, f AS (SELECT DISTINCT repo_id, o FROM st), e AS (SELECT DISTINCT st.repo_id, st.o AS a, p AS b FROM st JOIN f ON f.repo_id = st.repo_id AND f.o = p WHERE p <> st.o)
 SELECT repo_id, 'pkg/o' || a || '.py' AS source, 'pkg/o' || b || '.py' AS target, 'imports' AS type, 0.95 AS confidence, 'Import statement: ''pkg.o' || b || '''' AS evidence FROM e
 UNION ALL SELECT repo_id, 'web/o' || a || '.ts', 'web/o' || b || '.ts', CASE WHEN a % 10 = 0 AND b % 10 = 0 THEN 'renders' WHEN a % 10 = 0 THEN 'component -> service' ELSE 'imports' END, 0.95, 'Import statement: ''./o' || b || '''' FROM e""",
+    "manifest_deps": with_views(f"WITH {_DEPS} SELECT repo_id, path, kind, name, value FROM dp", "manifests"),
+    "nextjs_routes": """SELECT 'pack-' || floor(p_partkey / 4)::BIGINT AS repo_id, CASE WHEN p_partkey % 4 < 2 THEN 'src/app/api/u' || p_partkey || '/route.ts' ELSE 'pages/api/x' || p_partkey || '/index.js' END AS file, CASE WHEN p_partkey % 4 = 0 THEN 'POST' ELSE 'ALL' END AS method,
+  CASE WHEN p_partkey % 4 < 2 THEN '/api/u' || p_partkey ELSE '/api/x' || p_partkey END AS path, CASE WHEN p_partkey % 4 = 0 THEN 'post' ELSE 'helper' END AS handler, 'nextjs' AS framework FROM part WHERE p_partkey % 4 < 3""",
+    "prisma_models": "WITH x AS (SELECT 'pack-' || floor(p_partkey / 4)::BIGINT AS repo_id, 'db/s' || p_partkey || '.prisma' AS file, p_partkey AS p FROM part) SELECT repo_id, file, 'User' || p AS name, 'id:Int,name' || p || ':String' AS fields FROM x UNION ALL SELECT repo_id, file, 'B' || p, 'x:Y' FROM x",
+    "ts_aliases": "WITH x AS (SELECT 'pack-' || floor(p_partkey / 4)::BIGINT AS repo_id, p_partkey AS p FROM part) SELECT repo_id, '@' || p || '/*' AS alias, 'src/*' AS target, 0 AS ord FROM x UNION ALL SELECT repo_id, 'lib', unnest(['a' || p, 'b']), unnest([0, 1]) FROM x",
 }
 
-QUERIES = {f.__name__: f for f in (python_outline, python_usage, python_function_metrics, python_findings, api_surface, structural_check, python_fallback, js_outline, js_symbols, env_vars, http_calls, match_calls_to_routes, resolve_imports, build_edges, line_hunks, safe_rewrites)}
+QUERIES = {f.__name__: f for f in (python_outline, python_usage, python_function_metrics, python_findings, api_surface, structural_check, python_fallback, js_outline, js_symbols, js_usage, js_api_surface, env_vars, http_calls, match_calls_to_routes, route_callers, resolve_imports, relationships, build_edges, manifest_deps, nextjs_routes, prisma_models, ts_aliases, line_hunks, safe_rewrites)}

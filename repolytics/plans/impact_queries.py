@@ -8,25 +8,28 @@ from repolytics.operators import graph, health, impact, lines
 from repolytics.plans import graph_queries as g
 from repolytics.plans import history_queries as h
 from repolytics.plans import text_queries as t
-from repolytics.plans.adapters import view, with_views
+from repolytics.plans.adapters import once, view, with_views
+from repolytics.plans.sql import BINARY, GENERATED, SENSITIVE, TEST, quoted
 
 
 def _asked(spark, sf):  # noqa: ANN001, ANN202
-    """Every file is a target; routes and models of some are asked for by name."""
+    """Every file is a target: asked for by path, by a part of it, or by what it holds."""
     p = F.col("path")
+    name = F.substring_index(F.substring_index(p, "/", -1), ".", 1)
+    by_name = p.rlike("^(?:lib|src/api|src/components|scripts)/")
+    part = F.when(p.startswith("tests/"), F.concat(F.lit("/"), F.upper(F.substring_index(p, "/", -2)))).otherwise(p)
     return view(spark, sf, "tree").select(
-        "repo_id", p.alias("target"), F.when(p.rlike("^(?:lib|src/api)"), None).otherwise(p).alias("ask_file"), F.when(p.startswith("zz"), "x").alias("ask_symbol"),
-        F.when(p.startswith("src/api"), F.concat(F.lit("/"), F.substring_index(p, "/", -2))).alias("ask_route"), F.when(p.startswith("lib"), F.upper(F.substring_index(F.substring_index(p, "/", -1), ".", 1))).alias("ask_model"), F.lit(None).cast("string").alias("ask_env"),
+        "repo_id", p.alias("target"), F.when(~by_name, part).alias("ask_file"), F.when(p.startswith("src/components"), F.concat(F.lit("do_"), name)).alias("ask_symbol"), F.when(p.startswith("src/api"), F.concat(F.lit("/"), F.substring_index(p, "/", -2))).alias("ask_route"),
+        F.when(p.startswith("lib"), F.upper(name)).alias("ask_model"), F.when(p.startswith("scripts"), F.upper(name)).alias("ask_env"),
     )
 
 
-def _none(spark, ddl):  # noqa: ANN001, ANN202
-    return spark.createDataFrame([], ddl)
-
-
 def resolve_targets(spark, sf):  # noqa: ANN001, ANN201
-    empty = _none(spark, "repo_id string, name string, file string")
-    return impact.resolve_targets(_asked(spark, sf), view(spark, sf, "tree"), g._routes(spark, sf), g._models(spark, sf), empty, empty)
+    t = view(spark, sf, "tree")
+    name = F.substring_index(F.substring_index("path", "/", -1), ".", 1)
+    symbols = t.select("repo_id", F.concat(F.lit("do_"), name).alias("name"), F.col("path").alias("file"))
+    env = t.filter(F.col("path").startswith("scripts")).select("repo_id", F.upper(name).alias("name"), F.col("path").alias("file"))
+    return impact.resolve_targets(_asked(spark, sf), t, g._routes(spark, sf), g._models(spark, sf), symbols, env)
 
 
 def _targets(spark, sf):  # noqa: ANN001, ANN202
@@ -35,9 +38,29 @@ def _targets(spark, sf):  # noqa: ANN001, ANN202
 
 
 def direct_impacts(spark, sf):  # noqa: ANN001, ANN201
+    return once(spark, sf, "direct_impacts", lambda: _direct(spark, sf))
+
+
+def _direct(spark, sf):  # noqa: ANN001, ANN202
     return impact.direct_impacts(_targets(spark, sf), graph.edge_index(view(spark, sf, "edges")))
 
 
+def direct_impacts_of_names(spark, sf):  # noqa: ANN001, ANN201
+    """Targets by symbol, route, model or variable; dependents of even length name them, those of a length by three call them."""
+    p = F.col("path")
+    name = F.substring_index(F.substring_index(p, "/", -1), ".", 1)
+    kind = F.when(p.startswith("src/components"), "symbol").when(p.startswith("src/api"), "route").when(p.startswith("lib"), "database_model").when(p.startswith("scripts"), "environment_variable").otherwise("file")
+    t = view(spark, sf, "tree").select(
+        "repo_id", p.alias("target"), p.alias("file"), kind.alias("type"), F.when(kind == "symbol", name).alias("symbol"), F.when(kind == "route", F.concat(F.lit("/"), name, F.lit("/:id/"))).alias("route"), F.when(kind == "database_model", name).alias("model"), F.when(kind == "environment_variable", name).alias("env_var"),
+    )
+    e = view(spark, sf, "edges")
+    of = F.substring_index(F.substring_index("target", "/", -1), ".", 1)
+    mentions = e.filter(F.length("source") % 2 == 0).select("repo_id", F.col("source").alias("file"), of.alias("name"))
+    callers = e.filter(F.length("source") % 3 == 0).select("repo_id", F.concat(F.lit("/"), of, F.lit("/:param")).alias("route"), F.col("source").alias("file"))
+    readers = e.filter(F.length("source") % 5 == 0).select("repo_id", of.alias("name"), F.col("source").alias("file"))
+    return impact.direct_impacts(t, graph.edge_index(e), mentions=mentions, callers=callers, readers=readers)
+
+
 def transitive_impacts(spark, sf):  # noqa: ANN001, ANN201
     return impact.transitive_impacts(_targets(spark, sf), direct_impacts(spark, sf), graph.edge_index(view(spark, sf, "edges")), max_depth=4)
 
@@ -66,7 +89,12 @@ def affected_features(spark, sf):  # noqa: ANN001, ANN201
 
 def commit_impact(spark, sf):  # noqa: ANN001, ANN201
     c = view(spark, sf, "commit_files").select("repo_id", "sha", F.lit(1).alias("ord"), F.when(F.col("additions") == 1, "D").otherwise("M").alias("status"), "path")
-    return impact.commit_impact(c, view(spark, sf, "tree"), graph.edge_index(view(spark, sf, "edges")), limit=2)
+    return impact.commit_impact(c, view(spark, sf, "tree"), graph.edge_index(view(spark, sf, "edges")))
+
+
+def commit_areas(spark, sf):  # noqa: ANN001, ANN201
+    c = view(spark, sf, "commit_files").select("repo_id", "sha", F.when(F.col("additions") == 1, "D").otherwise("M").alias("status"), "path")
+    return impact.commit_areas(c, view(spark, sf, "tree"))
 
 
 def _findings(spark, sf):  # noqa: ANN001, ANN202
@@ -80,10 +108,10 @@ def health_findings(spark, sf):  # noqa: ANN001, ANN201
 
 
 def health_scores(spark, sf):  # noqa: ANN001, ANN201
-    return health.health_scores(_simple(spark, sf), view(spark, sf, "tree"))
+    return health.health_scores(simple_findings(spark, sf), view(spark, sf, "tree"))
 
 
-def _simple(spark, sf):  # noqa: ANN001, ANN202
+def simple_findings(spark, sf):  # noqa: ANN001, ANN202
     """Findings of sizes, secrets and fans alone."""
     s = t.size_findings(spark, sf).select("repo_id", "category", "rule", "severity", "confidence", "path", F.lit(None).cast("int").alias("line"))
     x = t.security_findings(spark, sf).select("repo_id", F.lit("Security").alias("category"), "rule", "severity", "confidence", "path", "line")
@@ -92,11 +120,16 @@ def _simple(spark, sf):  # noqa: ANN001, ANN202
 
 
 def severity_rollup(spark, sf):  # noqa: ANN001, ANN201
-    return health.severity_rollup(_simple(spark, sf))
+    return health.severity_rollup(simple_findings(spark, sf))
+
+
+def filtered_issues(spark, sf):  # noqa: ANN001, ANN201
+    rows = simple_findings(spark, sf).withColumn("actions", F.when(F.length("path") % 2 == 0, F.array(F.lit("split"))).otherwise(F.array().cast("array<string>")))
+    return health.top_issues(rows, 5, category="Architecture", severity="LOW", confidence="HIGH", path=" SRC/", actionable=True).drop("actions")
 
 
 def top_issues(spark, sf):  # noqa: ANN001, ANN201
-    return health.top_issues(_simple(spark, sf))
+    return health.top_issues(simple_findings(spark, sf))
 
 
 def audit_ranking(spark, sf):  # noqa: ANN001, ANN201
@@ -105,11 +138,12 @@ def audit_ranking(spark, sf):  # noqa: ANN001, ANN201
 
 
 def audit_coverage(spark, sf):  # noqa: ANN001, ANN201
-    return health.audit_coverage(view(spark, sf, "tree"), view(spark, sf, "file_sizes").filter("size % 2 = 0"))
+    # Texts of all files that a commit of some size has touched are at hand.
+    return health.audit_coverage(view(spark, sf, "tree"), view(spark, sf, "commit_files").filter("additions >= 20").select("repo_id", "path"))
 
 
 _DIRECT = "d AS (SELECT t.repo_id, t.path AS target, source AS file FROM tree t JOIN edges e ON e.repo_id = t.repo_id AND e.target = t.path)"
-_TEST = "regexp_matches({p}, '(^|/)tests/')"
+_TEST = TEST
 _RT = "rt AS (SELECT repo_id, path AS file, CASE WHEN length(path) % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, '/' || string_split(path, '/')[-2] || '/' || string_split(path, '/')[-1] AS route FROM tree WHERE starts_with(path, 'src/api'))"
 _MD = "md AS (SELECT repo_id, path AS file, string_split(string_split(path, '/')[-1], '.')[1] AS name FROM tree WHERE starts_with(path, 'lib'))"
 _NEAR = "near AS (SELECT repo_id, path AS target, path AS file, 0 AS far FROM tree UNION ALL SELECT repo_id, target, file, 1 FROM d)"
@@ -134,20 +168,33 @@ def _with(sql: str, *names: str) -> str:
 
 SQL = {
     "resolve_targets": with_views(
-        f"""WITH {_RT}, {_MD} SELECT repo_id, path AS target, path AS file, 'file' AS type, NULL::VARCHAR AS symbol, NULL::VARCHAR AS route, NULL::VARCHAR AS model, NULL::VARCHAR AS env_var FROM tree WHERE NOT starts_with(path, 'lib') AND NOT starts_with(path, 'src/api')
-UNION ALL SELECT t.repo_id, t.path, min(r.file), 'route', NULL, '/' || string_split(t.path, '/')[-2] || '/' || string_split(t.path, '/')[-1], NULL, NULL FROM tree t JOIN rt r ON r.repo_id = t.repo_id AND r.route = '/' || string_split(t.path, '/')[-2] || '/' || string_split(t.path, '/')[-1] WHERE starts_with(t.path, 'src/api') GROUP BY ALL
-UNION ALL SELECT t.repo_id, t.path, min(m.file), 'database_model', NULL, NULL, upper(string_split(string_split(t.path, '/')[-1], '.')[1]), NULL FROM tree t JOIN md m ON m.repo_id = t.repo_id AND lower(m.name) = lower(string_split(string_split(t.path, '/')[-1], '.')[1]) WHERE starts_with(t.path, 'lib') GROUP BY ALL""",
+        f"""WITH {_RT}, {_MD}, a AS (SELECT repo_id, path, string_split(string_split(path, '/')[-1], '.')[1] AS nm, CASE WHEN regexp_matches(path, '^lib/') THEN 'm' WHEN starts_with(path, 'src/api/') THEN 'r' WHEN starts_with(path, 'src/components/') THEN 's' WHEN starts_with(path, 'scripts/') THEN 'e' WHEN starts_with(path, 'tests/') THEN 't' ELSE 'f' END AS w, '/' || string_split(path, '/')[-2] || '/' || string_split(path, '/')[-1] AS tail FROM tree)
+SELECT repo_id, path AS target, path AS file, 'file' AS type, NULL::VARCHAR AS symbol, NULL::VARCHAR AS route, NULL::VARCHAR AS model, NULL::VARCHAR AS env_var FROM a WHERE w = 'f'
+UNION ALL SELECT a.repo_id, a.path, min(t.path), 'file', NULL, NULL, NULL, NULL FROM a JOIN tree t ON t.repo_id = a.repo_id AND contains(lower(t.path), lower(substr(a.tail, 2))) WHERE w = 't' GROUP BY ALL
+UNION ALL SELECT a.repo_id, a.path, min(r.file), 'route', NULL, a.tail, NULL, NULL FROM a JOIN rt r ON r.repo_id = a.repo_id AND r.route = a.tail WHERE w = 'r' GROUP BY ALL
+UNION ALL SELECT a.repo_id, a.path, min(m.file), 'database_model', NULL, NULL, upper(a.nm), NULL FROM a JOIN md m ON m.repo_id = a.repo_id AND lower(m.name) = lower(a.nm) WHERE w = 'm' GROUP BY ALL
+UNION ALL SELECT a.repo_id, a.path, min(b.path), 'symbol', 'do_' || a.nm, NULL, NULL, NULL FROM a JOIN a b ON b.repo_id = a.repo_id AND b.nm = a.nm WHERE a.w = 's' GROUP BY ALL
+UNION ALL SELECT repo_id, path, path, 'environment_variable', NULL, NULL, NULL, upper(nm) FROM a WHERE w = 'e'""",
         "tree"),
+    "direct_impacts_of_names": with_views(
+        f"""WITH {_DIRECT}, x AS (SELECT *, string_split(string_split(target, '/')[-1], '.')[1] AS nm, length(file) AS n FROM d),
+  nn AS (SELECT DISTINCT e.repo_id, source AS file, string_split(string_split(target, '/')[-1], '.')[1] AS nm FROM edges e),
+  z AS (SELECT x.repo_id, target, file, 1 AS r, CASE WHEN starts_with(target, 'src/components') THEN n % 2 = 0 WHEN starts_with(target, 'src/api') THEN n % 3 = 0 WHEN starts_with(target, 'lib') THEN n % 2 = 0 ELSE true END AS sure FROM x
+    UNION ALL SELECT t.repo_id, t.path, nn.file, 2, true FROM tree t JOIN nn ON nn.repo_id = t.repo_id AND nn.nm = string_split(string_split(t.path, '/')[-1], '.')[1] WHERE nn.file <> t.path AND ((starts_with(t.path, 'src/api') AND length(nn.file) % 3 = 0) OR (starts_with(t.path, 'scripts') AND length(nn.file) % 5 = 0)))
+SELECT repo_id, target, file, CASE WHEN arg_min(sure, r) THEN 'CONFIRMED' ELSE 'LIKELY' END AS confidence FROM z GROUP BY repo_id, target, file""",
+        "tree", "edges"),
     "direct_impacts": with_views(f"WITH {_DIRECT} SELECT repo_id, target, file, 'CONFIRMED' AS confidence FROM d", "tree", "edges"),
     "transitive_impacts": with_views(f"WITH {_DIRECT}, {_BFS} SELECT * FROM o", "tree", "edges").replace("WITH ", "WITH RECURSIVE ", 1),
     "affected_tests": with_views(f"WITH {_DIRECT}, {_TESTS} SELECT * FROM ts", "tree", "edges"),
     "affected_routes": with_views(f"WITH {_DIRECT}, {_NEAR}, {_RT}, x AS (SELECT near.repo_id, target, method, route, min((far, file)) AS m FROM near JOIN rt USING (repo_id, file) GROUP BY ALL) SELECT repo_id, target, method, route AS path, m[2] AS file, CASE WHEN m[1] = 0 THEN 'CONFIRMED' ELSE 'LIKELY' END AS confidence FROM x", "tree", "edges"),
     "affected_models": with_views(f"WITH {_DIRECT}, {_NEAR}, {_MD}, x AS (SELECT near.repo_id, target, name, min((far, file)) AS m FROM near JOIN md USING (repo_id, file) GROUP BY ALL) SELECT repo_id, target, name, m[2] AS file, CASE WHEN m[1] = 0 THEN 'CONFIRMED' ELSE 'LIKELY' END AS confidence FROM x", "tree", "edges"),
     "commit_impact": with_views(
-        f"""WITH k AS (SELECT repo_id, sha, path FROM commit_files JOIN tree USING (repo_id, path) WHERE additions <> 1), c AS (SELECT repo_id, sha, path, count(*) OVER (PARTITION BY repo_id, sha) > 2 AS truncated FROM k QUALIFY row_number() OVER (PARTITION BY repo_id, sha ORDER BY path) <= 2),
+        f"""WITH k AS (SELECT repo_id, sha, path FROM commit_files JOIN tree USING (repo_id, path) WHERE additions <> 1), c AS (SELECT repo_id, sha, path, count(*) OVER (PARTITION BY repo_id, sha) > 12 AS truncated FROM k QUALIFY row_number() OVER (PARTITION BY repo_id, sha ORDER BY path) <= 12),
   {_DIRECT}, z AS (SELECT DISTINCT d.repo_id, d.target, e.source AS file FROM d JOIN edges e ON e.repo_id = d.repo_id AND e.target = d.file WHERE e.source <> d.target AND e.source <> d.file AND (d.repo_id, d.target, e.source) NOT IN (SELECT (repo_id, target, file) FROM d))
 SELECT c.repo_id, c.path, c.sha, coalesce(dn, 0) AS direct, coalesce(tn, 0) AS transitive, truncated FROM c LEFT JOIN (SELECT repo_id, target AS path, count(*) AS dn FROM d GROUP BY ALL) USING (repo_id, path) LEFT JOIN (SELECT repo_id, target AS path, count(*) AS tn FROM z GROUP BY ALL) USING (repo_id, path)""",
         "commit_files", "tree", "edges"),
+    "commit_areas": with_views("SELECT repo_id, sha, list_sort(list(DISTINCT CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '.' END)) AS areas FROM commit_files JOIN tree USING (repo_id, path) WHERE additions <> 1 GROUP BY ALL", "commit_files", "tree"),
+    "filtered_issues": _with(f"{_FIND} SELECT repo_id, category, rule, severity, confidence, path, line, {_PEN} AS penalty FROM fd WHERE category = 'Architecture' AND severity = 'LOW' AND confidence = 'HIGH' AND contains(lower(path), 'src/') AND length(path) % 2 = 0 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY {_PEN} DESC, category, coalesce(path, ''), coalesce(line, 0), rule) <= 5", "sz", "sec", "fan"),
     "severity_rollup": _with(f"{_FIND} SELECT repo_id, category, severity, count(*) AS findings, round(sum({_PEN}), 6) AS penalty FROM fd GROUP BY ROLLUP (repo_id, category, severity) HAVING repo_id IS NOT NULL", "sz", "sec", "fan"),
     "top_issues": _with(f"{_FIND} SELECT repo_id, category, rule, severity, confidence, path, line, {_PEN} AS penalty FROM fd QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY {_PEN} DESC, category, coalesce(path, ''), coalesce(line, 0), rule) <= 10", "sz", "sec", "fan"),
     "health_scores": _with(
@@ -157,10 +204,13 @@ SELECT c.repo_id, c.path, c.sha, coalesce(dn, 0) AS direct, coalesce(tn, 0) AS t
 SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 80 THEN 'Strong' WHEN score >= 70 THEN 'Good' WHEN score >= 60 THEN 'Needs Attention' WHEN score >= 40 THEN 'Weak' ELSE 'Critical' END AS label FROM a""",
         "sz", "sec", "fan"),
     "audit_ranking": with_views("SELECT t.repo_id, t.path, CASE WHEN size % 101 % 3 > 0 THEN size % 101 END AS maintainability_score, CASE WHEN size % 101 % 3 > 0 THEN size % 101 % 7 ELSE 0 END AS finding_count FROM tree t JOIN file_sizes f USING (repo_id, path) QUALIFY row_number() OVER (PARTITION BY t.repo_id ORDER BY maintainability_score NULLS LAST, finding_count DESC, t.path) <= 50", "tree", "file_sizes"),
-    "audit_coverage": with_views("SELECT repo_id, count(*) AS total_files, count(*) FILTER (WHERE path NOT LIKE '%/.env%' AND size % 2 = 0) AS content_analyzed, count(*) FILTER (WHERE path NOT LIKE '%/.env%' AND size % 2 = 1) AS metadata_only, count(*) FILTER (WHERE path LIKE '%/.env%') AS skipped_sensitive, 0::BIGINT AS skipped_binary, 0::BIGINT AS skipped_generated FROM tree JOIN file_sizes USING (repo_id, path) GROUP BY 1", "tree", "file_sizes"),
+    "audit_coverage": with_views(
+        f"""WITH h AS (SELECT DISTINCT repo_id, path, true AS has FROM commit_files WHERE additions >= 20), x AS (SELECT repo_id, CASE WHEN {SENSITIVE.format(p="path")} THEN 's' WHEN {BINARY.format(p="path")} THEN 'b' WHEN {GENERATED.format(p="path")} THEN 'g' WHEN has THEN 'c' ELSE 'm' END AS k FROM tree LEFT JOIN h USING (repo_id, path))
+SELECT repo_id, count(*) AS total_files, count(*) FILTER (WHERE k = 'c') AS content_analyzed, count(*) FILTER (WHERE k = 'm') AS metadata_only, count(*) FILTER (WHERE k = 's') AS skipped_sensitive, count(*) FILTER (WHERE k = 'b') AS skipped_binary, count(*) FILTER (WHERE k = 'g') AS skipped_generated FROM x GROUP BY 1""",
+        "tree", "commit_files"),
 }
 
-QUERIES = {f.__name__: f for f in (resolve_targets, direct_impacts, transitive_impacts, affected_tests, affected_routes, affected_models, impact_risk, affected_features, commit_impact, health_findings, health_scores, severity_rollup, top_issues, audit_ranking, audit_coverage)}
+QUERIES = {f.__name__: f for f in (resolve_targets, direct_impacts, direct_impacts_of_names, transitive_impacts, affected_tests, affected_routes, affected_models, impact_risk, affected_features, commit_impact, commit_areas, health_findings, health_scores, severity_rollup, top_issues, filtered_issues, audit_ranking, audit_coverage)}
 
 _POINTS = (
     ("entry_point", "CASE WHEN regexp_matches(file, '/f\\d*0\\.') THEN 3.0::DOUBLE END"), ("routes", "CASE WHEN routes_affected > 0 THEN 2.0::DOUBLE END"), ("models", "CASE WHEN models_affected > 0 THEN 2.0::DOUBLE END"), ("cycle", "CASE WHEN cyclic THEN 2.0::DOUBLE END"),
@@ -174,3 +224,17 @@ SQL["impact_risk"] = f"""WITH n AS ({SQL["transitive_impacts"]}), ts AS ({SQL["a
     LEFT JOIN (SELECT repo_id, target, count(*) AS mn FROM mm GROUP BY ALL) t3 ON t3.repo_id = tr.repo_id AND t3.target = tr.path LEFT JOIN dg ON dg.repo_id = tr.repo_id AND dg.path = tr.path),
   s AS (SELECT *, {" + ".join(f"coalesce({v}, 0.0::DOUBLE)" for _, v in _POINTS)} AS risk_score, list_filter([{", ".join(f"'{k} +' || ({v})::VARCHAR" for k, v in _POINTS)}], lambda z: z IS NOT NULL) AS factors FROM x)
 SELECT repo_id, target, file, risk_score, CASE WHEN risk_score < 5 THEN 'LOW' WHEN risk_score <= 12 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, factors, directly_affected, transitively_affected, tests_affected, routes_affected, models_affected, total_affected FROM s"""
+
+SQL["affected_features"] = f"""WITH n AS ({SQL["transitive_impacts"]}), rr AS ({SQL["affected_routes"]}), x AS (SELECT repo_id, target, string_split(trim(path, '/'), '/') AS s FROM rr),
+  a AS (SELECT repo_id, target, CASE WHEN s[1] IN ('api', 'v1', 'v2') AND len(s) > 1 THEN s[2] ELSE s[1] END AS f FROM x UNION SELECT repo_id, target, lower(unnest(list_filter(string_split(file, '/')[:-2], lambda z: lower(z) IN ({quoted(impact.FEATURE_DIRS)})))) FROM n)
+SELECT DISTINCT repo_id, target, array_to_string(list_transform(string_split(translate(f, '-_', '  '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS feature FROM a WHERE f <> '' AND left(f, 1) <> ':'"""
+_HF = "|| ':' ||"
+SQL["health_findings"] = f"""WITH cy AS ({g.SQL["dependency_cycles"]}), fan AS ({g.SQL["fan_metrics"]}), sec AS ({t.SQL["security_findings"]}), sz AS ({t.SQL["size_findings"]}), ft AS ({t.SQL["repeated_fetch"]}), dp AS ({with_views("SELECT repo_id, target AS path, count(DISTINCT source) AS n FROM edges GROUP BY ALL", "edges")}), hs AS ({h.SQL["hotspots"]}),
+  lf AS ({with_views(f"WITH {t._L}, {t._line_findings(100)} SELECT repo_id, path, rule, confidence, line::INT AS line, 'LOW' AS severity FROM f", "contents")}), rp AS ({t._recursive(f"WITH {t._L}, {t._blocks(4)} SELECT repo_id, path, 'repeated_block' AS rule, 'MEDIUM' AS confidence, line::INT AS line, 'MEDIUM' AS severity FROM rb", "contents")}),
+  ql AS (SELECT * FROM lf UNION ALL SELECT * FROM rp), ws AS (SELECT repo_id, path, greatest(0, 100 - sum(CASE severity WHEN 'MEDIUM' THEN 5 ELSE 2 END)) AS m, count(*) AS n FROM ql GROUP BY repo_id, path QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY m, n DESC, path) <= 50),
+  qt AS (SELECT ql.* FROM ql JOIN ws USING (repo_id, path) QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY line, rule) <= 3),
+  ho AS (SELECT * FROM hs WHERE score >= 50 AND centrality_points > 0 AND NOT {SENSITIVE.format(p="path")} QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, commits DESC, path) <= 5),
+  al AS (SELECT DISTINCT repo_id, 'Architecture' AS category, 'dependency_cycle' AS rule, 'MEDIUM' AS severity, 'HIGH' AS confidence, component AS path, NULL::INT AS line FROM cy UNION ALL SELECT repo_id, 'Architecture', rule, CASE WHEN rule = 'high_fan_in' THEN 'MEDIUM' ELSE 'LOW' END, 'HIGH', path, NULL FROM fan
+    UNION ALL SELECT repo_id, 'Security', rule, severity, confidence, path, line FROM sec UNION ALL SELECT repo_id, category, rule, severity, confidence, path, NULL FROM sz UNION ALL SELECT repo_id, 'Performance', 'repeated_fetch', 'LOW', 'MEDIUM', path, lines[1] FROM ft
+    UNION ALL SELECT repo_id, 'Code Quality', rule, severity, confidence, path, line FROM qt WHERE NOT {SENSITIVE.format(p="path")} UNION ALL SELECT repo_id, 'Architecture', 'historical_central_activity', 'LOW', 'MEDIUM', path, NULL FROM ho UNION ALL SELECT repo_id, 'Code Quality', 'maintainability_with_churn', 'LOW', 'MEDIUM', path, NULL FROM ho WHERE maintainability_points >= 8)
+SELECT al.repo_id, al.path, category, rule, severity, confidence, line, left(sha256(category {_HF} rule {_HF} coalesce(al.path, '') {_HF} coalesce(line::VARCHAR, '') || ':'), 16) AS id, {_PEN} AS penalty, dp.n AS direct_dependents FROM al LEFT JOIN dp ON dp.repo_id = al.repo_id AND dp.path = al.path"""

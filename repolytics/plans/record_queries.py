@@ -27,6 +27,17 @@ def snapshot_deltas(spark, sf):  # noqa: ANN001, ANN201
     return records.snapshot_deltas(_analyses(spark, sf))
 
 
+def latest_snapshots(spark, sf):  # noqa: ANN001, ANN201
+    rows = records.latest_snapshots(_analyses(spark, sf), 6)
+    return rows.select("project_id", "analysis_type", "id", F.col("metrics")["health_score"].alias("health_score"), F.size("metrics").cast("long").alias("n_metrics"))
+
+
+def compare_pair(spark, sf):  # noqa: ANN001, ANN201
+    """Each analysis against the one five before it, which may be another project's."""
+    a = _analyses(spark, sf)
+    return records.compare_pair(a, a.select(F.col("id").alias("before_id"), (F.col("id") + 5).alias("after_id")))
+
+
 def burst_flags(spark, sf):  # noqa: ANN001, ANN201
     e = view(spark, sf, "activity").select(F.col("type").alias("root"), F.col("created_at").alias("ts"), F.col("id").alias("event_id"))
     return records.burst_flags(e, limit=5, seconds=3600)
@@ -68,6 +79,24 @@ def upsert_bookmarks(spark, sf):  # noqa: ANN001, ANN201
     return records.upsert(old, records.keep_latest(a.filter("id % 2 = 1"), ["project_id", "type", "target"], 1).drop("id"), "bookmarks")
 
 
+def upsert_patches(spark, sf):  # noqa: ANN001, ANN201
+    """Orders as patches: later ones change the state of earlier ones, never their title."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    rows = o.select((F.col("o_orderkey") % 1000).alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("date").cast("string").alias("applied_at"), F.lit(None).cast("string").alias("rolled_back_at"), F.col("o_totalprice").cast("string").alias("validation_json"), F.col("o_orderkey").alias("created_at"))
+    old = records.keep_latest(rows.filter("created_at % 2 = 0"), ["id"], 1, tie="title")
+    out = records.upsert(old, records.keep_latest(rows.filter("created_at % 3 = 0"), ["id"], 1, tie="title"), "patches")
+    return out.select("id", "title", "status", "applied_at", "rolled_back_at", F.col("validation_json").cast("double").alias("amount"), "created_at")
+
+
+def upsert_repositories(spark, sf):  # noqa: ANN001, ANN201
+    """Customers as repositories: an update only fills in what it knows."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    url, even = F.concat(F.lit("u/"), F.col("c_custkey").cast("string")).alias("canonical_url"), F.col("c_custkey") % 2 == 0
+    old = c.filter("c_custkey % 3 > 0").select(url, F.col("c_name").alias("display_name"), F.lit("/old").alias("local_path"), F.lit("main").alias("default_branch"), F.col("c_mktsegment").alias("last_known_sha"), F.lit(1).alias("last_opened_at"), F.lit(1).alias("updated_at"), F.col("c_nationkey").alias("owner"))
+    new = c.filter("c_custkey % 5 > 1").select(url, F.when(even, "renamed").alias("display_name"), F.when(~even, "/new").alias("local_path"), F.lit(None).cast("string").alias("default_branch"), F.when(even, "sha").alias("last_known_sha"), F.lit(2).alias("last_opened_at"), F.when(even, 2).alias("updated_at"), F.lit(99).alias("owner"))
+    return records.upsert(old, new, "repositories")
+
+
 def _job_events(spark, sf):  # noqa: ANN001, ANN202
     a = view(spark, sf, "activity")
     job = F.concat_ws("-", "project_id", F.floor(F.col("id") / 40))
@@ -91,6 +120,17 @@ SQL = {
 SELECT project_id, analysis_type, before_id, id, 'health_score' AS metric, phs AS "before", hs AS "after", hs - phs AS delta FROM m WHERE before_id IS NOT NULL AND hs IS NOT NULL AND phs IS NOT NULL
 UNION ALL SELECT project_id, analysis_type, before_id, id, 'finding_count', pfc, fc, fc - pfc FROM m WHERE before_id IS NOT NULL AND fc IS NOT NULL AND pfc IS NOT NULL""",
         "activity"),
+    "latest_snapshots": with_views(f"WITH {_AN} SELECT project_id, analysis_type, id, hs AS health_score, CASE WHEN hs IS NULL THEN 0 ELSE 1 END + CASE WHEN fc IS NULL THEN 0 ELSE 1 END AS n_metrics FROM an QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) <= 6", "activity"),
+    "compare_pair": with_views(
+        f"""WITH {_AN}, m AS (SELECT a.project_id, a.analysis_type, a.id AS before_id, b.id AS after_id, a.hs AS ph, b.hs, a.fc AS pf, b.fc FROM an a JOIN an b ON b.id = a.id + 5 AND b.project_id = a.project_id AND b.analysis_type = a.analysis_type)
+SELECT project_id, analysis_type, before_id, after_id, 'health_score' AS metric, hs - ph AS delta FROM m WHERE hs IS NOT NULL AND ph IS NOT NULL UNION ALL SELECT project_id, analysis_type, before_id, after_id, 'finding_count', fc - pf FROM m WHERE fc IS NOT NULL AND pf IS NOT NULL""",
+        "activity"),
+    "upsert_patches": """WITH r AS (SELECT o_orderkey % 1000 AS id, o_orderpriority AS title, o_orderstatus AS status, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS applied_at, o_totalprice AS v, o_orderkey AS created_at FROM orders),
+  o AS (SELECT * FROM r WHERE created_at % 2 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC) = 1), n AS (SELECT * FROM r WHERE created_at % 3 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC) = 1)
+SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.title ELSE o.title END AS title, CASE WHEN n.id IS NULL THEN o.status ELSE n.status END AS status, CASE WHEN n.id IS NULL THEN o.applied_at ELSE n.applied_at END AS applied_at, NULL::VARCHAR AS rolled_back_at, CASE WHEN n.id IS NULL THEN o.v ELSE n.v END AS amount, CASE WHEN o.id IS NULL THEN n.created_at ELSE o.created_at END AS created_at FROM o FULL JOIN n ON o.id = n.id""",
+    "upsert_repositories": """WITH o AS (SELECT 'u/' || c_custkey AS url, c_name, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 > 0), n AS (SELECT 'u/' || c_custkey AS url, c_custkey % 2 = 0 AS even FROM customer WHERE c_custkey % 5 > 1)
+SELECT coalesce(o.url, n.url) AS canonical_url, CASE WHEN n.even THEN 'renamed' ELSE c_name END AS display_name, CASE WHEN NOT n.even THEN '/new' WHEN o.url IS NOT NULL THEN '/old' END AS local_path, CASE WHEN o.url IS NOT NULL THEN 'main' END AS default_branch, CASE WHEN n.even THEN 'sha' ELSE c_mktsegment END AS last_known_sha,
+  CASE WHEN n.url IS NOT NULL THEN 2 ELSE 1 END AS last_opened_at, CASE WHEN n.even THEN 2 WHEN o.url IS NOT NULL THEN 1 END AS updated_at, CASE WHEN o.url IS NULL THEN 99 ELSE c_nationkey END AS owner FROM o FULL JOIN n ON o.url = n.url""",
     "burst_flags": with_views("WITH r AS (SELECT type AS root, created_at AS ts, id AS event_id FROM activity), c AS (SELECT a.root, a.ts, a.event_id, (SELECT count(*) FROM r b WHERE b.root = a.root AND b.ts > a.ts - INTERVAL 1 HOUR AND (b.ts, b.event_id) < (a.ts, a.event_id)) AS recent FROM r a) SELECT *, recent >= 5 AS \"full\" FROM c", "activity"),
     "request_metrics": with_views("SELECT type || '/' || (id % 7) AS route, count(*) AS requests, count(*) FILTER (WHERE id % 11 = 0) AS errors, sum(floor(value))::BIGINT AS duration_ms_total FROM activity GROUP BY ALL", "activity"),
     "project_summary": with_views(
@@ -116,4 +156,4 @@ SELECT job_id, CASE WHEN k THEN 'cancelled' WHEN s IS NULL THEN 'queued' WHEN e
         "activity"),
 }
 
-QUERIES = {f.__name__: f for f in (keep_latest_activity, keep_latest_analyses, snapshot_deltas, burst_flags, request_metrics, project_summary, search_projects, upsert_recent, upsert_bookmarks, job_states)}
+QUERIES = {f.__name__: f for f in (keep_latest_activity, keep_latest_analyses, snapshot_deltas, latest_snapshots, compare_pair, burst_flags, request_metrics, project_summary, search_projects, upsert_recent, upsert_bookmarks, upsert_patches, upsert_repositories, job_states)}
