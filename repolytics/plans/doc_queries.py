@@ -194,7 +194,7 @@ def _list(doc: str, section: str, text: str, path: str = "NULL::VARCHAR", source
     """One list of facts as SQL."""
     names = ", ".join(f"o{k}" for k in range(len(order.split(" ;; ")))) if order else ""
     cols = ", ".join(f"{e} AS o{k}" for k, e in enumerate(order.split(" ;; "))) if order else ""
-    by = (names + ", " if names else "") + "text, path"
+    by = (names + ", " if names else "") + "text, path NULLS FIRST, line NULLS FIRST, symbol"
     return f"""SELECT repo_id, doc, '{section}' AS section, '{kind}' AS kind, ord, text, path, line, symbol FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, doc ORDER BY {by} NULLS FIRST) AS ord FROM
   (SELECT DISTINCT repo_id, {doc} AS doc, {text} AS text, {path} AS path, {line} AS line, {symbol} AS symbol{", " + cols if cols else ""} FROM {source}) WHERE text IS NOT NULL AND (path IS NULL OR NOT {SENSITIVE.format(p="path")})) WHERE ord <= 60"""
 
@@ -269,8 +269,8 @@ SELECT repo_id, change, path, row_number() OVER (PARTITION BY repo_id, change OR
     "dedupe_citations": _doc_sql("SELECT repo_id, doc, path, line, symbol, arg_min(section, (section, kind, ord)) AS section FROM fa WHERE path IS NOT NULL GROUP BY repo_id, doc, path, line, symbol"),
     "render_markdown": _doc_sql(
         """, se AS (SELECT repo_id, doc, section, '## ' || section || chr(10) || chr(10) || string_agg('- **' || kind || ':** ' || text, chr(10) ORDER BY list_position(['FACT', 'INFERENCE', 'UNKNOWN'], kind), ord, text)
-    || CASE WHEN count(path) > 0 THEN chr(10) || chr(10) || 'Sources:' || chr(10) || (array_to_string(list_sort(list(DISTINCT '- `' || path || coalesce(':' || line, '') || '`') FILTER (WHERE path IS NOT NULL)), chr(10))) ELSE '' END AS t FROM fa GROUP BY ALL),
-  md AS (SELECT repo_id, doc, '# ' || doc || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY section) || chr(10) AS text FROM se GROUP BY ALL) SELECT repo_id, doc, md5(text) AS digest, length(text) AS n FROM md"""),
+    || CASE WHEN count(path) > 0 THEN chr(10) || chr(10) || 'Sources:' || chr(10) || (array_to_string(list_sort(list(DISTINCT '- `' || path || coalesce(':' || line, '') || '`') FILTER (WHERE path IS NOT NULL)), chr(10))) ELSE '' END AS t FROM fa GROUP BY repo_id, doc, section),
+  md AS (SELECT repo_id, doc, '# ' || doc || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY section) || chr(10) AS text FROM se GROUP BY repo_id, doc) SELECT repo_id, doc, md5(text) AS digest, length(text) AS n FROM md"""),
     "render_mermaid": with_views(
         """WITH t AS (SELECT repo_id, source, target FROM edges QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY source, target) <= 35), n AS (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) - 1 AS k FROM (SELECT repo_id, source AS path FROM t UNION SELECT repo_id, target FROM t)),
   l AS (SELECT repo_id, 0 AS a, path AS b, '' AS c, '  n' || k || '["' || left(regexp_replace(path, '[^A-Za-z0-9_./ -]', '_', 'g'), 90) || '"]' AS s FROM n UNION ALL SELECT t.repo_id, 1, source, target, '  n' || x.k || ' --> n' || y.k FROM t JOIN n x ON x.repo_id = t.repo_id AND x.path = source JOIN n y ON y.repo_id = t.repo_id AND y.path = target)
@@ -284,5 +284,8 @@ SELECT repo_id, 'flowchart LR' || chr(10) || string_agg(s, chr(10) ORDER BY a, b
     "cited_files": with_views("SELECT repo_id, path AS answer_id, path, CASE WHEN length(path) % 3 = 0 THEN 12 END AS line FROM tree WHERE length(path) % 3 < 2", "tree"),
 }
 SQL = {k: v for k, v in SQL.items() if v}
+SQL["recommended_commands"] = f"""WITH co AS (SELECT DISTINCT repo_id, folder, name, kind FROM ({SQL["discover_commands"]})), ch AS (SELECT repo_id, change, web FROM ({with_views("SELECT repo_id, path AS change, length(content) % 2 = 0 AS web FROM manifests", "manifests")})),
+  kd AS (SELECT * FROM (VALUES (true, 0, 'typecheck'), (true, 1, 'unit'), (true, 2, 'test'), (true, 3, 'build'), (false, 0, 'unit'), (false, 1, 'test'), (false, 2, 'lint')) v(web, k, kind))
+SELECT co.repo_id, change, folder, name, co.kind, row_number() OVER (PARTITION BY co.repo_id, change ORDER BY k, folder, name) AS position FROM ch JOIN kd USING (web) JOIN co ON co.repo_id = ch.repo_id AND co.kind = kd.kind"""
 
 QUERIES = {f.__name__: f for f in (trace_start_points, step_table, trace_steps, trace_paths, rank_paths, discover_commands, command_warnings, recommended_commands, select_tests, doc_facts, dedupe_citations, render_markdown, render_mermaid, explore_files, explore_layer, filter_options, file_matches, symbol_matches, cited_files)}
