@@ -43,13 +43,18 @@ def stream_activity_retention(activity: DataFrame, path: str, checkpoint: str, *
     return activity.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
 
 
-def stream_quota_gate(events: DataFrame, *, limit: int = 5, seconds: int = 60) -> DataFrame:
+def _expiry(forget: int | None) -> str:
+    """Timeout of a state: with one, Spark starts batches without end to look for states that are due."""
+    return GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def stream_quota_gate(events: DataFrame, *, limit: int = 5, seconds: int = 60, forget: int | None = None) -> DataFrame:
     """``root, event_id, ts, accepted``: at most ``limit`` accepted runs of a root within ``seconds``.
 
     Rejected runs use up nothing, and an accepted one expires once it is
     ``seconds`` old.  Events of a batch are taken in order of time and id; the
-    state is the accepted times that still count, and goes once a root has been
-    silent for twice as long.
+    state is the accepted times that still count, ``limit`` at most; with ``forget``
+    it goes once a root has been silent for so many seconds.
     """
 
     def gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -65,16 +70,17 @@ def stream_quota_gate(events: DataFrame, *, limit: int = 5, seconds: int = 60) -
             if said[-1]:
                 held.append(at)
         state.update((held,))
-        state.setTimeoutDuration(2000 * seconds)
+        if forget is not None:
+            state.setTimeoutDuration(1000 * forget)
         yield pd.DataFrame({"root": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "accepted": said})
 
-    return events.groupBy("root").applyInPandasWithState(gate, "root string, event_id string, ts timestamp, accepted boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("root").applyInPandasWithState(gate, "root string, event_id string, ts timestamp, accepted boolean", "held array<double>", "append", _expiry(forget))
 
 
-def stream_job_states(events: DataFrame, *, timeout: int = 180, forget: int = 86_400) -> DataFrame:
+def stream_job_states(events: DataFrame, *, timeout: int = 180, forget: int | None = None) -> DataFrame:
     """``job_id, state`` after each batch of events (job_id, event, at), by the rules of the batch operator.
 
-    What is known of a job goes ``forget`` seconds after its last event.
+    With ``forget`` what is known of a job goes so many seconds after its last event.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -90,7 +96,8 @@ def stream_job_states(events: DataFrame, *, timeout: int = 180, forget: int = 86
                 if event in seen and (seen[event] < 0 or t < seen[event]):
                     seen[event] = t
         state.update(tuple(seen[n] for n in names))
-        state.setTimeoutDuration(1000 * forget)
+        if forget is not None:
+            state.setTimeoutDuration(1000 * forget)
         started, finished, failed, cancelled = (seen[n] for n in names[1:])
         ends = [t for t in (finished, failed) if t >= 0]
         if cancelled >= 0 and (started < 0 or cancelled < started):
@@ -104,7 +111,7 @@ def stream_job_states(events: DataFrame, *, timeout: int = 180, forget: int = 86
             now = "failed" if bad or min(ends) - started > timeout else "completed"
         yield pd.DataFrame({"job_id": [key[0]], "state": [now]})
 
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id string, state string", "submitted double, started double, finished double, failed double, cancelled double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(step, "job_id string, state string", "submitted double, started double, finished double, failed double, cancelled double", "update", _expiry(forget))
 
 
 def stream_churn(changes: DataFrame) -> DataFrame:
