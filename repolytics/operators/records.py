@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolytics.operators.history import first_of
+from repolytics.operators.scan import SEGMENT_ROWS, with_previous
 
 # How many of the newest rows each table keeps, and of what.
 RETENTION = {"activity": (("project_id",), 500), "analyses": (("project_id", "analysis_type"), 50), "validations": (("project_id",), 200), "patches": (("project_id",), 200), "recent_items": (("project_id",), 500)}
@@ -36,11 +37,14 @@ def latest_snapshots(analyses: DataFrame, k: int = 50) -> DataFrame:
     return rows.withColumn("metrics", F.from_json("metrics_json", "map<string,double>"))
 
 
-def snapshot_deltas(analyses: DataFrame) -> DataFrame:
-    """Each metric of an analysis against the one before of its project and type, where both have it."""
+def snapshot_deltas(analyses: DataFrame, *, most: int = SEGMENT_ROWS) -> DataFrame:
+    """Each metric of an analysis against the one before of its project and type, where both have it.
+
+    A project and type of more than ``most`` analyses is worked in ranges of time.
+    """
     rows = analyses.select("project_id", "analysis_type", "id", "created_at", F.from_json("metrics_json", "map<string,double>").alias("m"))
-    turn = Window.partitionBy("project_id", "analysis_type").orderBy("created_at", "id")
-    pairs = rows.withColumn("before_id", F.lag("id").over(turn)).withColumn("p", F.lag("m").over(turn)).filter(F.col("p").isNotNull() & F.col("m").isNotNull())
+    before = F.struct(F.col("id").alias("before_id"), F.col("m").alias("p"))
+    pairs = with_previous(rows, ["project_id", "analysis_type"], "created_at", ["id"], before, most=most).select("*", "previous.*").filter(F.col("p").isNotNull() & F.col("m").isNotNull())
     keys = F.array_intersect(F.map_keys("m"), F.map_keys("p"))
     out = pairs.select("project_id", "analysis_type", "before_id", "id", F.explode(keys).alias("metric"), "m", "p")
     return out.select("project_id", "analysis_type", "before_id", "id", "metric", F.col("p")[F.col("metric")].alias("before"), F.col("m")[F.col("metric")].alias("after"), (F.col("m")[F.col("metric")] - F.col("p")[F.col("metric")]).alias("delta"))
