@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repolytics.llm import decontaminate, fim, langid, licenses, linededup, mixing, prefixtrie, quality, simhash, sketch, tokens, toxicity
+from repolytics.llm import decontaminate, fim, htmltext, langid, licenses, linededup, mixing, prefixtrie, quality, simhash, sketch, tokens, toxicity
 from repolytics.llm.common import bounded_batches
 
 
@@ -55,6 +55,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extraction_report(_table(spark, sf_dir, "pages"))
+
+
 def op12_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.conversation_report(_table(spark, sf_dir, "conversations"))
 
@@ -63,6 +67,6 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_mixing, op4_toxicity, op5_fingerprints, op6_tokens, op7_decontaminate, op8_langid, op9_linededup, op10_quality, op12_prefixtrie, op13_fim)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_mixing, op4_toxicity, op5_fingerprints, op6_tokens, op7_decontaminate, op8_langid, op9_linededup, op10_quality, op11_htmltext, op12_prefixtrie, op13_fim)}
 
 ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.SQL, "op3_mixing": mixing.SQL, "op7_decontaminate": decontaminate.SQL, "op9_linededup": linededup.SQL, "op12_prefixtrie": prefixtrie.SQL, "op13_fim": fim.SQL}
