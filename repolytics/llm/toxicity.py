@@ -48,7 +48,8 @@ COST_SIGN, COST_ANY_VOWEL, COST_KEEP, COST_DOUBLE, COST_SINGLE, COST_BETWEEN = 1
 #: A token without any letter is read as a word if that costs less than this for each character.
 COST_AS_WRITTEN = 4.0
 
-_EDGE = re.compile(r"^(?:[\W_]{3,}|[^\w$@!|(*+#&%€£¡<]|_)*|(?:[\W_]{3,}|[^\w$@]|_)*$")
+#: Signs that a word may begin or end with, if fewer than three signs stand there.
+FIRST_SIGNS, LAST_SIGNS, MOST_SIGNS = frozenset("$@!|(*+#&%€£¡<"), frozenset("$@"), 2
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~·]{1,2}[^\W_]){2,}(?![^\W_])")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -97,6 +98,27 @@ def char_model(docs: DataFrame, *, text: str = "text") -> np.ndarray:
     return table
 
 
+def without_edges(token: str) -> str:
+    """A token without the signs around it; the few that may be letters of it stay.
+
+    Each edge is looked at once, from outside.
+    """
+    first = 0
+    while first < len(token) and not token[first].isalnum():
+        first += 1
+    start = first
+    if first <= MOST_SIGNS:
+        start = next((i for i in range(first) if token[i] in FIRST_SIGNS), first)
+    last = end = len(token)
+    while last > start and not token[last - 1].isalnum():
+        last -= 1
+    if end - last > MOST_SIGNS:
+        return token[start:last]
+    while end > last and token[end - 1] not in LAST_SIGNS:
+        end -= 1
+    return token[start:end]
+
+
 class Decoder:
     """Readings of tokens under the channel and the character model."""
 
@@ -184,7 +206,7 @@ class Decoder:
             # Signs or digits only: a word if it reads like one.
             cost, said = self.cheapest(token)
             return tuple(said.split()) if cost < COST_AS_WRITTEN * len(token) else ()
-        core = _EDGE.sub("", token)
+        core = without_edges(token)
         if not core:
             return ()
         if _PLAIN.match(core) and not _RUN.search(core):

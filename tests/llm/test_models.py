@@ -1,6 +1,8 @@
 """Language identification, quality and toxicity: held-out accuracy and small exact cases."""
 
 import itertools
+import random
+import re
 import time
 from collections import Counter
 
@@ -166,3 +168,24 @@ def test_toxicity_odd_rows(spark):
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows.values()) and rows[0].score == rows[1].score and rows[4].score == rows[5].score
     assert toxicity.toxicity_report(df.limit(0), labels).count() == 0
     assert {round(r.score, 6) for r in toxicity.toxicity_report(df, labels.limit(0)).collect()} == {0.5}
+
+
+def test_edges_are_cut_as_by_the_pattern():
+    """The scan gives what the pattern that it replaced gave, where that one ended."""
+    pattern = re.compile(r"^(?:[\W_]{3,}|[^\w$@!|(*+#&%€£¡<]|_)*|(?:[\W_]{3,}|[^\w$@]|_)*$")
+    rng = random.Random(1)
+    for _ in range(20_000):
+        token = "".join(rng.choice("ab1$@!.-_(é²") for _ in range(rng.randint(0, 9)))
+        assert toxicity.without_edges(token) == pattern.sub("", token), token
+
+
+def test_long_runs_of_signs_end(spark):
+    """Rulers and dotted leaders inside a token, through the whole report."""
+    n = 100_000
+    texts = ["fine words"] * 6 + ["you stupid idiot"] * 6 + ["chapter" + "." * n + "7", "a" + "-" * n + "b", "a" + ".-" * (n // 2) + "b", "_" * n, "x" + "!@" * (n // 2) + "y", "$" * n + "a" + "_" * n, "a " * (n // 2)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 6)) for i in range(12)], "doc_id long, toxic int")
+    start = time.perf_counter()
+    rows = toxicity.toxicity_report(docs, labels).collect()
+    assert {r.doc_id for r in rows} == set(range(len(texts))) and all(0 <= r.score <= 1 for r in rows)
+    assert time.perf_counter() - start < 120
