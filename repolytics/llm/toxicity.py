@@ -15,8 +15,10 @@ logistic score over them.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,8 @@ FIRST_SIGNS, LAST_SIGNS, MOST_SIGNS = frozenset("$@!|(*+#&%€£¡<"), frozenset
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~·]{1,2}[^\W_]){2,}(?![^\W_])")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _WORD = re.compile(r"[^\W\d_]+")
+#: CRC of what is set before a whole word.
+_WHOLE = crc32(b"=")
 _PLAIN = re.compile(r"[^\W\d_]*\Z")
 
 
@@ -202,6 +206,8 @@ class Decoder:
 
     def restore_token(self, token: str) -> tuple[str, ...]:
         """The words of one lower-case token without white space."""
+        if token.isalpha() and not _RUN.search(token):
+            return (token,)
         if len(token) > 2 and len(set(token)) > 1 and all(c in LOOKS_LIKE for c in token):
             # Signs or digits only: a word if it reads like one.
             cost, said = self.cheapest(token)
@@ -222,10 +228,16 @@ class Decoder:
 
 def word_hashes(word: str) -> list[int]:
     """Buckets of a word and of its beginnings."""
-    import zlib
-
-    names = ["=" + word] + [word[:k] for k in PREFIXES if len(word) > k]
-    return [zlib.crc32(n.encode()) & (HASHES - 1) for n in names]
+    name = word.encode()
+    out = [crc32(name, _WHOLE) & (HASHES - 1)]
+    ends = PREFIXES if len(name) == len(word) else [len(word[:k].encode()) for k in PREFIXES]
+    done, found = 0, 0
+    for k, end in zip(PREFIXES, ends, strict=True):
+        if len(word) <= k:
+            break
+        found, done = crc32(name[done:end], found), end
+        out.append(found & (HASHES - 1))
+    return out
 
 
 @dataclass
@@ -245,14 +257,14 @@ class Restorer:
         tokens = self.decoder.tokens(text or "")
         found: dict[int, int] = {}
         known = self.known
-        for token in tokens:
+        for token, times in Counter(tokens).items():
             got = known.get(token)
             if got is None:
                 if len(known) > KEPT_TOKENS:
                     known.clear()
                 got = known[token] = self._of(self.decoder.restore_token(token))
             for f in got:
-                found[f] = found.get(f, 0) + 1
+                found[f] = found.get(f, 0) + times
         return found, len(tokens)
 
 

@@ -107,8 +107,10 @@ def http_calls(spark, sf):  # noqa: ANN001, ANN201
 
 
 def _routes(spark, sf):  # noqa: ANN001, ANN202
-    rows = statements(spark, sf).groupBy("repo_id", "p").agg(F.min("o").alias("ord"))
-    return rows.select("repo_id", "ord", F.when(F.col("p") % 2 == 0, "GET").otherwise("ALL").alias("method"), F.format_string("/api/p%d", F.col("p")).alias("path"), F.format_string("web/o%d.ts", F.col("ord")).alias("file"))
+    """A route for each part that a repository names, in order of its first statement: an order and a line of it."""
+    rows = statements(spark, sf).groupBy("repo_id", "p").agg(F.min(F.struct("o", "k")).alias("at"))
+    ord_ = F.col("at.o") * 8 + F.col("at.k")
+    return rows.select("repo_id", ord_.alias("ord"), F.when(F.col("p") % 2 == 0, "GET").otherwise("ALL").alias("method"), F.format_string("/api/p%d", F.col("p")).alias("path"), F.format_string("web/o%d.ts", F.col("at.o")).alias("file"))
 
 
 def match_calls_to_routes(spark, sf):  # noqa: ANN001, ANN201
@@ -238,9 +240,9 @@ SELECT repo_id, {_TS} AS path, calls, []::VARCHAR[] AS constructs, []::VARCHAR[]
     "js_api_surface": f"WITH {_ST} SELECT repo_id, {_TS} AS path, 'function' AS kind, 'h' || p AS name, sha256('|(x)') AS shape, count(*) AS n FROM st GROUP BY repo_id, o, p",
     "env_vars": f"WITH {_ST} SELECT DISTINCT repo_id, 'VAR_' || s AS name, {_PY} AS file FROM st WHERE k = 1 UNION SELECT DISTINCT repo_id, 'VAR_' || s, {_TS} FROM st",
     "http_calls": f"WITH {_ST}, n AS (SELECT *, 4 * (row_number() OVER (PARTITION BY repo_id, o {_O}) - 1) AS b FROM st) SELECT repo_id, {_TS} AS file, (b + 2)::INT AS line, {_VERB} AS method, {_CALL} AS path FROM n",
-    "match_calls_to_routes": f"""WITH {_ST}, n AS (SELECT *, 4 * (row_number() OVER (PARTITION BY repo_id, o {_O}) - 1) AS b FROM st), r AS (SELECT repo_id, p, min(o) AS ord FROM st GROUP BY ALL),
-  m AS (SELECT n.repo_id, {_TS.replace("|| o ||", "|| n.o ||")} AS file, (b + 2)::INT AS line, {_VERB} AS method, {_CALL} AS called, r.p, r.ord FROM n JOIN r ON r.repo_id = n.repo_id AND starts_with({_CALL}, '/api/p' || r.p) AND (r.p % 2 = 1 OR s % 4 = 0) QUALIFY row_number() OVER (PARTITION BY n.repo_id, n.o, b ORDER BY r.ord, 'web/o' || r.ord || '.ts') = 1)
-SELECT repo_id, file, line, method, called, '/api/p' || p AS route, 'web/o' || ord || '.ts' AS route_file FROM m""",
+    "match_calls_to_routes": f"""WITH {_ST}, n AS (SELECT *, 4 * (row_number() OVER (PARTITION BY repo_id, o {_O}) - 1) AS b FROM st), r AS (SELECT repo_id, p, min((o, k)) AS ord FROM st GROUP BY ALL),
+  m AS (SELECT n.repo_id, {_TS.replace("|| o ||", "|| n.o ||")} AS file, (b + 2)::INT AS line, {_VERB} AS method, {_CALL} AS called, r.p, r.ord FROM n JOIN r ON r.repo_id = n.repo_id AND starts_with({_CALL}, '/api/p' || r.p) AND (r.p % 2 = 1 OR s % 4 = 0) QUALIFY row_number() OVER (PARTITION BY n.repo_id, n.o, b ORDER BY r.ord) = 1)
+SELECT repo_id, file, line, method, called, '/api/p' || p AS route, 'web/o' || ord[1] || '.ts' AS route_file FROM m""",
     "route_callers": f"WITH {_ST}, n AS (SELECT *, 4 * (row_number() OVER (PARTITION BY repo_id, o {_O}) - 1) AS b FROM st) SELECT repo_id, '/api/p' || s || '/x' AS route, {_TS} AS file, (b + 2)::INT AS line, {_VERB} AS method FROM n WHERE s % 4 <> 3 AND (repo_id, s) IN (SELECT (repo_id, p) FROM st)",
     "resolve_imports": f"WITH {_ST}, f AS (SELECT DISTINCT repo_id, o FROM st) SELECT DISTINCT st.repo_id, {_PY.replace('|| o ||', '|| st.o ||')} AS source, 'pkg.o' || p AS spec, 'pkg/o' || p || '.py' AS target FROM st JOIN f ON f.repo_id = st.repo_id AND f.o = p WHERE p <> st.o UNION SELECT DISTINCT st.repo_id, {_TS.replace('|| o ||', '|| st.o ||')}, CASE WHEN p % 2 = 0 THEN '@/o' ELSE './o' END || p, 'web/o' || p || '.ts' FROM st JOIN f ON f.repo_id = st.repo_id AND f.o = p WHERE p <> st.o",
     "relationships": f"""WITH {_ST}, f AS (SELECT DISTINCT repo_id, o FROM st), e AS (SELECT DISTINCT st.repo_id, st.o AS a, p AS b FROM st JOIN f ON f.repo_id = st.repo_id AND f.o = p WHERE p <> st.o)
