@@ -28,21 +28,3 @@ def splitlines(text: Column) -> Column:
     """Lines of a text: any of the usual line ends parts them, and no empty line follows the last end."""
     lines = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
     return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-
-
-def grams(text: Column, n: int) -> Column:
-    """The distinct substrings of ``n`` characters; none of a shorter text."""
-    return F.array_distinct(F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
-
-
-def short_grams(text: Column, most: int = 3) -> Column:
-    """The distinct substrings of one to ``most`` characters, by which what a text holds is met by an equi-join on :func:`first_gram`."""
-    out = grams(text, 1)
-    for n in range(2, most + 1):
-        out = F.concat(out, grams(text, n))
-    return out
-
-
-def first_gram(name: Column, most: int = 3) -> Column:
-    """The first ``most`` characters of a name, or all of a shorter one."""
-    return F.substring(name, 1, most)
