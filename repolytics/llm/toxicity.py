@@ -15,6 +15,7 @@ logistic score over them.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -36,7 +37,7 @@ HASHES = 1 << 18
 FEATURES = 4096
 PREFIXES = (3, 4, 5, 6, 7, 8)
 SLICE_BYTES = 4 << 20
-KEPT_TOKENS = 300_000
+KEPT_TOKENS = 100_000
 
 #: Signs that stand for letters.
 LOOKS_LIKE = {
@@ -246,11 +247,12 @@ class Restorer:
 
     decoder: Decoder
     places: dict[int, int] | None = None
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    known: dict[str, array] = field(default_factory=dict)
+    before: dict[str, array] = field(default_factory=dict)
 
-    def _of(self, words: Sequence[str]) -> tuple[int, ...]:
+    def _of(self, words: Sequence[str]) -> array:
         hashes = [h for w in words for h in word_hashes(w)]
-        return tuple(hashes) if self.places is None else tuple(self.places[h] for h in hashes if h in self.places)
+        return array("i", hashes if self.places is None else [self.places[h] for h in hashes if h in self.places])
 
     def features(self, text: str | None) -> tuple[dict[int, int], int]:
         """How often each feature occurs, and the number of tokens."""
@@ -260,9 +262,14 @@ class Restorer:
         for token, times in Counter(tokens).items():
             got = known.get(token)
             if got is None:
-                if len(known) > KEPT_TOKENS:
-                    known.clear()
-                got = known[token] = self._of(self.decoder.restore_token(token))
+                got = self.before.get(token)
+                if got is None:
+                    got = self._of(self.decoder.restore_token(token))
+                if len(known) >= KEPT_TOKENS:
+                    # What was seen lately stays; the rest is forgotten.
+                    self.before, self.known = known, {}
+                    known = self.known
+                known[token] = got
             for f in got:
                 found[f] = found.get(f, 0) + times
         return found, len(tokens)
