@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from repolytics.operators import refs, retrieval
+from repolytics.operators import extract, refs, retrieval
 from repolytics.plans import code_queries as c
 from repolytics.plans import graph_queries as g
 from repolytics.plans.adapters import once, view, with_views
@@ -34,17 +34,30 @@ def unresolved_targets(spark, sf):  # noqa: ANN001, ANN201
     return refs.unresolved_targets(s, s)
 
 
+def _package_files(spark, sf):  # noqa: ANN001, ANN202
+    """Manifests, and a source for each part that names its package in several ways."""
+    p = F.col("p_partkey")
+    path = F.when(p % 3 == 0, F.format_string("src/client%d.ts", p)).when(p % 3 == 1, F.format_string("src/u%d.ts", p)).otherwise(F.format_string("pkg/u%d.go", p))
+    text = F.format_string("import x from '@Org/p%d'\nconst y = require(\"p%d\")\n\t\"github.com/acme/p%d/v2\"\n// p%d-extra and xp%d are others\nReact.x or react\nEXPRESS!", p, p, p, p, p)
+    used = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("pack-"), F.floor(p / 4).cast("string")).alias("repo_id"), path.alias("path"), text.alias("content"))
+    return view(spark, sf, "manifests").unionByName(used)
+
+
 def dependency_usage(spark, sf):  # noqa: ANN001, ANN201
-    t = view(spark, sf, "contents")
-    return refs.dependency_usage(t, t.select("repo_id").distinct().withColumn("package", F.explode(F.array(F.lit("Er"), F.lit("que"), F.lit("sch")))), t.filter(F.col("path").endswith("0.py")))
+    """Every dependency of the manifests, as it stands, scoped, and as a module's address."""
+    names = extract.extract_manifest_deps(view(spark, sf, "manifests")).filter(F.col("kind").isin("dependency", "dev_dependency")).select("repo_id", "name").distinct()
+    packages = names.select("repo_id", F.explode(F.array("name", F.concat(F.lit("@org/"), "name"), F.concat(F.lit("github.com/acme/"), "name"))).alias("package"))
+    return refs.dependency_usage(_package_files(spark, sf), packages, view(spark, sf, "manifests").select("repo_id", "path"))
 
 
 def move_references(spark, sf):  # noqa: ANN001, ANN201
-    """Every script is moved; others name it by path, in a barrel or in a configuration."""
+    """Every script is moved; others name it by path, in a barrel or in a configuration.  So are a dynamic route, a name with a space, and a file of the root."""
     files = c.script_files(spark, sf)
     o = F.regexp_extract("path", r"o(\d+)", 1)
     more = files.select("repo_id", F.when(o.cast("long") % 3 == 0, F.format_string("m%s/index.ts", o)).when(o.cast("long") % 3 == 1, F.format_string("m%s/package.json", o)).otherwise(F.format_string("m%s/x.md", o)).alias("path"), F.concat(F.lit("first\nexport web "), "path", F.lit(" here")).alias("content"))
-    return refs.move_references(files.unionByName(more), files.select("repo_id", F.col("path").alias("target")))
+    docs = files.select("repo_id", F.format_string("docs/d%s.txt", o).alias("path"), F.format_string("see pages/[o%s].tsx, src/a b%s.ts or xN%s.mdx\nnot pages/o%s.tsx", o, o, o, o).alias("content"))
+    odd = files.select("repo_id", F.explode(F.array(F.format_string("pages/[o%s].tsx", o), F.format_string("src/a b%s.ts", o), F.format_string("N%s.md", o))).alias("target"))
+    return refs.move_references(files.unionByName(more).unionByName(docs), files.select("repo_id", F.col("path").alias("target")).unionByName(odd))
 
 
 def rewrite_imports(spark, sf):  # noqa: ANN001, ANN201
@@ -203,11 +216,18 @@ SELECT DISTINCT x.repo_id, x.name, path, k::INT AS line, len(list_filter(regexp_
     "symbol_mentions": with_views(f"WITH {_SYM} SELECT DISTINCT ln.repo_id, path AS file, name FROM (SELECT *, unnest(list_distinct(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM ln) ln JOIN sym USING (repo_id, name)", "contents"),
     "unresolved_targets": with_views("SELECT repo_id, name, count(DISTINCT path) AS files FROM (SELECT repo_id, path, regexp_extract(content, '^([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM contents) WHERE length(name) >= 5 GROUP BY ALL HAVING count(DISTINCT path) <> 1", "contents"),
     "dependency_usage": with_views(
-        f"WITH {_SYM}, pk AS (SELECT unnest(['Er', 'que', 'sch']) AS package), x AS (SELECT *, unnest(list_distinct(regexp_extract_all(lower(t), '[\\w.\\-]+'))) AS token FROM ln) SELECT repo_id, package, path, k::INT AS line, CASE WHEN suffix(path, '0.py') THEN 'constraint' WHEN regexp_matches(t, '\\b(?:import|from|require)\\b') THEN 'import' ELSE 'usage' END AS kind, false AS wrapper FROM x JOIN pk ON token = lower(package)",
-        "contents"),
+        f"""WITH {g._DEPS}, nm AS (SELECT DISTINCT repo_id, name FROM dp WHERE kind <> 'script'), pk AS (SELECT repo_id, unnest([name, '@org/' || name, 'github.com/acme/' || name]) AS package FROM nm),
+  fl AS (SELECT repo_id, path, content, true AS man FROM manifests UNION ALL SELECT 'pack-' || floor(p_partkey / 4)::BIGINT, CASE p_partkey % 3 WHEN 0 THEN 'src/client' || p_partkey || '.ts' WHEN 1 THEN 'src/u' || p_partkey || '.ts' ELSE 'pkg/u' || p_partkey || '.go' END,
+    'import x from ''@Org/p' || p_partkey || '''' || chr(10) || 'const y = require("p' || p_partkey || '")' || chr(10) || chr(9) || '"github.com/acme/p' || p_partkey || '/v2"' || chr(10) || '// p' || p_partkey || '-extra and xp' || p_partkey || ' are others' || chr(10) || 'React.x or react' || chr(10) || 'EXPRESS!', false FROM part),
+  l AS (SELECT repo_id, path, man, unnest(string_split(content, chr(10))) AS t, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS k FROM fl)
+SELECT DISTINCT l.repo_id, package, path, k::INT AS line, CASE WHEN man THEN 'constraint' WHEN regexp_matches(t, '\\b(?:import|from|require)\\b') THEN 'import' ELSE 'usage' END AS kind, NOT man AND contains(path, 'client') AS wrapper
+FROM l JOIN pk ON pk.repo_id = l.repo_id AND contains(lower(t), lower(package)) AND regexp_matches(lower(t), '(^|[^a-z0-9_.\\-])' || regexp_escape(lower(package)) || '([^a-z0-9_.\\-]|$)')""",
+        "manifests"),
     "move_references": f"""WITH {c._ST}, n AS (SELECT *, 4 * (row_number() OVER (PARTITION BY repo_id, o {c._O}) - 1) AS b FROM st), f AS (SELECT DISTINCT repo_id, o FROM st)
 SELECT repo_id, 'web/o' || o || '.ts' AS target, 'web/o' || o || '.ts' AS path, (b + 1)::INT AS line, 'relative_imports' AS kind FROM n
-UNION ALL SELECT repo_id, 'web/o' || o || '.ts', CASE o % 3 WHEN 0 THEN 'm' || o || '/index.ts' WHEN 1 THEN 'm' || o || '/package.json' ELSE 'm' || o || '/x.md' END, 2, CASE o % 3 WHEN 0 THEN 'barrel_exports' WHEN 1 THEN 'config_references' ELSE 'path_references' END FROM f""",
+UNION ALL SELECT a.repo_id, 'web/o' || a.o || '.ts', 'm' || b.o || '/index.ts', 2, 'barrel_exports' FROM f a JOIN f b ON a.repo_id = b.repo_id AND b.o % 3 = 0 AND starts_with('o' || b.o, 'o' || a.o)
+UNION ALL SELECT repo_id, 'web/o' || o || '.ts', CASE o % 3 WHEN 1 THEN 'm' || o || '/package.json' ELSE 'm' || o || '/x.md' END, 2, CASE o % 3 WHEN 1 THEN 'config_references' ELSE 'path_references' END FROM f WHERE o % 3 > 0
+UNION ALL SELECT repo_id, unnest(['pages/[o' || o || '].tsx', 'src/a b' || o || '.ts', 'N' || o || '.md']), 'docs/d' || o || '.txt', 1, 'path_references' FROM f""",
     "rewrite_imports": f"""WITH {c._ST}, f AS (SELECT DISTINCT repo_id, o FROM st),
   b AS (SELECT st.repo_id, st.o, count(f.o) AS n, string_agg(CASE WHEN f.o IS NULL THEN 'from pkg.o' ELSE 'from new.pkg.o' END || p || ' import x' || chr(10) || CASE q % 4 WHEN 0 THEN 'def f' || p || '(a, b):' || chr(10) || '    if a:' || chr(10) || '        return g' || s || '(tmp(b))' || chr(10) || '    return C' || s || '(a)' || chr(10)
       WHEN 1 THEN 'def f' || p || '(a, b):' || chr(10) || '    for x in a:' || chr(10) || '        if x and b and x and b and x:' || chr(10) || '            while x:' || chr(10) || '                with b:' || chr(10) || '                    pass' || chr(10) || '    return g' || s || '(b)' || chr(10)
