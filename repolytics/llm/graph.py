@@ -36,5 +36,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         discard(nodes, held)
         nodes = moved.select("node", "parent")
         if not moved.filter(F.col("parent") != F.col("old")).limit(1).count():
+            discard(both)
             return nodes.select("node", F.col("parent").alias("component"))
     raise RuntimeError(f"the components did not settle in {most_rounds} rounds")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolytics.llm.common import saved, small
+from repolytics.llm.common import discard, packed, saved, small, unpacked
 from repolytics.llm.graph import connected_components
 from repolytics.llm.simhash import ball
 
@@ -104,27 +104,29 @@ def _blocks(prints: np.ndarray, bits: int, count: int) -> np.ndarray:
 
 
 def fingerprints(texts: DataFrame, bits: int, count: int) -> DataFrame:
-    """``doc_id, row, print, n, c0, c1, blocks``: a hash of the shingle set, its size, ``CHECK`` bits of its fingerprint, and all of it in blocks."""
+    """``doc_id, row, print, print2, n, c0, c1, blocks``: two hashes of the shingle set, its size, ``CHECK`` bits of its fingerprint, and all of it in blocks."""
     words = max(CHECK // 64, -(-bits * count // 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, wide = [], [], np.zeros((batch.num_rows, words), np.uint64)
+            prints, seconds, sizes, wide = [], [], [], np.zeros((batch.num_rows, words), np.uint64)
             for i, t in enumerate(batch.column(2)):
                 h = shingles_of(t.as_py())
-                prints.append(xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63))
+                low, high = divmod(xxhash.xxh3_128_intdigest(h.tobytes(), SEED), 1 << 64)
+                prints.append(low - (1 << 63))
+                seconds.append(high - (1 << 63))
                 sizes.append(len(h))
                 wide[i] = wide_print(h, words)
             blocks = _blocks(wide, bits, count)
             offsets = pa.array(np.arange(0, blocks.size + 1, count, dtype=np.int32))
             check = wide[:, :2].view(np.int64)
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(blocks.ravel()))],
-                ["doc_id", "row", "print", "n", "c0", "c1", "blocks"],
+                [batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int64()), pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(blocks.ravel()))],
+                ["doc_id", "row", "print", "print2", "n", "c0", "c1", "blocks"],
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row long, print long, n long, c0 long, c1 long, blocks array<long>")
+    return texts.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row long, print long, print2 long, n long, c0 long, c1 long, blocks array<long>")
 
 
 def variants(prints: DataFrame, bits: int) -> DataFrame:
@@ -322,6 +324,7 @@ def verified(members: DataFrame, texts: DataFrame) -> DataFrame:
     links = _links_of(whole.unionByName(lead).unionByName(large.select("cluster", F.col("list").alias("tile"), F.lit(2).alias("side"), "print")), sets)
     parts = connected_components(links)
     if not large.limit(1).count():
+        discard(rows, sets, links)
         return parts
     # Of a large cluster, what isn't in its largest component meets all of it.
     parts = saved(parts, "near-components")
@@ -333,7 +336,9 @@ def verified(members: DataFrame, texts: DataFrame) -> DataFrame:
     one = rest.join(turns, "cluster").withColumn("turn", F.pmod(F.xxhash64("print", F.lit(11)), F.col("turns")).cast("int")).select("cluster", "print", "turn", "lists", _upto(F.col("lists")).alias("list"))
     other = large.join(turns, "cluster").select("cluster", "print", "list", "lists", _upto(F.col("turns")).alias("turn"))
     more = _links_of(one.select("cluster", tile.alias("tile"), F.lit(1).alias("side"), "print").unionByName(other.select("cluster", tile.alias("tile"), F.lit(2).alias("side"), "print")), sets)
-    return connected_components(links.unionByName(more))
+    out = connected_components(links.unionByName(more))
+    discard(rows, sets, links, parts, rest, more)
+    return out
 
 
 def _hot_keys(rows: DataFrame, texts: int) -> DataFrame | None:
@@ -377,32 +382,54 @@ def candidate_links(prints: DataFrame, bits: int, count: int) -> DataFrame:
     named = named.join(small(lead, lead.count()), "key")
     part = F.explode(F.when(F.col("component") != F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part")))
     again = named.select("key", "print", "c0", "c1", part.alias("part"))
-    return saved(links.unionByName(met(again)), "links")
+    out = saved(links.unionByName(met(again)), "links")
+    discard(hot, dealt, firsts, links, parts)
+    return out
 
 
 def near_links(prints: DataFrame, texts: DataFrame, bits: int, count: int) -> DataFrame:
     """``print, component`` of all linked prints: one row of ``print, n, c0, c1, blocks, doc_id, row`` for each."""
-    clusters = connected_components(candidate_links(prints, bits, count)).withColumnRenamed("node", "print").withColumnRenamed("component", "cluster")
+    links = candidate_links(prints, bits, count)
+    clusters = connected_components(links).withColumnRenamed("node", "print").withColumnRenamed("component", "cluster")
+    discard(links)
     members = prints.select("print", "n", "doc_id", "row").join(clusters, "print")
     return verified(members, texts).withColumnRenamed("node", "print")
 
 
+def _told_apart(found: DataFrame) -> DataFrame:
+    """``found`` without two shingle sets under one ``print``: of those that share one, all but one go by their second hash."""
+    shared = found.groupBy("print").agg(F.min("print2").alias("least"), F.max("print2").alias("most")).filter(F.col("least") != F.col("most"))
+    shared = saved(shared.select("print", "least"), "shared-prints")
+    count = shared.count()
+    if not count:
+        return found
+    named = found.join(small(shared, count), "print", "left")
+    return named.withColumn("print", F.when(F.col("print2") > F.col("least"), F.col("print2")).otherwise(F.col("print"))).drop("least")
+
+
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group that pairs of a similarity of 4 / 5 or more link.
 
-    Texts of one shingle set, as those without words, are one text.  Rows that
-    repeat an id all stay or all go.  Rows whose id is null stay.
+    Texts of one shingle set, as those without words, are one text.  A row is
+    known by its id and its text, so rows that share an id but not a text are told
+    apart; rows that repeat both all stay or all go.  Rows whose id is null stay.
     """
-    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    row = F.xxhash64(text)
+    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), row.alias("row"), F.col(text).alias("text"))
     count = texts.count()
     bits, blocks = block_plan(count)
-    found = saved(fingerprints(texts, bits, blocks), "fingerprints")
-    first = F.min(F.struct("doc_id", "row"))
-    distinct = found.groupBy("print").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("n", "c0", "c1", "blocks")])
+    whole = saved(fingerprints(texts, bits, blocks), "fingerprints")
+    found = _told_apart(whole)
+    at = F.struct("doc_id", "row")
+    distinct = found.groupBy("print").agg(F.min(at).alias("first"), *[F.first(c).alias(c) for c in ("n", "c0", "c1", "blocks")])
     distinct = saved(distinct.select("print", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), "n", "c0", "c1", "blocks"), "distinct-sets")
     parts = near_links(distinct.filter("n > 0"), texts, bits, count)
-    roots = distinct.select("print", "doc_id").join(parts, "print", "left").withColumn("component", F.coalesce("component", "print"))
-    least = roots.groupBy("component").agg(F.min("doc_id").alias("least"))
+    roots = distinct.select("print", at.alias("at")).join(parts, "print", "left").withColumn("component", F.coalesce("component", "print"))
+    least = roots.groupBy("component").agg(F.min("at").alias("least"))
     roots = saved(roots.join(least, "component").select("print", "least"), "near-roots")
-    gone = found.select("doc_id", "print").join(roots, "print").filter(F.col("doc_id") != F.col("least")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    gone = found.select(at.alias("at"), "print").join(roots, "print").filter(F.col("at") != F.col("least"))
+    gone = saved(gone.select(F.col("at.doc_id").alias("gone"), F.col("at.row").alias("gone_row")).distinct(), "near-gone")
+    discard(whole, distinct, roots)
+    rows = docs.select(packed(docs).alias("own"), F.col(doc_id).alias("of"), row.alias("of_row"))
+    kept = rows.join(gone, (F.col("of") == F.col("gone")) & (F.col("of_row") == F.col("gone_row")), "left_anti")
+    return kept.select(*unpacked("own", docs.columns))

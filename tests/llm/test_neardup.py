@@ -148,3 +148,19 @@ def test_runs_are_walked_as_they_are_compared(monkeypatch):
 def test_small_sets_of_shingles(spark):
     texts = ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g", "x", "X", "", None]
     assert {r.doc_id for r in neardup.drop_near_copies(docs_of(spark, texts)).collect()} == brute_kept(texts)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """A copy goes, and with it no other text of its id."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, b), (None, a), (9, None), (8, ""), (3, a + " more")]
+    kept = neardup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as row", "2 as gone"))
+    assert kept.columns == ["doc_id", "text", "row", "gone"]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    one = [(3, a)] if (3, a) in got else [(3, a + " more")]
+    assert got == sorted([*one, (5, b), (None, a), (8, "")], key=str)
+
+
+def test_sets_under_one_print_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 7, 10), (2, 7, 10), (3, 7, 12), (4, 8, 13)], "doc_id long, print long, print2 long")
+    assert {r.doc_id: r.print for r in neardup._told_apart(rows).collect()} == {1: 7, 2: 7, 3: 12, 4: 8}
