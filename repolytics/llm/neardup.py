@@ -40,12 +40,14 @@ RADIUS = 2
 #: Share of bits in which fingerprints of a similarity of 0.8 differ at most, on average.
 APART = 0.155
 RECALL = 0.99
-#: Texts that meet at one variant by chance, about.
-OCCUPANTS = 64
+#: Texts that meet at one variant by chance, at most about: the more, the fewer variants are shuffled and the more pairs are compared.
+OCCUPANTS = 1024
 #: Bits that candidates are compared over, and the most that may differ: over three deviations above ``APART``.
 CHECK, MOST_APART = 128, 33
-#: Runs of one variant up to this length are compared side by side, longer ones text by text.
-SHORT = 128
+#: Runs of one variant up to the first length are compared side by side, up to the second as a matrix, longer ones text by text.
+SHORT, SQUARE = 128, 4096
+#: Pairs that a matrix may give; a run with more is compared text by text, which leaves out what has been reached.
+MOST_PAIRS, ROWS_AT_ONCE = 1 << 19, 256
 #: Texts at one variant beyond which it is dealt over several tasks, and one of how many is counted for that.
 HOT, COUNTED = 20_000, 1000
 #: Texts and shingles of one list of a tile.
@@ -189,6 +191,22 @@ def _walked(check: np.ndarray) -> np.ndarray:
     return label
 
 
+def _squared(check: np.ndarray) -> np.ndarray | None:
+    """All pairs of rows, the first before the second, that are near; none if they are too many to list."""
+    found, held = [np.zeros((2, 0), np.int64)], 0
+    low, high = np.ascontiguousarray(check[:, 0]), np.ascontiguousarray(check[:, 1])
+    for at in range(0, len(check), ROWS_AT_ONCE):
+        rows = slice(at, at + ROWS_AT_ONCE)
+        apart = np.bitwise_count(low[rows, None] ^ low[None, at:]) + np.bitwise_count(high[rows, None] ^ high[None, at:])
+        a, b = np.nonzero(apart <= MOST_APART)
+        a, b = a[b > a], b[b > a]
+        held += len(a)
+        if held > MOST_PAIRS:
+            return None
+        found.append(np.stack([a, b]) + at)
+    return np.concatenate(found, axis=1)
+
+
 def _settled(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest label that links between ``a`` and ``b`` lead to."""
     while len(a):
@@ -211,11 +229,18 @@ def _meet(rows: dict[str, np.ndarray], place: np.ndarray, length: np.ndarray) ->
         b = np.flatnonzero((place >= d) & short)
         near = b[_apart(check[b - d], check[b]) <= MOST_APART]
         pairs.append(np.stack([near - d, near]))
+    walked = []
+    for start in np.flatnonzero(~short & (place == 0)).tolist():
+        run = check[start : start + int(length[start])]
+        near = _squared(run) if len(run) <= SQUARE else None
+        if near is None:
+            walked.append((start, run))
+        else:
+            pairs.append(near + start)
     if pairs:
         label = _settled(label, *np.concatenate(pairs, axis=1))
-    for start in np.flatnonzero(~short & (place == 0)).tolist():
-        end = start + int(length[start])
-        label[start:end] = start + _walked(check[start:end])
+    for start, run in walked:
+        label[start : start + len(run)] = start + _walked(run)
     at = np.flatnonzero(label != np.arange(len(label)))
     return pa.RecordBatch.from_pydict({"src": rows["print"][label[at]], "dst": rows["print"][at]})
 

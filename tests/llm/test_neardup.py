@@ -138,11 +138,12 @@ def test_runs_are_walked_as_they_are_compared(monkeypatch):
     rows = {"print": np.arange(n), "c0": check[:, 0].copy(), "c1": check[:, 1].copy()}
     monkeypatch.setattr(neardup, "MOST_APART", 5)
     found = []
-    for short in (1000, 2):
-        monkeypatch.setattr(neardup, "SHORT", short)
+    for short, square, most, step in ((1000, 0, 1, 256), (2, 0, 1, 256), (2, 1000, 1 << 19, 256), (2, 1000, 1 << 19, 7), (2, 1000, 100, 7)):
+        for name, value in (("SHORT", short), ("SQUARE", square), ("MOST_PAIRS", most), ("ROWS_AT_ONCE", step)):
+            monkeypatch.setattr(neardup, name, value)
         got = neardup._meet(rows, np.arange(n), np.full(n, n))
         found.append(dict(zip(got.column("dst").to_pylist(), got.column("src").to_pylist(), strict=True)))
-    assert found[0] == found[1] and len(found[0]) > 10
+    assert all(f == found[0] for f in found) and len(found[0]) > 10
 
 
 def test_small_sets_of_shingles(spark):
