@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolytics.functions.scalars import splitlines
+from repolytics.functions.scripts import code_only, code_with_strings
 from repolytics.operators.history import first_of
 
 # Patterns of declarations and calls.
@@ -39,24 +40,38 @@ def _first_lines(lines: Column, pattern: str) -> Column:
     return F.flatten(F.transform(lines, lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(pattern), 1), lambda n: F.struct(n.alias("name"), (i + 1).alias("line")))))
 
 
+SCRIPTS = r"\.(?:js|jsx|ts|tsx|mjs|cjs)$"
+
+
+def _scripts(contents: DataFrame) -> DataFrame:
+    """``repo_id, path, content, lines, code`` of script files: lines with their strings, and lines of code alone."""
+    text = F.coalesce("content", F.lit(""))
+    rows = contents.filter(F.col("path").rlike(SCRIPTS)).select("repo_id", "path", text.alias("content"))
+    return rows.select("repo_id", "path", "content", splitlines(code_with_strings(F.col("content"))).alias("lines"), splitlines(code_only(F.col("content"))).alias("code"))
+
+
 def extract_js_outline(contents: DataFrame) -> DataFrame:
-    """Imports, exports, classes, functions, hooks, components, environment variables and Express routes of script files."""
-    rows = contents.filter(F.col("path").rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)$")).select("repo_id", "path", splitlines(F.coalesce("content", F.lit(""))).alias("lines"), F.coalesce("content", F.lit("")).alias("content"))
-    rows = rows.withColumn("functions", _found(F.col("lines"), JS_FUNCTION))
+    """Imports, exports, classes, functions, hooks, components, environment variables and Express routes of script files.
+
+    Comments and what strings hold are no code; environment variables are looked
+    for in the whole text.
+    """
+    rows = _scripts(contents)
+    rows = rows.withColumn("functions", _found(F.col("code"), JS_FUNCTION))
     hook = r"^use[A-Z]"
     renders = F.col("path").endswith("x") | F.col("content").contains("return <")
     names = F.array(*[F.lit(x) for x in NOT_NAMES])
     routes = F.flatten(F.transform("lines", lambda x: F.transform(F.arrays_zip(F.regexp_extract_all(x, F.lit(JS_ROUTE), 1).alias("m"), F.regexp_extract_all(x, F.lit(JS_ROUTE), 2).alias("p")), lambda z: F.struct(F.upper(z["m"]).alias("method"), z["p"].alias("path")))))
     env = F.transform(F.arrays_zip(F.regexp_extract_all("content", F.lit(ENV_JS), 1).alias("a"), F.regexp_extract_all("content", F.lit(ENV_JS), 2).alias("b")), lambda z: F.when(z["a"] != "", z["a"]).otherwise(z["b"]))
     return rows.select(
-        "repo_id", "path", _found(F.col("lines"), JS_IMPORT).alias("imports"), F.array_except(_found(F.col("lines"), JS_EXPORT), names).alias("exports"), _found(F.col("lines"), JS_CLASS).alias("classes"), "functions",
+        "repo_id", "path", _found(F.col("lines"), JS_IMPORT).alias("imports"), F.array_except(_found(F.col("code"), JS_EXPORT), names).alias("exports"), _found(F.col("code"), JS_CLASS).alias("classes"), "functions",
         F.filter("functions", lambda f: f.rlike(hook)).alias("hooks"), F.filter("functions", lambda f: ~f.rlike(hook) & f.rlike("^[A-Z]") & renders).alias("components"), F.array_distinct(env).alias("env_vars"), routes.alias("routes"),
     )
 
 
 def js_symbols(contents: DataFrame) -> DataFrame:
     """``repo_id, path, name, type, line``: classes, functions, hooks and components of script files, each by its first line."""
-    rows = contents.filter(F.col("path").rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)$")).select("repo_id", "path", splitlines(F.col("content")).alias("lines"), F.col("content").contains("return <").alias("renders"))
+    rows = _scripts(contents).select("repo_id", "path", F.col("code").alias("lines"), F.col("content").contains("return <").alias("renders"))
     classes = rows.select("repo_id", "path", "renders", F.lit("class").alias("type"), F.explode(_first_lines(F.col("lines"), JS_CLASS)).alias("s"))
     functions = rows.select("repo_id", "path", "renders", F.lit("function").alias("type"), F.explode(_first_lines(F.col("lines"), JS_FUNCTION)).alias("s"))
     out = classes.unionByName(functions).groupBy("repo_id", "path", "renders", "type", "s.name").agg(F.min("s.line").alias("line"))
@@ -154,12 +169,12 @@ NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "typ
 
 def js_usage(contents: DataFrame) -> DataFrame:
     """``repo_id, path, calls, constructs, bases, internal_imports, external_imports`` of script files."""
-    rows = contents.filter(F.col("path").rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)$")).select("repo_id", "path", splitlines(F.coalesce("content", F.lit(""))).alias("lines"))
+    rows = _scripts(contents)
     imports = _found(F.col("lines"), JS_IMPORT)
-    rows = rows.withColumn("constructs", F.array_sort(_found(F.col("lines"), JS_NEW)))
-    calls = F.array_except(_found(F.col("lines"), JS_CALL), F.concat(F.array(*[F.lit(x) for x in NOT_CALLS]), "constructs"))
+    rows = rows.withColumn("constructs", F.array_sort(_found(F.col("code"), JS_NEW)))
+    calls = F.array_except(_found(F.col("code"), JS_CALL), F.concat(F.array(*[F.lit(x) for x in NOT_CALLS]), "constructs"))
     return rows.select(
-        "repo_id", "path", F.array_sort(calls).alias("calls"), "constructs", F.array_sort(_found(F.col("lines"), JS_BASE)).alias("bases"),
+        "repo_id", "path", F.array_sort(calls).alias("calls"), "constructs", F.array_sort(_found(F.col("code"), JS_BASE)).alias("bases"),
         F.filter(imports, lambda x: x.startswith(".")).alias("internal_imports"), F.filter(imports, lambda x: ~x.startswith(".")).alias("external_imports"),
     )
 
@@ -169,7 +184,7 @@ JS_DECLARED = r"^\s*export\s+(default\s+)?(?:async\s+)?(function|class|const|let
 
 def js_api_surface(contents: DataFrame) -> DataFrame:
     """``repo_id, path, kind, name, shape``: what a script file exports; ``shape`` is equal for equal declarations."""
-    rows = contents.filter(F.col("path").rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)$")).select("repo_id", "path", F.explode(splitlines(F.col("content"))).alias("l"))
+    rows = _scripts(contents).select("repo_id", "path", F.explode("code").alias("l"))
     part = [F.regexp_extract("l", JS_DECLARED, g) for g in range(1, 5)]
     found = rows.select("repo_id", "path", part[1].alias("kind"), part[2].alias("name"), F.concat_ws("|", F.trim(part[0]), F.regexp_extract(part[3], r"^\s*(\([^)]*\)|[^={]*)", 1)).alias("shape"))
     return found.filter(F.col("name") != "").select("repo_id", "path", "kind", "name", F.sha2("shape", 256).alias("shape"))

@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolytics.checkpoints import checkpointed
 from repolytics.functions.paths import is_sensitive_path
 from repolytics.functions.scalars import days_since, even_round
+from repolytics.operators.linediff import common_lines, line_hashes
 
 # Weights of the hotspot score and where its labels begin.
 HOTSPOT_WEIGHTS = {"churn": 35, "frequency": 25, "centrality": 20, "maintainability": 20}
@@ -105,30 +105,6 @@ def contributors(commits: DataFrame, *, recent: int = 20) -> DataFrame:
     return out.select("repo_id", "author_email_hash", "author_name", "commit_count", F.coalesce("recent_commits", F.lit(0)).alias("recent_commits"), even_round(F.lit(100.0) * F.col("commit_count") / F.col("total"), 1).alias("share_percent"), label.alias("label"))
 
 
-def file_history(commits: DataFrame, files: DataFrame, targets: DataFrame) -> DataFrame:
-    """First and latest commit and totals of each target path (repo_id, path) over all its earlier names.
-
-    Names are followed back by ``old_path`` until no new one is found; a name is
-    taken once, so that circles end.
-    """
-    moves = files.filter(F.col("old_path").isNotNull()).select("repo_id", F.col("path").alias("name"), F.col("old_path").alias("older")).distinct()
-    names = targets.select("repo_id", "path", F.col("path").alias("name")).distinct()
-    front = names
-    while True:
-        front = front.join(moves, ["repo_id", "name"]).select("repo_id", "path", F.col("older").alias("name")).distinct()
-        front = checkpointed(front.join(names, ["repo_id", "path", "name"], "left_anti"))
-        if front.isEmpty():
-            break
-        names = names.unionByName(front)
-    rows = files.withColumnRenamed("path", "name").join(names, ["repo_id", "name"]).join(commits.select("repo_id", "sha", "author_date"), ["repo_id", "sha"])
-    at = F.struct("author_date", "sha")
-    renames = F.array_sort(F.collect_set(F.when(F.col("old_path").isNotNull(), F.struct("author_date", "sha", F.col("old_path").alias("from"), F.col("name").alias("to")))))
-    return rows.groupBy("repo_id", "path").agg(
-        F.min(at)["sha"].alias("first_known_commit"), F.max(at)["sha"].alias("latest_commit"), F.countDistinct("sha").alias("total_commits"),
-        F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.sum(F.col("additions") + F.col("deletions")).alias("total_churn"), renames.alias("rename_history"),
-    )
-
-
 def commit_risk(commits: DataFrame, files: DataFrame, dependents: DataFrame, *, limit: int | None = 10) -> DataFrame:
     """Change-impact score of a commit by its files, churn and the dependents (repo_id, path, dependents) of its files."""
     rows = files.join(dependents, ["repo_id", "path"], "left")
@@ -237,12 +213,16 @@ def tree_evolution(snapshots: DataFrame, head: DataFrame, days: Sequence[int] =
 
 
 def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Added, modified, deleted and renamed paths between two trees (repo_id, path, content_hash, lines).
+    """Added, modified, deleted and renamed paths between two trees (repo_id, path, content_hash, content).
 
-    Equal contents under a deleted and an added path are a rename; of several the
-    first paths are paired in order.  Sensitive paths are marked as redacted.
+    Lines are counted as a shortest line diff has them; a null content (as of a
+    binary file) has none.  Equal contents under a deleted and an added path are a
+    rename; of several the first paths are paired in order.  Sensitive paths are
+    marked as redacted.
     """
-    both = before.select("repo_id", "path", F.col("content_hash").alias("h0"), F.col("lines").alias("n0")).join(after.select("repo_id", "path", F.col("content_hash").alias("h1"), F.col("lines").alias("n1")), ["repo_id", "path"], "full_outer").filter(~F.col("h0").eqNullSafe(F.col("h1")))
+    old = before.select("repo_id", "path", F.col("content_hash").alias("h0"), line_hashes(F.col("content")).alias("l0"))
+    both = old.join(after.select("repo_id", "path", F.col("content_hash").alias("h1"), line_hashes(F.col("content")).alias("l1")), ["repo_id", "path"], "full_outer").filter(~F.col("h0").eqNullSafe(F.col("h1")))
+    both = both.withColumns({n: F.coalesce(F.size(c), F.lit(0)).cast("long") for n, c in (("n0", "l0"), ("n1", "l1"))})
     turn = Window.partitionBy("repo_id", "hash").orderBy("path")
     gone = both.filter(F.col("h1").isNull()).select("repo_id", F.col("h0").alias("hash"), "path", "n0").withColumn("k", F.row_number().over(turn))
     new = both.filter(F.col("h0").isNull()).select("repo_id", F.col("h1").alias("hash"), "path", "n1").withColumn("k", F.row_number().over(turn))
@@ -252,7 +232,8 @@ def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
         "repo_id", status.alias("status"), F.when(status == "R", 100).alias("similarity"), F.coalesce("path", "old_path").alias("path"), F.when(status == "R", F.col("old_path")).alias("old_path"),
         F.when(status == "A", F.col("n1")).otherwise(0).alias("additions"), F.when(status == "D", F.col("n0")).otherwise(0).alias("deletions"),
     )
-    changed = both.filter(F.col("h0").isNotNull() & F.col("h1").isNotNull()).select("repo_id", F.lit("M").alias("status"), F.lit(None).cast("int").alias("similarity"), "path", F.lit(None).cast("string").alias("old_path"), F.greatest(F.col("n1") - F.col("n0"), F.lit(0)).alias("additions"), F.greatest(F.col("n0") - F.col("n1"), F.lit(0)).alias("deletions"))
+    changed = both.filter(F.col("h0").isNotNull() & F.col("h1").isNotNull()).withColumn("same", common_lines(F.col("l0"), F.col("l1")))
+    changed = changed.select("repo_id", F.lit("M").alias("status"), F.lit(None).cast("int").alias("similarity"), "path", F.lit(None).cast("string").alias("old_path"), (F.col("n1") - F.col("same")).alias("additions"), (F.col("n0") - F.col("same")).alias("deletions"))
     out = moved.unionByName(changed)
     return out.withColumn("redacted", is_sensitive_path(F.col("path")) | F.coalesce(is_sensitive_path(F.col("old_path")), F.lit(False)))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from repolytics.operators.history import first_of
 from repolytics.operators.scan import SEGMENT_ROWS, with_previous
+from repolytics.sources.buckets import BucketedTable
 
 # How many of the newest rows each table keeps, and of what.
 RETENTION = {"activity": (("project_id",), 500), "analyses": (("project_id", "analysis_type"), 50), "validations": (("project_id",), 200), "patches": (("project_id",), 200), "recent_items": (("project_id",), 500)}
@@ -136,6 +137,16 @@ def upsert(df: DataFrame, updates: DataFrame, table: str) -> DataFrame:
     return joined.select(*[pick(c).alias(c) for c in df.columns])
 
 
+def upsert_into(stored: BucketedTable, updates: DataFrame, table: str, version: int) -> list[int]:
+    """Put ``updates`` into a stored table by the policy of ``table``; only the buckets of their keys are written, and returned.
+
+    The table's keys are the policy's; see :meth:`BucketedTable.update` for ``version``.
+    """
+    if stored.keys != list(UPSERT[table][0]):
+        raise ValueError(f"{table} is keyed by {', '.join(UPSERT[table][0])}")
+    return stored.update(updates, lambda held, new: upsert(held, new, table), version)
+
+
 def job_states(events: DataFrame, *, timeout: int = 180) -> DataFrame:
     """The state of each job by its events (job_id, event, at) in order of time.
 

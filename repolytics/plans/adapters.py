@@ -73,7 +73,7 @@ VIEWS: dict[str, str] = {
 TABLES = ("orders", "lineitem", "documents", "events", "pages", "part", "customer", "nation", "conversations", "supplier")
 #: Views that take a shuffle: each is derived once in a session and written to the shared folder.
 WRITTEN = ("commit_files", "edges", "tree", "file_sizes", "snapshots")
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple, DataFrame] = {}
 
 
 def _reads(sql: str) -> list[str]:
@@ -81,9 +81,21 @@ def _reads(sql: str) -> list[str]:
     return [t for t in TABLES if t in words]
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """When each of the given tables was last written, and its length."""
+    found = []
+    for t in TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(path):
+            status = files.getFileStatus(path)
+            found.append((t, status.getModificationTime(), status.getLen()))
+    return tuple(found)
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:  # noqa: ANN001
-    """What ``make()`` gives, written to the shared folder the first time that this session asks for it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """What ``make()`` gives, written to the shared folder the first time that this session asks for it of tables as they are."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir))
     if key not in _written:
         _written[key] = checkpointed(make())
     return _written[key]

@@ -36,16 +36,25 @@ def dependency_cycles(spark, sf):  # noqa: ANN001, ANN201
     return graph.dependency_cycles(_edges(spark, sf), view(spark, sf, "tree"))
 
 
+def cycles_of_one_repository(spark, sf):  # noqa: ANN001, ANN201
+    """All repositories as one, each a folder of it: more edges than one task takes."""
+
+    def within(df, *columns):  # noqa: ANN001, ANN002, ANN202
+        return df.select(F.lit("all").alias("repo_id"), *[F.concat_ws("/", "repo_id", c).alias(c) for c in columns])
+
+    return graph.dependency_cycles(within(_edges(spark, sf), "source", "target"), within(view(spark, sf, "tree"), "path"))
+
+
 def neighborhood(spark, sf):  # noqa: ANN001, ANN201
     return graph.neighborhood(_edges(spark, sf), view(spark, sf, "tree"), 2)
 
 
 def subgraph_edges(spark, sf):  # noqa: ANN001, ANN201
-    return graph.subgraph_edges(_edges(spark, sf), graph.neighborhood(_edges(spark, sf), view(spark, sf, "tree").filter(F.col("path").startswith("lib")), 1))
+    return graph.subgraph_edges(_edges(spark, sf), graph.neighborhood(_edges(spark, sf), view(spark, sf, "tree"), 1))
 
 
 def relation_edges(spark, sf):  # noqa: ANN001, ANN201
-    near = graph.neighborhood(_edges(spark, sf), view(spark, sf, "tree").filter(F.col("path").startswith("lib")), 1)
+    near = graph.neighborhood(_edges(spark, sf), view(spark, sf, "tree"), 1)
     typed = _edges(spark, sf).withColumn("type", F.when(F.length("source") % 2 == 0, "calls").otherwise("imports"))
     return graph.subgraph_edges(typed, near, relation="calls")
 
@@ -241,7 +250,7 @@ SELECT x.repo_id, min(y.a) AS component, x.a AS path FROM z x JOIN z y ON y.repo
 SELECT repo_id, file, path FROM o UNION SELECT o.repo_id, o.file, l.b FROM o JOIN l ON l.repo_id = o.repo_id AND l.a = o.path""",
         "edges", "tree"),
     "subgraph_edges": with_views(
-        """WITH l AS (SELECT repo_id, source AS a, target AS b FROM edges UNION SELECT repo_id, target, source FROM edges), t AS (SELECT * FROM tree WHERE starts_with(path, 'lib')), o AS (SELECT t.repo_id, t.path AS file, t.path FROM t UNION SELECT t.repo_id, t.path, b FROM t JOIN l ON l.repo_id = t.repo_id AND l.a = t.path)
+        """WITH l AS (SELECT repo_id, source AS a, target AS b FROM edges UNION SELECT repo_id, target, source FROM edges), t AS (SELECT * FROM tree), o AS (SELECT t.repo_id, t.path AS file, t.path FROM t UNION SELECT t.repo_id, t.path, b FROM t JOIN l ON l.repo_id = t.repo_id AND l.a = t.path)
 SELECT e.repo_id, x.file, source, target FROM edges e JOIN o x ON x.repo_id = e.repo_id AND x.path = source JOIN o y ON y.repo_id = e.repo_id AND y.path = target AND y.file = x.file""",
         "edges", "tree"),
     "classify_files": with_views(f"WITH {_CAT} SELECT * FROM c", "tree"),
@@ -257,7 +266,7 @@ SELECT t.repo_id, t.path, coalesce(points, 0) AS points FROM tree t LEFT JOIN s
 SELECT n.*, coalesce(edges, 0) AS edges, coalesce(layers, 0) AS layers FROM n LEFT JOIN (SELECT repo_id, count(*) AS edges FROM edges GROUP BY 1) USING (repo_id) LEFT JOIN (SELECT repo_id, count(DISTINCT layer) AS layers FROM y GROUP BY 1) USING (repo_id)""",
         "edges", "tree"),
     "relation_edges": with_views(
-        """WITH l AS (SELECT repo_id, source AS a, target AS b FROM edges UNION SELECT repo_id, target, source FROM edges), t AS (SELECT * FROM tree WHERE starts_with(path, 'lib')), o AS (SELECT t.repo_id, t.path AS file, t.path FROM t UNION SELECT t.repo_id, t.path, b FROM t JOIN l ON l.repo_id = t.repo_id AND l.a = t.path)
+        """WITH l AS (SELECT repo_id, source AS a, target AS b FROM edges UNION SELECT repo_id, target, source FROM edges), t AS (SELECT * FROM tree), o AS (SELECT t.repo_id, t.path AS file, t.path FROM t UNION SELECT t.repo_id, t.path, b FROM t JOIN l ON l.repo_id = t.repo_id AND l.a = t.path)
 SELECT e.repo_id, x.file, source, target FROM edges e JOIN o x ON x.repo_id = e.repo_id AND x.path = source JOIN o y ON y.repo_id = e.repo_id AND y.path = target AND y.file = x.file WHERE length(source) % 2 = 0""",
         "edges", "tree"),
     "detect_technologies": with_views(
@@ -282,4 +291,6 @@ SELECT repo_id, module, count(DISTINCT module) OVER (PARTITION BY repo_id) >= 2
     "directory_listing": with_views("SELECT repo_id, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS directory, list_sort(list(DISTINCT regexp_extract(path, '[^/]*$')))[1:5] AS children FROM tree GROUP BY ALL", "tree"),
 }
 
-QUERIES = {f.__name__: f for f in (dependents, degree_metrics, fan_metrics, dependency_cycles, neighborhood, subgraph_edges, relation_edges, classify_files, map_layers, layer_edges, important_nodes, graph_summary, detect_technologies, detect_stack, pick_key_files, detect_entry_points, step_types, detect_modules, folder_summary, directory_listing)}
+SQL["cycles_of_one_repository"] = f"SELECT 'all' AS repo_id, repo_id || '/' || component AS component, repo_id || '/' || path AS path FROM ({SQL['dependency_cycles']})"
+
+QUERIES = {f.__name__: f for f in (dependents, degree_metrics, fan_metrics, dependency_cycles, cycles_of_one_repository, neighborhood, subgraph_edges, relation_edges, classify_files, map_layers, layer_edges, important_nodes, graph_summary, detect_technologies, detect_stack, pick_key_files, detect_entry_points, step_types, detect_modules, folder_summary, directory_listing)}

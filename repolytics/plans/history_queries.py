@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from repolytics.operators import history
-from repolytics.plans.adapters import once, view, with_views
+from repolytics.operators import history, lineage
+from repolytics.plans.adapters import REPO, once, path_of, view, with_views
 from repolytics.plans.sql import SENSITIVE, rint
 
 AS_OF = "1998-06-01 00:00:00"
@@ -67,17 +67,30 @@ def tree_evolution(spark, sf):  # noqa: ANN001, ANN201
     return history.tree_evolution(view(spark, sf, "snapshots"), _head(spark, sf), days=(35, 400, 100_000))
 
 
+def _snapshot_texts(spark, sf):  # noqa: ANN001, ANN202
+    """Each file of a year's snapshot with its lines: its name's end and, for files of special kinds, the quantities that the year has of it."""
+
+    def make():  # noqa: ANN202
+        sql = f"""SELECT {REPO.format(c="o_custkey")} AS repo_id, CAST(date_trunc('year', o_orderdate) AS STRING) AS sha, CAST(date_trunc('year', o_orderdate) AS TIMESTAMP) AS committed_at, {path_of("l_partkey")} AS path,
+  CAST(CAST(l_quantity AS BIGINT) AS STRING) AS q FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"""
+        rows = spark.sql(sql, lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"), orders=spark.read.parquet(f"{sf}/orders.parquet"))
+        special = F.when(~F.col("path").contains("/f"), F.concat(F.lit("q"), F.lpad("q", 3, "0")))
+        rows = rows.groupBy("repo_id", "sha", "committed_at", "path").agg(F.collect_set(special).alias("lines"))
+        return rows.withColumn("content", F.array_join(F.array_sort(F.array_union("lines", F.array(F.substring("path", -6, 6)))), "\n")).drop("lines")
+
+    return once(spark, sf, "snapshot_texts", make)
+
+
 def compare_snapshots(spark, sf):  # noqa: ANN001, ANN201
     """Every snapshot of a repository against the one before it; the later one's sha is part of the key."""
-    s = view(spark, sf, "snapshots")
-    n = F.length("path").cast("long")
-    hashed = s.select("repo_id", "sha", "path", F.md5(F.substring("path", -6, 6)).alias("content_hash"), n.alias("lines"))
+    s = _snapshot_texts(spark, sf)
+    hashed = s.select("repo_id", "sha", "path", F.md5("content").alias("content_hash"), "content")
     times = s.select("repo_id", "sha", "committed_at").distinct()
     turn = history.Window.partitionBy("repo_id").orderBy("committed_at")
     pairs = times.select("repo_id", "sha", F.lag("sha").over(turn).alias("before")).filter("before IS NOT NULL")
     key = F.concat_ws("@", "repo_id", "later").alias("repo_id")
-    after = hashed.join(pairs.select("repo_id", "sha", F.col("sha").alias("later")), ["repo_id", "sha"]).select(key, "path", "content_hash", "lines")
-    before = hashed.join(pairs.select("repo_id", F.col("before").alias("sha"), F.col("sha").alias("later")), ["repo_id", "sha"]).select(key, "path", "content_hash", "lines")
+    after = hashed.join(pairs.select("repo_id", "sha", F.col("sha").alias("later")), ["repo_id", "sha"]).select(key, "path", "content_hash", "content")
+    before = hashed.join(pairs.select("repo_id", F.col("before").alias("sha"), F.col("sha").alias("later")), ["repo_id", "sha"]).select(key, "path", "content_hash", "content")
     return history.compare_snapshots(before, after)
 
 
@@ -95,8 +108,12 @@ def file_history(spark, sf):  # noqa: ANN001, ANN201
         number = F.regexp_extract("path", r"/f(\d+)\.", 1)
         return view(spark, sf, "commit_files").withColumn("old_path", F.when((F.col("additions") == 50) & number.endswith("7"), F.regexp_replace("path", r"/f\d+", "/f3")))
 
-    out = history.file_history(view(spark, sf, "commits"), once(spark, sf, "moved_files", moved), view(spark, sf, "tree"))
-    return out.withColumn("renames", F.size("rename_history").cast("long")).drop("rename_history")
+    out = lineage.file_history(view(spark, sf, "commits"), once(spark, sf, "moved_files", moved), view(spark, sf, "tree"), _as_of())
+    first = F.col("contributors")[0]
+    return out.select(
+        "repo_id", "path", "first_known_commit", "latest_commit", "total_commits", "additions", "deletions", "total_churn", "days_since_last_change", F.size("rename_history").cast("long").alias("renames"), F.size("contributors").cast("long").alias("n_contributors"),
+        first["author_email_hash"].alias("top_author"), first["author_name"].alias("top_name"), first["share_percent"].alias("top_share"), F.array_join(F.transform("recent_commits", lambda c: c["sha"]), ",").alias("recent"),
+    )
 
 
 _DEP = "dep AS (SELECT repo_id, target AS path, count(DISTINCT source) AS dependents FROM edges GROUP BY ALL)"
@@ -166,16 +183,17 @@ SELECT repo_id, sha, author_email_hash, author_name, author_date, subject, is_me
     coalesce(list_sort(list(path) FILTER (WHERE NOT was)), [])[1:20] AS sample_added, coalesce(list_sort(list(path) FILTER (WHERE NOT has)), [])[1:20] AS sample_removed FROM b GROUP BY ALL)
 SELECT c.repo_id, c.days_ago, c.sha, files_before, files_now, files_added, files_removed, directories_before, directories_now, sample_added, sample_removed, c.sha IS NOT NULL AS available FROM c LEFT JOIN g USING (repo_id, days_ago)""",
         "snapshots"),
-    "compare_snapshots": with_views(
-        f"""WITH u AS (SELECT DISTINCT repo_id, sha, committed_at FROM snapshots), pr AS (SELECT repo_id, sha, lag(sha) OVER (PARTITION BY repo_id ORDER BY committed_at) AS before FROM u),
-  t AS (SELECT s.repo_id || '@' || pr.sha AS repo_id, path, s.sha = pr.before AS old, md5(right(path, 6)) AS h, length(path)::BIGINT AS n FROM snapshots s JOIN pr ON pr.repo_id = s.repo_id AND s.sha IN (pr.sha, pr.before) WHERE pr.before IS NOT NULL),
+    "compare_snapshots": f"""WITH x AS (SELECT {REPO.format(c="o_custkey").replace("STRING", "VARCHAR")} AS repo_id, CAST(date_trunc('year', o_orderdate) AS VARCHAR) AS sha, date_trunc('year', o_orderdate) AS committed_at, {path_of("l_partkey").replace("STRING", "VARCHAR")} AS path, l_quantity::BIGINT AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  tx AS (SELECT repo_id, sha, committed_at, path, list_sort(list_distinct(list_append(coalesce(list(DISTINCT 'q' || lpad(q::VARCHAR, 3, '0')) FILTER (WHERE NOT contains(path, '/f')), []), right(path, 6)))) AS l FROM x GROUP BY repo_id, sha, committed_at, path),
+  u AS (SELECT DISTINCT repo_id, sha, committed_at FROM tx), pr AS (SELECT repo_id, sha, lag(sha) OVER (PARTITION BY repo_id ORDER BY committed_at) AS before FROM u),
+  t AS (SELECT s.repo_id || '@' || pr.sha AS repo_id, path, s.sha = pr.before AS old, l, len(l) AS n FROM tx s JOIN pr ON pr.repo_id = s.repo_id AND s.sha IN (pr.sha, pr.before) WHERE pr.before IS NOT NULL),
   a AS (SELECT * FROM t WHERE old), z AS (SELECT * FROM t WHERE NOT old),
-  g AS (SELECT *, row_number() OVER (PARTITION BY repo_id, h ORDER BY path) AS k FROM a ANTI JOIN z USING (repo_id, path)),
-  w AS (SELECT *, row_number() OVER (PARTITION BY repo_id, h ORDER BY path) AS k FROM z ANTI JOIN a USING (repo_id, path)),
-  p AS (SELECT coalesce(w.repo_id, g.repo_id) AS repo_id, CASE WHEN w.path IS NULL THEN 'D' WHEN g.path IS NULL THEN 'A' ELSE 'R' END AS status, w.path AS np, g.path AS op, w.n AS nn, g.n AS gn FROM w FULL JOIN g ON w.repo_id = g.repo_id AND w.h = g.h AND w.k = g.k)
+  g AS (SELECT *, row_number() OVER (PARTITION BY repo_id, l ORDER BY path) AS k FROM a ANTI JOIN z USING (repo_id, path)),
+  w AS (SELECT *, row_number() OVER (PARTITION BY repo_id, l ORDER BY path) AS k FROM z ANTI JOIN a USING (repo_id, path)),
+  p AS (SELECT coalesce(w.repo_id, g.repo_id) AS repo_id, CASE WHEN w.path IS NULL THEN 'D' WHEN g.path IS NULL THEN 'A' ELSE 'R' END AS status, w.path AS np, g.path AS op, w.n AS nn, g.n AS gn FROM w FULL JOIN g ON w.repo_id = g.repo_id AND w.l = g.l AND w.k = g.k)
 SELECT repo_id, status, CASE WHEN status = 'R' THEN 100 END AS similarity, coalesce(np, op) AS path, CASE WHEN status = 'R' THEN op END AS old_path, CASE WHEN status = 'A' THEN nn ELSE 0 END AS additions, CASE WHEN status = 'D' THEN gn ELSE 0 END AS deletions,
-  {SENSITIVE.format(p="coalesce(np, op)")} OR (status = 'R' AND {SENSITIVE.format(p="op")}) AS redacted FROM p""",
-        "snapshots"),
+  {SENSITIVE.format(p="coalesce(np, op)")} OR (status = 'R' AND {SENSITIVE.format(p="op")}) AS redacted FROM p
+UNION ALL SELECT a.repo_id, 'M', NULL, a.path, NULL, len(list_filter(z.l, lambda y: NOT list_contains(a.l, y))), len(list_filter(a.l, lambda y: NOT list_contains(z.l, y))), {SENSITIVE.format(p="a.path")} FROM a JOIN z USING (repo_id, path) WHERE a.l <> z.l""",
     "budgeted_diffs": with_views(
         """WITH o AS (SELECT repo_id, path, content, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS ord FROM contents WHERE content IS NOT NULL QUALIFY ord <= 30),
   b AS (SELECT *, octet_length(encode(content)) AS size, greatest(0, 240000 - coalesce(sum(octet_length(encode(content))) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS room FROM o),
@@ -184,11 +202,21 @@ SELECT repo_id, status, CASE WHEN status = 'R' THEN 100 END AS similarity, coale
 SELECT b.repo_id, b.ord, path, size > room AS diff_truncated, length(CASE WHEN size > room THEN left(content, coalesce(k, 0)) ELSE content END) AS n, md5(CASE WHEN size > room THEN left(content, coalesce(k, 0)) ELSE content END) AS digest FROM b LEFT JOIN n USING (repo_id, ord)""",
         "contents"),
     "file_history": with_views(
-        r"""WITH RECURSIVE f AS (SELECT *, CASE WHEN additions = 50 AND suffix(regexp_extract(path, '/f(\d+)\.', 1), '7') THEN regexp_replace(path, '/f\d+', '/f3') END AS old_path FROM commit_files),
-  n AS (SELECT repo_id, path, path AS name FROM tree UNION SELECT n.repo_id, n.path, f.old_path FROM n JOIN f ON f.repo_id = n.repo_id AND f.path = n.name WHERE f.old_path IS NOT NULL)
-SELECT n.repo_id, n.path, arg_min(f.sha, (author_date, f.sha)) AS first_known_commit, arg_max(f.sha, (author_date, f.sha)) AS latest_commit, count(DISTINCT f.sha) AS total_commits, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, sum(additions + deletions)::BIGINT AS total_churn,
-  count(DISTINCT (f.sha, f.path)) FILTER (WHERE f.old_path IS NOT NULL) AS renames
-FROM n JOIN f ON f.repo_id = n.repo_id AND f.path = n.name JOIN commits c ON c.repo_id = f.repo_id AND c.sha = f.sha GROUP BY n.repo_id, n.path""".replace("WITH RECURSIVE", "WITH", 1),
+        rf"""WITH RECURSIVE f AS (SELECT repo_id, path, c.author_date AS d, sha, cf.additions, cf.deletions, CASE WHEN cf.additions = 50 AND suffix(regexp_extract(path, '/f(\d+)\.', 1), '7') THEN regexp_replace(path, '/f\d+', '/f3') END AS old_path FROM commit_files cf JOIN commits c USING (repo_id, sha)),
+  mv AS (SELECT * FROM f WHERE old_path IS NOT NULL AND old_path <> path), cut AS (SELECT repo_id, path AS name, d, sha FROM mv UNION SELECT repo_id, old_path, d, sha FROM mv),
+  rw AS (SELECT f.repo_id, f.path AS name, f.d, f.sha, f.additions, f.deletions, f.old_path, count(cut.sha) AS s FROM f LEFT JOIN cut ON cut.repo_id = f.repo_id AND cut.name = f.path AND (cut.d, cut.sha) <= (f.d, f.sha) GROUP BY ALL),
+  od AS (SELECT mv.repo_id, mv.path, mv.sha, mv.old_path, count(cut.sha) AS os FROM mv LEFT JOIN cut ON cut.repo_id = mv.repo_id AND cut.name = mv.old_path AND (cut.d, cut.sha) < (mv.d, mv.sha) GROUP BY ALL),
+  lk AS (SELECT rw.repo_id, rw.name, rw.s, od.old_path AS oname, od.os FROM rw JOIN od ON od.repo_id = rw.repo_id AND od.path = rw.name AND od.sha = rw.sha),
+  n AS (SELECT tree.repo_id, path, path AS name, max(s) AS s FROM tree JOIN rw ON rw.repo_id = tree.repo_id AND rw.name = tree.path GROUP BY ALL
+    UNION SELECT n.repo_id, n.path, lk.oname, lk.os FROM n JOIN lk ON lk.repo_id = n.repo_id AND lk.name = n.name AND lk.s = n.s),
+  own AS (SELECT n.path, rw.* FROM n JOIN rw ON rw.repo_id = n.repo_id AND rw.name = n.name AND rw.s = n.s),
+  tc AS (SELECT DISTINCT own.repo_id, own.path, own.sha, own.d, author_email_hash AS e, author_name AS nm FROM own JOIN commits c ON c.repo_id = own.repo_id AND c.sha = own.sha),
+  au AS (SELECT repo_id, path, e, arg_min(nm, (d, sha)) AS nm, count(*) AS k FROM tc GROUP BY ALL),
+  tp AS (SELECT repo_id, path, count(*) AS people, sum(k) AS total, arg_min((e, nm, k), (-k, e)) AS t FROM au GROUP BY ALL),
+  rc AS (SELECT repo_id, path, string_agg(sha, ',' ORDER BY d DESC, sha DESC) AS recent FROM (SELECT * FROM tc QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY d DESC, sha DESC) <= 50) GROUP BY ALL),
+  sm AS (SELECT repo_id, path, arg_min(sha, (d, sha)) AS first_known_commit, arg_max(sha, (d, sha)) AS latest_commit, count(DISTINCT sha) AS total_commits, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, sum(additions + deletions)::BIGINT AS total_churn,
+    greatest(0, floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(d) FILTER (WHERE name = path))) / 86400000000.0))::BIGINT AS days_since_last_change, count(DISTINCT (sha, name)) FILTER (WHERE old_path IS NOT NULL) AS renames FROM own GROUP BY ALL)
+SELECT sm.*, people AS n_contributors, t[1] AS top_author, t[2] AS top_name, {rint("100.0 * t[3] / total", 1)} AS top_share, recent FROM sm JOIN tp USING (repo_id, path) JOIN rc USING (repo_id, path)""".replace("WITH RECURSIVE", "WITH", 1),
         "commits", "commit_files", "tree").replace("WITH ", "WITH RECURSIVE ", 1),
 }
 

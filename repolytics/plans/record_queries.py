@@ -16,11 +16,11 @@ def _analyses(spark, sf):  # noqa: ANN001, ANN202
 
 
 def keep_latest_activity(spark, sf):  # noqa: ANN001, ANN201
-    return records.keep_latest(view(spark, sf, "activity"), ["project_id"], 20)
+    return records.keep_latest(view(spark, sf, "activity"), ["project_id"], records.RETENTION["activity"][1])
 
 
 def keep_latest_analyses(spark, sf):  # noqa: ANN001, ANN201
-    return records.keep_latest(_analyses(spark, sf), ["project_id", "analysis_type"], 5).drop("metrics_json")
+    return records.keep_latest(_analyses(spark, sf), ["project_id", "analysis_type"], records.RETENTION["analyses"][1]).drop("metrics_json")
 
 
 def snapshot_deltas(spark, sf):  # noqa: ANN001, ANN201
@@ -28,7 +28,7 @@ def snapshot_deltas(spark, sf):  # noqa: ANN001, ANN201
 
 
 def latest_snapshots(spark, sf):  # noqa: ANN001, ANN201
-    rows = records.latest_snapshots(_analyses(spark, sf), 6)
+    rows = records.latest_snapshots(_analyses(spark, sf))
     return rows.select("project_id", "analysis_type", "id", F.col("metrics")["health_score"].alias("health_score"), F.size("metrics").cast("long").alias("n_metrics"))
 
 
@@ -113,14 +113,14 @@ _PROJ = """pr AS (SELECT c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment
 _REC = "SELECT project_id, type, (id % 9)::VARCHAR AS target, floor(value)::BIGINT::VARCHAR AS v, created_at, id FROM activity"
 
 SQL = {
-    "keep_latest_activity": with_views("SELECT * FROM activity QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) <= 20", "activity"),
-    "keep_latest_analyses": with_views(f"WITH {_AN} SELECT project_id, analysis_type, id, created_at FROM an QUALIFY row_number() OVER (PARTITION BY project_id, analysis_type ORDER BY created_at DESC, id DESC) <= 5", "activity"),
+    "keep_latest_activity": with_views("SELECT * FROM activity QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) <= 500", "activity"),
+    "keep_latest_analyses": with_views(f"WITH {_AN} SELECT project_id, analysis_type, id, created_at FROM an QUALIFY row_number() OVER (PARTITION BY project_id, analysis_type ORDER BY created_at DESC, id DESC) <= 50", "activity"),
     "snapshot_deltas": with_views(
         f"""WITH {_AN}, m AS (SELECT project_id, analysis_type, lag(id) OVER w AS before_id, id, hs, lag(hs) OVER w AS phs, fc, lag(fc) OVER w AS pfc FROM an WINDOW w AS (PARTITION BY project_id, analysis_type ORDER BY created_at, id))
 SELECT project_id, analysis_type, before_id, id, 'health_score' AS metric, phs AS "before", hs AS "after", hs - phs AS delta FROM m WHERE before_id IS NOT NULL AND hs IS NOT NULL AND phs IS NOT NULL
 UNION ALL SELECT project_id, analysis_type, before_id, id, 'finding_count', pfc, fc, fc - pfc FROM m WHERE before_id IS NOT NULL AND fc IS NOT NULL AND pfc IS NOT NULL""",
         "activity"),
-    "latest_snapshots": with_views(f"WITH {_AN} SELECT project_id, analysis_type, id, hs AS health_score, CASE WHEN hs IS NULL THEN 0 ELSE 1 END + CASE WHEN fc IS NULL THEN 0 ELSE 1 END AS n_metrics FROM an QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) <= 6", "activity"),
+    "latest_snapshots": with_views(f"WITH {_AN} SELECT project_id, analysis_type, id, hs AS health_score, CASE WHEN hs IS NULL THEN 0 ELSE 1 END + CASE WHEN fc IS NULL THEN 0 ELSE 1 END AS n_metrics FROM an QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) <= 50", "activity"),
     "compare_pair": with_views(
         f"""WITH {_AN}, m AS (SELECT a.project_id, a.analysis_type, a.id AS before_id, b.id AS after_id, a.hs AS ph, b.hs, a.fc AS pf, b.fc FROM an a JOIN an b ON b.id = a.id + 5 AND b.project_id = a.project_id AND b.analysis_type = a.analysis_type)
 SELECT project_id, analysis_type, before_id, after_id, 'health_score' AS metric, hs - ph AS delta FROM m WHERE hs IS NOT NULL AND ph IS NOT NULL UNION ALL SELECT project_id, analysis_type, before_id, after_id, 'finding_count', fc - pf FROM m WHERE fc IS NOT NULL AND pf IS NOT NULL""",

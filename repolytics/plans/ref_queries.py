@@ -103,7 +103,7 @@ def part_edges(spark, sf):  # noqa: ANN001, ANN201
     parts = partition_symbols(spark, sf)
     names = parts.select("repo_id", "path", "name")
     calls = names.withColumnRenamed("name", "caller").join(names.withColumnRenamed("name", "callee"), ["repo_id", "path"]).filter((F.length("callee") + F.length("caller")) % 2 == 1)
-    return refs.part_edges(parts, calls, 5)
+    return refs.part_edges(parts, calls)
 
 
 def _questions(spark, sf):  # noqa: ANN001, ANN202
@@ -156,7 +156,7 @@ def budgeted_excerpts(spark, sf):  # noqa: ANN001, ANN201
 
 
 def evidence_pack(spark, sf):  # noqa: ANN001, ANN201
-    out = retrieval.evidence_pack(classify_questions(spark, sf), _ranked(spark, sf), view(spark, sf, "edges"), g._routes(spark, sf), g._models(spark, sf), most=5)
+    out = retrieval.evidence_pack(classify_questions(spark, sf), _ranked(spark, sf), view(spark, sf, "edges"), g._routes(spark, sf), g._models(spark, sf))
 
     def joined(column: str, *fields: str):  # noqa: ANN202
         return F.array_join(F.transform(column, lambda x: F.concat_ws("|", *[x[f].cast("string") for f in fields])), ",").alias(column)
@@ -249,7 +249,7 @@ SELECT repo_id, target, CASE WHEN high THEN 'HIGH' WHEN n % 6 > 0 OR n % 2 > 0 O
         "tree"),
     "partition_symbols": f"WITH {c._ST} SELECT DISTINCT repo_id, 'web/o' || o || '.ts' AS path, CASE length('h' || p) % 3 WHEN 0 THEN 'models' WHEN 1 THEN 'routes' ELSE 'services' END AS part, 'h' || p AS name FROM st UNION SELECT repo_id, 'web/o' || o || '.ts', 'components', 'useT' || s FROM st",
     "part_edges": f"""WITH {c._ST}, x AS (SELECT DISTINCT repo_id, 'web/o' || o || '.ts' AS path, CASE length('h' || p) % 3 WHEN 0 THEN 'models' WHEN 1 THEN 'routes' ELSE 'services' END AS part, 'h' || p AS name FROM st UNION SELECT repo_id, 'web/o' || o || '.ts', 'components', 'useT' || s FROM st)
-SELECT a.repo_id, a.path, a.part AS source, b.part AS target, a.name AS caller, b.name AS callee FROM x a JOIN x b ON b.repo_id = a.repo_id AND b.path = a.path AND a.part <> b.part WHERE (length(a.name) + length(b.name)) % 2 = 1 QUALIFY row_number() OVER (PARTITION BY a.repo_id, a.path ORDER BY a.name, b.name, a.part, b.part) <= 5""",
+SELECT a.repo_id, a.path, a.part AS source, b.part AS target, a.name AS caller, b.name AS callee FROM x a JOIN x b ON b.repo_id = a.repo_id AND b.path = a.path AND a.part <> b.part WHERE (length(a.name) + length(b.name)) % 2 = 1""",
     "classify_questions": with_views(f"WITH {_INTENT} SELECT repo_id, question_id, intent FROM it", "tree"),
     "rank_relevant_files": with_views(f"WITH {_RANK} SELECT * FROM rk", "tree", "edges"),
     "budgeted_excerpts": with_views(
@@ -261,8 +261,8 @@ SELECT repo_id, question_id, position, path, length(r) AS n, md5(r) AS digest FR
     "evidence_pack": with_views(
         f"""WITH {_RANK}, fl AS (SELECT repo_id, question_id, string_agg(path || '|' || score, ',' ORDER BY position) AS files FROM rk GROUP BY ALL), de AS (SELECT DISTINCT repo_id, source, target FROM edges),
   ed AS (SELECT repo_id, question_id, string_agg(source || '|' || target, ',' ORDER BY source, target) AS edges FROM (SELECT DISTINCT rk.repo_id, question_id, source, target FROM rk JOIN de ON de.repo_id = rk.repo_id AND (de.source = rk.path OR de.target = rk.path)) GROUP BY ALL),
-  rr AS (SELECT rk.repo_id, question_id, method, route FROM rk JOIN ro ON ro.repo_id = rk.repo_id AND ro.file = rk.path UNION SELECT it.repo_id, question_id, method, route FROM it JOIN (SELECT DISTINCT repo_id, method, route FROM ro QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY route, method) <= 5) x ON x.repo_id = it.repo_id WHERE intent = 'API_ROUTE'),
-  mm AS (SELECT rk.repo_id, question_id, name FROM rk JOIN mo ON mo.repo_id = rk.repo_id AND mo.file = rk.path UNION SELECT it.repo_id, question_id, name FROM it JOIN (SELECT repo_id, name FROM (SELECT DISTINCT repo_id, name FROM mo) QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY name) <= 5) x ON x.repo_id = it.repo_id WHERE intent = 'DATABASE'),
+  rr AS (SELECT rk.repo_id, question_id, method, route FROM rk JOIN ro ON ro.repo_id = rk.repo_id AND ro.file = rk.path UNION SELECT it.repo_id, question_id, method, route FROM it JOIN (SELECT DISTINCT repo_id, method, route FROM ro QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY route, method) <= 30) x ON x.repo_id = it.repo_id WHERE intent = 'API_ROUTE'),
+  mm AS (SELECT rk.repo_id, question_id, name FROM rk JOIN mo ON mo.repo_id = rk.repo_id AND mo.file = rk.path UNION SELECT it.repo_id, question_id, name FROM it JOIN (SELECT repo_id, name FROM (SELECT DISTINCT repo_id, name FROM mo) QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY name) <= 30) x ON x.repo_id = it.repo_id WHERE intent = 'DATABASE'),
   r2 AS (SELECT repo_id, question_id, string_agg(method || '|' || route, ',' ORDER BY method, route) AS routes FROM rr GROUP BY ALL), m2 AS (SELECT repo_id, question_id, string_agg(name, ',' ORDER BY name) AS models FROM mm GROUP BY ALL)
 SELECT it.repo_id, it.question_id, intent, files, edges, routes, models FROM it LEFT JOIN fl USING (repo_id, question_id) LEFT JOIN ed USING (repo_id, question_id) LEFT JOIN r2 USING (repo_id, question_id) LEFT JOIN m2 USING (repo_id, question_id)""",
         "tree", "edges"),

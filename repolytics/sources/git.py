@@ -73,18 +73,18 @@ def _person(name: Column) -> Column:
     return F.when(name.rlike(r"\S+@\S+"), "Contributor").otherwise(name)
 
 
-def parse_log(records: DataFrame) -> DataFrame:
-    """Commits with their ``files`` from records (repo_id, value); records without seven columns are dropped."""
+def parse_log(records: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Commits with their ``files`` from records (repo_id, value), and the columns that ``keep`` names; records without seven columns are dropped."""
     at = F.locate("\x00", F.col("value"))
     head = F.when(at > 0, F.expr(r"substring(value, 1, locate('\0', value) - 1)")).otherwise(F.col("value"))
     stats = F.when(at > 0, F.expr(r"substring(value, locate('\0', value) + 1)")).otherwise("")
-    rows = records.select("repo_id", F.split(F.regexp_replace(head, r"^\n+|\n+$", ""), COLUMN, 7).alias("c"), parse_numstat(stats).alias("files")).filter(F.size("c") == 7)
+    rows = records.select("repo_id", *keep, F.split(F.regexp_replace(head, r"^\n+|\n+$", ""), COLUMN, 7).alias("c"), parse_numstat(stats).alias("files")).filter(F.size("c") == 7)
     c = [F.get("c", F.lit(i)) for i in range(7)]
     parents = F.filter(F.split(c[1], " "), lambda x: x != "")
     total = lambda f: F.aggregate("files", F.lit(0).cast("long"), lambda n, x: n + x[f])
     return rows.select(
         "repo_id", c[0].alias("sha"), F.substring(c[0], 1, 8).alias("short_sha"), parents.alias("parents"), _person(c[2]).alias("author_name"), F.substring(F.sha2(F.lower(c[3]), 256), 1, 12).alias("author_email_hash"),
-        F.to_timestamp(c[4]).alias("author_date"), F.to_timestamp(c[5]).alias("committer_date"), c[6].alias("subject"), F.size("files").alias("files_changed"), total("additions").alias("insertions"), total("deletions").alias("deletions"), (F.size(parents) > 1).alias("is_merge"), "files",
+        F.to_timestamp(c[4]).alias("author_date"), F.to_timestamp(c[5]).alias("committer_date"), c[6].alias("subject"), F.size("files").alias("files_changed"), total("additions").alias("insertions"), total("deletions").alias("deletions"), (F.size(parents) > 1).alias("is_merge"), "files", *keep,
     )
 
 

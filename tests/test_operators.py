@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repolytics import checkpoints
 from repolytics.functions import paths
-from repolytics.operators import checks, documents, extract, graph, history, records, resolve, stack, trace
+from repolytics.operators import checks, documents, extract, graph, lineage, records, resolve, stack, trace
 
 
 def table(spark, rows, ddl):
@@ -17,8 +17,8 @@ def table(spark, rows, ddl):
 def test_rename_chains_have_no_end(spark):
     n = 30
     files = table(spark, [("r", f"c{i:02d}", f"p{i}", f"p{i - 1}" if i else None, 1, 1) for i in range(n)], "repo_id string, sha string, path string, old_path string, additions long, deletions long")
-    commits = table(spark, [("r", f"c{i:02d}", i) for i in range(n)], "repo_id string, sha string, at long").select("repo_id", "sha", F.timestamp_seconds("at").alias("author_date"))
-    row = history.file_history(commits, files, table(spark, [("r", f"p{n - 1}")], "repo_id string, path string")).collect()[0]
+    commits = table(spark, [("r", f"c{i:02d}", i, "a", "A", "s") for i in range(n)], "repo_id string, sha string, at long, author_email_hash string, author_name string, subject string").withColumn("author_date", F.timestamp_seconds("at"))
+    row = lineage.file_history(commits, files, table(spark, [("r", f"p{n - 1}")], "repo_id string, path string")).collect()[0]
     assert (row.total_commits, row.first_known_commit, len(row.rename_history)) == (n, "c00", n - 1)
 
 
