@@ -279,7 +279,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: words, hit words, items and whether any is hit."""
+    """One row a document: words, hit words, items and whether any is hit.
+
+    Null and empty texts have no words; items without words hit nothing; a null
+    item id is an empty one; items that share a window are each counted, an id
+    that repeats once.  Repeated rows are each searched, no rows give no rows, and without a
+    benchmark nothing is hit.  Columns of other names aren't read.
+    """
     found = find_leaks(docs.select(doc_id, "text"), benchmark)
     hit = F.aggregate("_found.spans", F.lit(0).cast("long"), lambda a, s: a + s["word_to"] - s["word_from"])
     return found.select(

@@ -119,7 +119,12 @@ def page_lines(html: Column) -> Column:
 
 
 def page_report(pages: DataFrame, *, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``page_id, host, n_lines, n_dropped, text``: every page's text without its site's boilerplate."""
+    """``page_id, host, n_lines, n_dropped, text``: every page's text without its site's boilerplate.
+
+    A null page has a null text and no lines; a page whose url is null or names no
+    host has a null host and keeps all lines; repeated rows count as pages of their
+    own; no rows give no rows.
+    """
     rows = saved(pages.select("page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text")), "page-text")
     return drop_boilerplate(rows, F.col("host"), ratio=ratio, least_pages=least_pages, counts=True).select("page_id", "host", "n_lines", "n_dropped", "text")
 

@@ -245,7 +245,8 @@ def quality_report(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7
 
     Null and empty texts get the score that the network gives to no tokens.
     Without labels of both values the score is the share of label 1 (no labels:
-    one half).
+    one half).  Repeated rows score alike; an id with several labels has the
+    largest; no rows give no rows.  Columns of other names aren't read.
     """
     out = held_out(F.col("doc_id"), 4, 2)
     model = fit_quality(docs, labels, ~out)

@@ -119,7 +119,8 @@ def fingerprint_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     The edited text is the text whose last ``n_chars div 2`` code points are
     replaced by as many first ones (or all) of the next document.  A null text is
     empty; an empty text has an empty fingerprint.  A single document is its own
-    next one.
+    next one.  Rows that repeat an id follow each other, each once; no rows give
+    no rows.
     """
     rows = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("kept", sketch(F.col("text"), width))
     both = with_next(rows, doc_id)
