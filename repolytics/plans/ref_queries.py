@@ -12,9 +12,10 @@ from repolytics.plans.sql import BINARY, SENSITIVE
 
 
 def _symbols(spark, sf):  # noqa: ANN001, ANN202
-    """The first word of every text stands for a symbol of its repository."""
-    rows = view(spark, sf, "contents").select("repo_id", F.regexp_extract("content", r"^([A-Za-z_][A-Za-z0-9_]*)", 1).alias("name"), F.col("path").alias("file"))
-    return rows.filter(F.length("name") >= 5)
+    """The first word of every line stands for a symbol of its repository, if of five letters or more."""
+    lines = view(spark, sf, "contents").select("repo_id", F.col("path").alias("file"), F.explode(F.split("content", "\n")).alias("line"))
+    rows = lines.select("repo_id", F.regexp_extract("line", r"^([A-Za-z_][A-Za-z0-9_]*)", 1).alias("name"), "file")
+    return rows.filter(F.length("name") >= 5).distinct()
 
 
 def symbol_references(spark, sf):  # noqa: ANN001, ANN201
@@ -164,7 +165,7 @@ def evidence_pack(spark, sf):  # noqa: ANN001, ANN201
     return out.select("repo_id", "question_id", "intent", joined("files", "path", "score"), joined("edges", "source", "target"), joined("routes", "method", "route"), F.array_join("models", ",").alias("models"))
 
 
-_SYM = "sym AS (SELECT DISTINCT repo_id, regexp_extract(content, '^([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM contents WHERE length(regexp_extract(content, '^([A-Za-z_][A-Za-z0-9_]*)', 1)) >= 5), ln AS (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS t, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS k FROM contents)"
+_SYM = "ln AS (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS t, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS k FROM contents), sym AS (SELECT DISTINCT repo_id, regexp_extract(t, '^([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM ln WHERE length(regexp_extract(t, '^([A-Za-z_][A-Za-z0-9_]*)', 1)) >= 5)"
 TAILS = (" what uses this", " list api routes in", " database schema", " how to run it", " overview", "", " the", " languages")
 _QS = rf"""nq AS (SELECT repo_id, min(CASE WHEN regexp_matches(path, '/f[0-9]+[.]') THEN path END) AS a, max(CASE WHEN regexp_matches(path, '/f[0-9]+[.]') THEN path END) AS b FROM tree GROUP BY 1),
   q1 AS (SELECT 'repo-' || conv_id AS repo_id, conv_id || '-' || turn AS question_id, coalesce("text", '') || [{", ".join("'" + t + "'" for t in TAILS)}][conv_id % {len(TAILS)} + 1] AS tx, turn FROM conversations WHERE role = 'user'),
@@ -214,7 +215,7 @@ SQL = {
 SELECT DISTINCT x.repo_id, x.name, path, k::INT AS line, len(list_filter(regexp_extract_all(t, '[''"][^''"]*[''"]'), lambda z: contains(z, x.name))) > 0 AS in_string, md5(left(trim(t), 160)) AS evidence FROM x JOIN sym USING (repo_id, name)""",
         "contents"),
     "symbol_mentions": with_views(f"WITH {_SYM} SELECT DISTINCT ln.repo_id, path AS file, name FROM (SELECT *, unnest(list_distinct(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM ln) ln JOIN sym USING (repo_id, name)", "contents"),
-    "unresolved_targets": with_views("SELECT repo_id, name, count(DISTINCT path) AS files FROM (SELECT repo_id, path, regexp_extract(content, '^([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM contents) WHERE length(name) >= 5 GROUP BY ALL HAVING count(DISTINCT path) <> 1", "contents"),
+    "unresolved_targets": with_views("SELECT repo_id, name, count(DISTINCT path) AS files FROM (SELECT repo_id, path, regexp_extract(unnest(string_split(content, chr(10))), '^([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM contents) WHERE length(name) >= 5 GROUP BY ALL HAVING count(DISTINCT path) <> 1", "contents"),
     "dependency_usage": with_views(
         f"""WITH {g._DEPS}, nm AS (SELECT DISTINCT repo_id, name FROM dp WHERE kind <> 'script'), pk AS (SELECT repo_id, unnest([name, '@org/' || name, 'github.com/acme/' || name]) AS package FROM nm),
   fl AS (SELECT repo_id, path, content, true AS man FROM manifests UNION ALL SELECT 'pack-' || floor(p_partkey / 4)::BIGINT, CASE p_partkey % 3 WHEN 0 THEN 'src/client' || p_partkey || '.ts' WHEN 1 THEN 'src/u' || p_partkey || '.ts' ELSE 'pkg/u' || p_partkey || '.go' END,
