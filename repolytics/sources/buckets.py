@@ -62,7 +62,8 @@ class BucketedTable:
         before = {b: [x for x in v if x < version] for b, v in self.versions().items()}
         held = self._rows([(b, before[b][-1]) for b in touched if before.get(b)])
         merged = merge(held, rows).withColumn("bucket", self.bucket())
-        merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/v={version}")
+        # Rows of a bucket come together, and a bucket with most of the rows is split over several tasks.
+        merged.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/v={version}")
         for b in touched:
             for old in before.get(b, [])[:-1]:
                 self._files.delete(self._hadoop(f"{self.path}/v={old}/bucket={b}"), True)
