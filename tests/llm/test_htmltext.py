@@ -82,6 +82,7 @@ ODD = {
     "<p>ok</p><p title=\"open>lost</p><p>more": "ok\nlost\nmore",
     "<p>ok</p><a href": "ok",
     "<P>UP<BR/>per</P><INPUT value='<p>x'>": "UP per",
+    "<article data-id='comment-5' data-class=ad><p>kept</article>": "kept",
     "<p>日本語のテキスト。</p>": "日本語のテキスト。",
 }
 
