@@ -456,5 +456,5 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     gone = saved(gone.select(F.col("at.doc_id").alias("gone"), F.col("at.row").alias("gone_row")).distinct(), "near-gone")
     discard(whole, distinct, roots)
     rows = docs.select(packed(docs).alias("own"), F.col(doc_id).alias("of"), row.alias("of_row"))
-    kept = rows.join(gone, (F.col("of") == F.col("gone")) & (F.col("of_row") == F.col("gone_row")), "left_anti")
+    kept = rows.join(small(gone, gone.count()), (F.col("of") == F.col("gone")) & (F.col("of_row") == F.col("gone_row")), "left_anti")
     return kept.select(*unpacked("own", docs.columns))
