@@ -21,3 +21,21 @@ def test_structure_of_a_text(spark):
     files = spark.createDataFrame([("r", "a/m.py", TEXT), ("r", "a/n.py", "def (")], "repo_id string, path string, content string")
     got = {(r.path, r.problem, r.detail) for r in pyast.structural_check(files, files.select("repo_id", "path")).collect()}
     assert got == {("a/m.py", "duplicate_name", "f"), ("a/m.py", "unresolved_import", "a.b"), ("a/n.py", "syntax", None)}
+
+
+BLANKS = ["x = 1  \n\n\n\n\ny = 2", "if a:\n\tb = 'it'\t\n\n\n \n\n\tc = 1", "s = '''a  \n\n\n\n\n b'''  ", "t = f'{x = }'  \n", "t = f'{\n x = \n\n\n\n}'", "a = 'x\x0c  y  \x0c'", "y = 1 + \\\n    2  ", "def (  ", "q = '\\\n  \n'", "x = 1\r\n  \r\n\r\n\r\n\r\n"]
+
+
+@pytest.mark.parametrize("text", BLANKS)
+def test_rewrites_without_a_second_tree_are_those_with_one(text, monkeypatch):
+    got = pyast.rewrites_of(text, True)
+    monkeypatch.setattr(pyast, "_LONG_TOKENS", pyast.re.compile(""))
+    assert got == pyast.rewrites_of(text, True)
+    assert all(pyast._same_tree(pyast._tree_of(text), pyast._tree_of(new)) for new in got.values())
+
+
+def test_a_plain_text_has_one_tree(monkeypatch):
+    trees = []
+    tree_of = pyast._tree_of
+    monkeypatch.setattr(pyast, "_tree_of", lambda t: trees.append(t) or tree_of(t))
+    assert set(pyast.rewrites_of(BLANKS[0], True)) == {"final_newline", "trailing_whitespace", "blank_lines"} and len(trees) == 1
